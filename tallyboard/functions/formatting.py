@@ -38,7 +38,7 @@ def _grouped(size: Column, least: int, most: int) -> Column:
     """Thousands separators, ``least`` to ``most`` decimals, halves away from zero."""
     pattern = "#,##0" + ("." + "0" * least + "#" * (most - least) if most else "")
     # format_number rounds halves to even, so the value is rounded before.
-    return F.format_number(F.round(size, most), pattern)
+    return F.call_function("format_number", F.round(size, most), F.lit(pattern))
 
 
 def _compact(size: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Text read as NULL, and the white space stripped round a value.
@@ -33,10 +35,22 @@ _PLAIN_SHAPE = (
     r"(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-](?:0\d|1[0-7]):?[0-5]\d)?)?$"
 )
 # Every other ISO 8601 shape: basic dates and times, week dates, any separator.
-_DATE = r"(?:(\d{4})-?(\d{2})-?(\d{2})|(\d{4})-?W(\d{2})(?:-?(\d))?)"
-_TIME = r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
-_OFFSET = r"(?:(Z)|([+-])(\d{2})(?::?(\d{2})(?::?(\d{2})(?:\.\d+)?)?)?)?"
-_ANY_SHAPE = rf"^(?!0000){_DATE}(?:.{_TIME}{_OFFSET})?$"
+_WEEK_DATE = r"^(\d{4})-?W(\d{2})(?:-?(\d))?"
+_CLOCK = r"\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?"
+_OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?"
+_ANY_SHAPE = (
+    r"^(?!0000)(?:\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-?W\d{2}(?:-?\d)?)"
+    rf"(?:.{_CLOCK}{_OFFSET})?$"
+)
+# Steps from those shapes to the plain one, in this order.
+_TO_PLAIN = [
+    (r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3"),
+    (r"^(.{10}).(?=\d)", "$1T"),
+    (r"^(.{11}\d{2})(\d{2})(\d{2})", "$1:$2:$3"),
+    (r"^(.{11}\d{2})(\d{2})(?!\d)", "$1:$2"),
+    (r"(:\d{2}),(?=\d)", "$1."),
+    (r"(\.\d{6})\d+", "$1"),
+]
 OFFSET_TEXT = r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)$"
 
 
@@ -44,40 +58,38 @@ def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITE_SPACE))
 
 
-def iso_instant(value: Column) -> Column:
-    """The instant of an ISO 8601 text, offset-free text read as UTC; else NULL."""
-    text = strip(value)
+def _week_day(text: Column) -> Column:
+    """The date of an ISO week date at the start of a text."""
 
     def part(group: int) -> Column:
-        found = F.regexp_extract(text, _ANY_SHAPE, group)
-        return F.when(found != "", found)
+        return F.regexp_extract(text, _WEEK_DATE, group)
 
-    def whole(group: int) -> Column:
-        return F.coalesce(part(group).cast("int"), F.lit(0))
+    week = part(2).cast("int")
+    weekday = F.coalesce(part(3).try_cast("int"), F.lit(1))
+    # 4 January always lies in week one.
+    week_one = F.trunc(F.make_date(part(1).cast("int"), F.lit(1), F.lit(4)), "WEEK")
+    found = F.date_add(week_one, (week - 1) * 7 + weekday - 1)
+    return F.when((F.weekofyear(found) == week) & weekday.between(1, 7), found)
 
-    weekday = F.coalesce(part(6).cast("int"), F.lit(1))
-    week_one = F.trunc(F.make_date(part(4).cast("int"), F.lit(1), F.lit(4)), "WEEK")
-    in_week = F.date_add(week_one, (whole(5) - 1) * 7 + weekday - 1)
-    week_day = F.when(
-        weekday.between(1, 7) & (F.weekofyear(in_week) == whole(5)) & (whole(5) > 0), in_week
-    )
-    day = F.when(part(4).isNotNull(), week_day).otherwise(
-        F.concat_ws("-", part(1), part(2), part(3)).try_cast("date")
-    )
-    clock = F.concat(
-        F.lpad(whole(7).cast("string"), 2, "0"), F.lit(":"),
-        F.lpad(whole(8).cast("string"), 2, "0"), F.lit(":"),
-        F.lpad(whole(9).cast("string"), 2, "0"), F.lit("."),
-        F.rpad(F.coalesce(F.substring(part(10), 1, 6), F.lit("0")), 6, "0"),
-    )
-    local = F.concat(day.cast("string"), F.lit(" "), clock).try_cast("timestamp")
-    offset = whole(13) * 3600 + whole(14) * 60 + whole(15)
-    shift = F.when(part(12) == "-", -offset).otherwise(offset)
-    unusual = F.when(
-        offset < 86400, F.timestamp_micros(F.unix_micros(local) - shift.cast("long") * 1000000)
-    )
+
+def iso_instant(value: Column) -> Column:
+    """The instant of an ISO 8601 text, offset-free text read as UTC; else NULL.
+
+    Offsets reach 18 hours, as far as time zones can go in Spark.
+    """
+    return stripped_instant(strip(value))
+
+
+def stripped_instant(text: Column) -> Column:
+    """``iso_instant`` of a text without white space round it."""
+    dated = F.when(
+        text.rlike(_WEEK_DATE),
+        F.concat(_week_day(text).cast("string"), F.regexp_replace(text, _WEEK_DATE, "")),
+    ).otherwise(text)
+    for pattern, replacement in _TO_PLAIN:
+        dated = F.regexp_replace(dated, pattern, replacement)
     return F.when(text.rlike(_PLAIN_SHAPE), text.try_cast("timestamp")).when(
-        text.rlike(_ANY_SHAPE), unusual
+        text.rlike(_ANY_SHAPE), dated.try_cast("timestamp")
     )
 
 
@@ -92,19 +104,61 @@ def iso_is_naive(value: Column) -> Column:
     return ~text.rlike(DATE_TEXT) & ~text.rlike(OFFSET_TEXT)
 
 
-def class_bit(value: Column) -> Column:
-    """Bit of one text value's class; 0 for NULL text, which fits any type."""
-    text = strip(F.coalesce(value, F.lit("")))
+def undated_bit(text: Column) -> Column:
+    """Bit of a stripped value's class, leaving out dates: 0 for NULL text, which
+    fits any type, and NULL for what is a datetime or a string."""
     lower = F.lower(text)
     other = F.when(text.rlike(r"[^\x00-\x7f]"), OTHER_DIGITS).otherwise(0)
     beyond = F.when(text.try_cast("long").isNull(), BEYOND_LONG).otherwise(0)
     return (
-        F.when(lower.isin(NULL_TEXT), 0)
+        F.when(text.isNull() | lower.isin(NULL_TEXT), 0)
         .when(lower.isin(BOOLEAN_TEXT), BOOLEAN)
         .when(text.rlike(INTEGER_TEXT), beyond.bitwiseOR(other).bitwiseOR(F.lit(INTEGER)))
         .when(text.rlike(NUMBER_TEXT), other.bitwiseOR(F.lit(NUMBER)))
-        .when(iso_instant(text).isNotNull(), DATETIME)
-        .otherwise(STRING)
+    )
+
+
+def text_facts(frame: DataFrame, names: Sequence[str], times: Sequence[str] = ()) -> DataFrame:
+    """One row per text column: rows, class bits, and for ``times`` the instants.
+
+    Columns become rows before they are classified: the tests are compiled once
+    and not once per column, and a value is stripped and parsed once. The partial
+    aggregate leaves one row per task and column for the shuffle.
+    """
+    values = F.array(*[F.col(f"`{name}`") for name in names])
+    is_time = F.col("column_index").isin([names.index(name) for name in times]) if times else None
+    wanted = F.col("undated").isNull() if is_time is None else F.col("undated").isNull() | is_time
+    text, at = F.col("text"), F.col("at")
+    timed = F.lit(False) if is_time is None else is_time
+    return (
+        frame.select(F.posexplode(values).alias("column_index", "value"))
+        .select("column_index", strip(F.col("value")).alias("text"))
+        .select("column_index", "text", undated_bit(text).alias("undated"))
+        .select("*", F.when(wanted, stripped_instant(text)).alias("at"))
+        .select(
+            "column_index", "text", "at",
+            F.coalesce("undated", F.when(at.isNotNull(), DATETIME).otherwise(STRING)).alias("bit"),
+        )
+        .groupBy("column_index")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.bit_or("bit").alias("bits"),
+            F.min(F.when(timed, at)).alias("min_at"),
+            F.max(F.when(timed, at)).alias("max_at"),
+            F.count(F.when(timed & (text != ""), 1)).alias("values"),
+            F.bool_or(F.when(timed & at.isNotNull(), ~text.rlike(DATE_TEXT))).alias("datetime"),
+            F.bool_or(
+                F.when(
+                    timed & at.isNotNull(), ~text.rlike(DATE_TEXT) & ~text.rlike(OFFSET_TEXT)
+                )
+            ).alias("naive"),
+            F.min(F.when(timed & (text != "") & at.isNull(), text)).alias("invalid"),
+        )
+        .select(
+            F.element_at(F.array(*[F.lit(name) for name in names]), F.col("column_index") + 1)
+            .alias("column_name"),
+            *["rows", "bits", "min_at", "max_at", "values", "datetime", "naive", "invalid"],
+        )
     )
 
 

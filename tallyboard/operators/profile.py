@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyboard.functions.csv_text import has_time
-from tallyboard.functions.text_types import (
-    class_bit, iso_granularity, iso_instant, iso_is_naive, strip, type_of_bits,
-)
+from tallyboard.functions.text_types import text_facts, type_of_bits
 from tallyboard.sources.load import CSV, ContractError, Source
 
 PASSED, WARNING, FAILED = "passed", "warning", "failed"
@@ -58,15 +56,9 @@ def type_name(data_type: T.DataType) -> str:
 
 def infer_text_types(text: DataFrame) -> DataFrame:
     """(column_name, inferred_type) of text columns, from one pass."""
-    columns = text.columns
-    bits = text.agg(
-        *[F.bit_or(class_bit(F.col(f"`{c}`"))).alias(f"b{i}") for i, c in enumerate(columns)]
+    return text_facts(text, text.columns).select(
+        "column_name", type_of_bits(F.col("bits")).alias("inferred_type")
     )
-    pairs = [
-        F.struct(F.lit(c).alias("column_name"), type_of_bits(F.col(f"b{i}")).alias("inferred_type"))
-        for i, c in enumerate(columns)
-    ]
-    return bits.select(F.inline(F.array(*pairs)))
 
 
 def schema_types(source: Source) -> DataFrame:
@@ -77,101 +69,101 @@ def schema_types(source: Source) -> DataFrame:
     )
 
 
-class _TimeColumn:
-    """How the values of one freshness column become instants."""
-
-    def __init__(self, source: Source, name: str):
-        self.name = name
-        self.data_type = source.raw.schema[name].dataType
-        self.column = F.col(f"`{name}`")
-        self.text = isinstance(self.data_type, T.StringType)
-        self.warns = source.format == CSV
-
-    def instant(self) -> Column:
-        if self.text:
-            return iso_instant(self.column)
-        if isinstance(self.data_type, T.DateType) or has_time(self.data_type):
-            return self.column.cast("timestamp")
-        return F.lit(None).cast("timestamp")
-
-    def present(self) -> Column:
-        if self.text:
-            return strip(self.column) != ""
-        return self.column.isNotNull()
-
-    def is_datetime(self) -> Column:
-        if self.text:
-            return iso_granularity(self.column) == "datetime"
-        return F.lit(has_time(self.data_type))
-
-    def aggregates(self, prefix: str) -> list[Column]:
-        instant, present = self.instant(), self.present()
-        naive = iso_is_naive(self.column) if self.text and self.warns else F.lit(False)
-        invalid = F.when(present & instant.isNull(), self.column.cast("string"))
-        return [
-            F.min(instant).alias(f"{prefix}_min"),
-            F.max(instant).alias(f"{prefix}_max"),
-            F.count(F.when(present, 1)).alias(f"{prefix}_values"),
-            F.bool_or(F.when(present, self.is_datetime())).alias(f"{prefix}_datetime"),
-            F.coalesce(F.bool_or(present & naive), F.lit(False)).alias(f"{prefix}_naive"),
-            F.min(invalid).alias(f"{prefix}_invalid"),
-        ]
+_FACTS = {
+    "min_at": "timestamp", "max_at": "timestamp", "values": "long",
+    "datetime": "boolean", "naive": "boolean", "invalid": "string",
+}
+
+
+def _typed_time(source: Source, prefix: str, name: str) -> list[Column]:
+    """Facts of a freshness column that holds dates or timestamps."""
+    column, data_type = F.col(f"`{name}`"), source.raw.schema[name].dataType
+    timed = isinstance(data_type, T.DateType) or has_time(data_type)
+    at = column.cast("timestamp") if timed else F.lit(None).cast("timestamp")
+    # No other type can hold a date; its values are reported as not parsing.
+    facts = {
+        "min_at": F.min(at), "max_at": F.max(at), "values": F.count(column),
+        "datetime": F.when(F.count(at) > 0, has_time(data_type)),
+        "naive": F.lit(False),
+        "invalid": F.lit(None).cast("string") if timed else F.min(column.cast("string")),
+    }
+    return [value.alias(f"{prefix}_{fact}") for fact, value in facts.items()]
+
+
+def _text_time(prefix: str, name: str) -> list[Column]:
+    """The same facts, picked from the per-column rows of ``text_facts``."""
+    mine = F.col("column_name") == name
+    return [F.max(F.when(mine, F.col(fact))).alias(f"{prefix}_{fact}") for fact in _FACTS]
 
 
 def _absent(prefix: str) -> list[Column]:
-    types = ["timestamp", "timestamp", "long", "boolean", "boolean", "string"]
-    names = ["min", "max", "values", "datetime", "naive", "invalid"]
-    return [
-        F.lit(None).cast(kind).alias(f"{prefix}_{name}")
-        for kind, name in zip(types, names, strict=True)
-    ]
+    return [F.lit(None).cast(kind).alias(f"{prefix}_{fact}") for fact, kind in _FACTS.items()]
 
 
 def source_facts(source: Source, with_types: bool = True) -> DataFrame:
-    """One row with everything the passport and the checks need."""
+    """One row with everything the passport and the checks need, from one pass."""
     raw, settings = source.raw, source.freshness
-    known = set(raw.columns)
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    for prefix, column in (
-        ("data", settings.data_time_column), ("processed", settings.processed_time_column),
-    ):
-        if column in known:
-            aggregates += _TimeColumn(source, column).aggregates(prefix)
-    if with_types and source.format == CSV:
-        aggregates += [
-            F.bit_or(class_bit(F.col(f"`{c}`"))).alias(f"__bits_{i}")
-            for i, c in enumerate(raw.columns)
-        ]
-    facts = raw.agg(*aggregates)
-    for prefix in ("data", "processed"):
-        if f"{prefix}_min" not in facts.columns:
-            facts = facts.select("*", *_absent(prefix))
-    if with_types and source.format == CSV:
-        names = list(raw.columns)
-        types = [type_of_bits(F.col(f"__bits_{i}")) for i in range(len(names))]
+    configured = {
+        "data": settings.data_time_column, "processed": settings.processed_time_column,
+    }
+    times = {p: c for p, c in configured.items() if c in raw.columns}
+    texts = [c for c in times.values() if isinstance(raw.schema[c].dataType, T.StringType)]
+    inferred = with_types and source.format == CSV
+    if inferred or (texts and len(texts) == len(times)):
+        # Every column of interest is text.
+        names = list(raw.columns) if inferred else list(dict.fromkeys(texts))
+        columns = text_facts(raw, names, texts)
+        kinds = F.map_from_entries(
+            F.collect_list(F.struct("column_name", type_of_bits(F.col("bits")).alias("kind")))
+        )
+        facts = columns.agg(
+            F.coalesce(F.max("rows"), F.lit(0)).alias("rows"),
+            *([kinds.alias("kinds")] if inferred else []),
+            *[fact for p, c in times.items() for fact in _text_time(p, c)],
+        )
     else:
-        named = leaf_types(source.frame.schema)
-        names, types = list(named), [F.lit(kind) for kind in named.values()]
-    pairs = [item for name, kind in zip(names, types, strict=True) for item in (F.lit(name), kind)]
-    granularity = {
-        prefix: F.when(F.col(f"{prefix}_datetime"), "datetime").when(
-            ~F.col(f"{prefix}_datetime"), "date"
+        typed = {p: c for p, c in times.items() if c not in texts}
+        facts = raw.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[fact for p, c in typed.items() for fact in _typed_time(source, p, c)],
         )
-        for prefix in ("data", "processed")
+        if texts:
+            side = text_facts(raw, texts, texts).agg(
+                *[fact for p, c in times.items() if c in texts for fact in _text_time(p, c)]
+            )
+            facts = facts.join(F.broadcast(side), F.lit(True))
+    facts = facts.select("*", *[c for p in configured if p not in times for c in _absent(p)])
+
+    leaves = dict.fromkeys(raw.columns, "null") if inferred else leaf_types(source.frame.schema)
+    types = {
+        name: F.coalesce(F.try_element_at("kinds", F.lit(name)), F.lit(kind))
+        if inferred else F.lit(kind)
+        for name, kind in leaves.items()
     }
+    pairs = [item for name, kind in types.items() for item in (F.lit(name), kind)]
+
+    def granularity(prefix: str) -> Column:
+        clock = F.col(f"{prefix}_datetime")
+        return F.when(clock, "datetime").when(~clock, "date")
+
+    naive = [
+        (F.coalesce(f"{p}_naive", F.lit(False)) & F.lit(source.format == CSV)).alias(f"{p}_naive")
+        for p in configured
+    ]
     return facts.select(
         F.lit(source.name).alias("name"),
         F.lit(source.format).alias("source_format"),
         "rows",
-        F.lit(len(names)).alias("columns"),
-        F.array(*[F.lit(name) for name in names]).alias("column_names"),
+        F.lit(len(types)).alias("columns"),
+        F.array(*[F.lit(name) for name in types]).alias("column_names"),
         F.create_map(*pairs).alias("inferred_column_types"),
-        F.col("data_min").alias("data_min_at"),
-        F.col("data_max").alias("data_max_at"),
-        granularity["data"].alias("data_time_granularity"),
-        F.col("processed_max").alias("processed_at"),
-        granularity["processed"].alias("processed_time_granularity"),
-        *[f"{p}_{n}" for p in ("data", "processed") for n in ("values", "naive", "invalid")],
+        F.col("data_min_at"),
+        F.col("data_max_at"),
+        granularity("data").alias("data_time_granularity"),
+        F.col("processed_max_at").alias("processed_at"),
+        granularity("processed").alias("processed_time_granularity"),
+        *[f"{p}_{fact}" for p in configured for fact in ("values", "invalid")],
+        *naive,
     )
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.functions.text_types import class_bit, typed_value
+from tallyboard.functions.text_types import text_facts, typed_value
 
 CSV, PARQUET = "csv", "parquet"
 # A line is whole when every quoted field on it is closed and followed by a comma
@@ -115,14 +115,10 @@ def read_csv_text(
 
 def typed_csv(text: DataFrame) -> DataFrame:
     """Text columns cast to the types that all their values share."""
-    bits = text.agg(
-        *[F.bit_or(class_bit(F.col(f"`{c}`"))).alias(f"b{i}") for i, c in enumerate(text.columns)]
-    ).first()
+    # One row per column; there is none when the source has no rows.
+    bits = {row.column_name: row.bits for row in text_facts(text, text.columns).collect()}
     return text.select(
-        *[
-            typed_value(F.col(f"`{column}`"), bits[f"b{i}"] or 0).alias(column)
-            for i, column in enumerate(text.columns)
-        ]
+        *[typed_value(F.col(f"`{name}`"), bits.get(name, 0)).alias(name) for name in text.columns]
     )
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyboard.operators.status import freshness_rollup
 
+# JSON times with microseconds and offset.
+TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def _by_name(left: Column, right: Column) -> Column:
     first, second = left.getField("name"), right.getField("name")
@@ -62,7 +65,7 @@ def build_manifest(
 
 
 def write_manifest(manifest: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
-    manifest.write.mode(mode).json(path)
+    manifest.write.mode(mode).option("timestampFormat", TIMES).json(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard.plans.grouped import attach
+from tallyboard.sources.manifest import TIMES
 
 # Version of the record layout.
 RECORD_VERSION = "0.1"
@@ -30,7 +31,7 @@ def latest_record(manifest: DataFrame) -> DataFrame:
 
 def publish(records: DataFrame, registry: str) -> None:
     """Append build records; appending never touches an earlier publication."""
-    records.write.mode("append").partitionBy("slug").json(registry)
+    records.write.mode("append").option("timestampFormat", TIMES).partitionBy("slug").json(registry)
 
 
 def read_registry(spark: SparkSession, registry: str) -> DataFrame:
