@@ -14,12 +14,15 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
+# Fixed when a session starts. Call sites in error texts cost a stack walk for
+# every expression that is built.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def report_session(app_name: str = "tallyboard", **extra: str) -> SparkSession:
     """A session with the settings above; cluster settings come from spark-submit."""
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **START_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
