@@ -72,7 +72,7 @@ def format_number(value: Column, style: ValueFormat = ValueFormat(), signed: boo
     else:
         body = _grouped(size, 0, 1 if style.format == "percent" else 3)
     if style.format == "currency":
-        prefix = F.lit(SYMBOLS.get(style.currency, style.currency + " "))
+        prefix = F.lit(SYMBOLS.get(style.currency, style.currency + "\u00a0"))
     negative = F.lit("-")
     sign = F.when(number < 0, negative).otherwise(F.lit("+") if signed else F.lit(""))
     return F.concat(sign, prefix, body, suffix)

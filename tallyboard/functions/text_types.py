@@ -29,10 +29,11 @@ NUMBER_TEXT = (
     r"|(?i:inf|infinity|nan))$"
 )
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
-# Shapes Spark casts by itself; the offset stays within the ±18 hours it accepts.
+# Shapes Spark casts by itself: an offset needs seconds before it and stays within
+# 18 hours.
 _PLAIN_SHAPE = (
     r"^(?!0000)\d{4}-\d{2}-\d{2}"
-    r"(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-](?:0\d|1[0-7]):?[0-5]\d)?)?$"
+    r"(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?(?:Z|[+-](?:0\d|1[0-7]):?[0-5]\d)?)?)?$"
 )
 # Every other ISO 8601 shape: basic dates and times, week dates, any separator.
 _WEEK_DATE = r"^(\d{4})-?W(\d{2})(?:-?(\d))?"
@@ -48,6 +49,8 @@ _TO_PLAIN = [
     (r"^(.{10}).(?=\d)", "$1T"),
     (r"^(.{11}\d{2})(\d{2})(\d{2})", "$1:$2:$3"),
     (r"^(.{11}\d{2})(\d{2})(?!\d)", "$1:$2"),
+    (r"^(.{11}\d{2})(?=Z|[+-]|$)", "$1:00"),
+    (r"^(.{11}\d{2}:\d{2})(?=Z|[+-]|$)", "$1:00"),
     (r"(:\d{2}),(?=\d)", "$1."),
     (r"(\.\d{6})\d+", "$1"),
 ]
@@ -122,8 +125,9 @@ def text_facts(frame: DataFrame, names: Sequence[str], times: Sequence[str] = ()
     """One row per text column: rows, class bits, and for ``times`` the instants.
 
     Columns become rows before they are classified: the tests are compiled once
-    and not once per column, and a value is stripped and parsed once. The partial
-    aggregate leaves one row per task and column for the shuffle.
+    and not once per column, and a value is stripped and parsed once. The facts are
+    numbers, flags and times, so the partial aggregate is a hash aggregate and
+    leaves one row per task and column for the shuffle.
     """
     values = F.array(*[F.col(f"`{name}`") for name in names])
     is_time = F.col("column_index").isin([names.index(name) for name in times]) if times else None
@@ -152,7 +156,7 @@ def text_facts(frame: DataFrame, names: Sequence[str], times: Sequence[str] = ()
                     timed & at.isNotNull(), ~text.rlike(DATE_TEXT) & ~text.rlike(OFFSET_TEXT)
                 )
             ).alias("naive"),
-            F.min(F.when(timed & (text != "") & at.isNull(), text)).alias("invalid"),
+            F.count(F.when(timed & (text != "") & at.isNull(), 1)).alias("invalid"),
         )
         .select(
             F.element_at(F.array(*[F.lit(name) for name in names]), F.col("column_index") + 1)

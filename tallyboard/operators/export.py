@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyboard.functions.csv_text import cell_text, quote_cell
 from tallyboard.operators.series import effective_series
@@ -64,11 +65,6 @@ def visible_data(rows: DataFrame, output: Output) -> DataFrame:
     return table_projection(rows, columns)
 
 
-def csv_cells(rows: DataFrame) -> DataFrame:
-    """Every column as the text of its CSV cell, without the quotes."""
-    return rows.select(*[cell_text(rows, name).alias(name) for name in rows.columns])
-
-
 def csv_lines(rows: DataFrame, into: str = "line") -> DataFrame:
     """Rows as finished CSV lines."""
     return rows.select(
@@ -76,12 +72,25 @@ def csv_lines(rows: DataFrame, into: str = "line") -> DataFrame:
     )
 
 
-def write_csv(rows: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
-    """CSV with CRLF lines and a header per part file; no byte-order mark is written."""
+def write_csv(
+    rows: DataFrame, path: str, *, byte_order_mark: bool = True, mode: str = "errorifexists"
+) -> None:
+    """Part files that each are a whole CSV: mark, header, lines ending in CRLF.
+
+    The finished lines go through the text writer; the CSV writer would turn the
+    line breaks inside cells into CRLF as well. The header is put before the first
+    row of each task, which writes one file.
+    """
+    names = rows.sparkSession.createDataFrame([tuple(rows.columns)], _text_schema(rows.columns))
+    header = csv_lines(names).first()[0]
+    start = ("\ufeff" if byte_order_mark else "") + header + "\r\n"
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    line = F.when(in_task == 0, F.concat(F.lit(start), F.col("line"))).otherwise(F.col("line"))
     (
-        csv_cells(rows).write.mode(mode)
-        .option("header", True).option("lineSep", "\r\n").option("escape", '"')
-        .option("emptyValue", "").option("nullValue", "")
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
+        csv_lines(rows).select(line.alias("line")).write.mode(mode)
+        .option("lineSep", "\r\n").option("maxRecordsPerFile", 0).text(path)
     )
+
+
+def _text_schema(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])

@@ -71,7 +71,7 @@ def schema_types(source: Source) -> DataFrame:
 
 _FACTS = {
     "min_at": "timestamp", "max_at": "timestamp", "values": "long",
-    "datetime": "boolean", "naive": "boolean", "invalid": "string",
+    "datetime": "boolean", "naive": "boolean", "invalid": "long",
 }
 
 
@@ -85,7 +85,7 @@ def _typed_time(source: Source, prefix: str, name: str) -> list[Column]:
         "min_at": F.min(at), "max_at": F.max(at), "values": F.count(column),
         "datetime": F.when(F.count(at) > 0, has_time(data_type)),
         "naive": F.lit(False),
-        "invalid": F.lit(None).cast("string") if timed else F.min(column.cast("string")),
+        "invalid": F.lit(0).cast("long") if timed else F.count(column),
     }
     return [value.alias(f"{prefix}_{fact}") for fact, value in facts.items()]
 
@@ -237,10 +237,10 @@ def data_checks(source: Source, built_at: datetime, facts: DataFrame | None = No
                 _check("freshness_values", FAILED, f"freshness column {column!r} has no values", source),
             ),
             F.when(
-                invalid.isNotNull(),
+                invalid > 0,
                 _check(
                     "freshness_parse", FAILED,
-                    F.concat(F.lit("not an ISO 8601 datetime in "), F.lit(f"{column!r}: "), invalid),
+                    F.format_string(f"{column!r}: %d values are not ISO 8601 datetimes", invalid),
                     source,
                 ),
             ),
