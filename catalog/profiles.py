@@ -319,7 +319,7 @@ def fingerprint_sql(name: str) -> str:
     row = ", ".join(f"coalesce(length({t}) || ':' || {t}, '-')" for t in texts)
     lanes = ", ".join(
         f"CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)), 0) AS VARCHAR)"
-        for i in range(8)
+        for i in range(4)
     )
     return f"""SELECT '{name}' AS name, count(*) AS "rows",
         sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {lanes})) AS fingerprint

@@ -22,12 +22,20 @@ BOOLEAN, INTEGER, NUMBER, DATETIME, STRING = 1, 2, 4, 8, 16
 BEYOND_LONG, OTHER_DIGITS = 32, 64
 _MARKS = BEYOND_LONG | OTHER_DIGITS
 
-_DIGITS = r"\p{Nd}+(?:_\p{Nd}+)*"
-INTEGER_TEXT = rf"^[+-]?{_DIGITS}$"
-NUMBER_TEXT = (
-    rf"^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
-    r"|(?i:inf|infinity|nan))$"
-)
+
+def _number_patterns(digit: str) -> tuple[str, str]:
+    """Patterns of integers and of other numbers, with single underscores inside."""
+    digits = rf"{digit}+(?:_{digit}+)*"
+    mantissa = rf"(?:{digits}(?:\.(?:{digits})?)?|\.{digits})"
+    return (
+        rf"^[+-]?{digits}$",
+        rf"^[+-]?(?:{mantissa}(?:[eE][+-]?{digits})?|(?i:inf|infinity|nan))$",
+    )
+
+
+INTEGER_TEXT, NUMBER_TEXT = _number_patterns("[0-9]")
+# Digits of any script count too; the slower patterns see non-ASCII text only.
+ANY_INTEGER_TEXT, ANY_NUMBER_TEXT = _number_patterns(r"\p{Nd}")
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
 # Shapes Spark casts by itself: an offset needs seconds before it and stays within
 # 18 hours.
@@ -111,13 +119,17 @@ def undated_bit(text: Column) -> Column:
     """Bit of a stripped value's class, leaving out dates: 0 for NULL text, which
     fits any type, and NULL for what is a datetime or a string."""
     lower = F.lower(text)
-    other = F.when(text.rlike(r"[^\x00-\x7f]"), OTHER_DIGITS).otherwise(0)
-    beyond = F.when(text.try_cast("long").isNull(), BEYOND_LONG).otherwise(0)
+    beyond = F.when(text.try_cast("long").isNull(), INTEGER | BEYOND_LONG).otherwise(INTEGER)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    other_script = F.when(text.rlike(ANY_INTEGER_TEXT), INTEGER | OTHER_DIGITS).when(
+        text.rlike(ANY_NUMBER_TEXT), NUMBER | OTHER_DIGITS
+    )
     return (
         F.when(text.isNull() | lower.isin(NULL_TEXT), 0)
         .when(lower.isin(BOOLEAN_TEXT), BOOLEAN)
-        .when(text.rlike(INTEGER_TEXT), beyond.bitwiseOR(other).bitwiseOR(F.lit(INTEGER)))
-        .when(text.rlike(NUMBER_TEXT), other.bitwiseOR(F.lit(NUMBER)))
+        .when(text.rlike(INTEGER_TEXT), beyond)
+        .when(text.rlike(NUMBER_TEXT), NUMBER)
+        .when(~ascii_only, other_script)
     )
 
 

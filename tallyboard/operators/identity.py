@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tallyboard.functions.csv_text import has_time, is_nested
 from tallyboard.functions.numbers import field_type
 
-# Hash lanes: eight hex digits each, summed on their own, so that row order and
-# partitioning do not matter and the sum stays exact.
-LANES = 8
+# A multiset of rows is hashed as sums over pieces of its row hashes, so that row
+# order and partitioning do not matter: four pieces of 32 bits.
+PIECES = 4
 
 
 def _canonical(frame: DataFrame, name: str) -> Column:
@@ -28,30 +28,44 @@ def _canonical(frame: DataFrame, name: str) -> Column:
     return F.coalesce(sized, F.lit("-"))
 
 
-def _lane_sums(digest: Column) -> list[Column]:
-    return [
-        F.sum(F.conv(F.substring(digest, 1 + 8 * lane, 8), 16, 10).cast("decimal(20,0)"))
-        .cast("decimal(38,0)")
-        .alias(f"lane_{lane}")
-        for lane in range(LANES)
+def _summed(digests: DataFrame, *aggregates: Column) -> DataFrame:
+    """One row: the number of ``sha256`` values, the sums of their pieces, and more.
+
+    Sums run as 64-bit integers within a task, where two billion rows fit, and as
+    decimals over the tasks, where they cannot overflow.
+    """
+    pieces = [
+        F.conv(F.substring("sha256", 1 + 8 * piece, 8), 16, 10).cast("long")
+        for piece in range(PIECES)
     ]
+    per_task = digests.groupBy(F.spark_partition_id().alias("task")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(piece).alias(f"piece_{i}") for i, piece in enumerate(pieces)],
+        *aggregates,
+    )
+    return per_task.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        *[
+            F.coalesce(F.sum(F.col(f"piece_{i}").cast("decimal(28,0)")), F.lit(0))
+            .cast("string").alias(f"piece_{i}")
+            for i in range(PIECES)
+        ],
+        *[F.max(name).alias(name) for name in per_task.columns if name == "only"],
+        *[F.sum(name).alias(name) for name in per_task.columns if name == "bytes"],
+    )
 
 
-def _folded(count: Column) -> Column:
-    lanes = [
-        F.coalesce(F.col(f"lane_{lane}"), F.lit(0)).cast("string") for lane in range(LANES)
-    ]
-    return F.sha2(F.concat_ws("|", count.cast("string"), *lanes), 256)
+def _folded() -> Column:
+    pieces = [F.col(f"piece_{i}") for i in range(PIECES)]
+    return F.sha2(F.concat_ws("|", F.col("n").cast("string"), *pieces), 256)
 
 
 def table_fingerprint(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(rows, fingerprint) of a table as a multiset of rows, in one pass."""
     names = list(columns or frame.columns)
     digest = F.sha2(F.concat_ws("|", *[_canonical(frame, name) for name in names]), 256)
-    sums = frame.select(digest.alias("digest")).agg(
-        F.count(F.lit(1)).alias("rows"), *_lane_sums(F.col("digest"))
-    )
-    return sums.select("rows", _folded(F.col("rows")).alias("fingerprint"))
+    sums = _summed(frame.select(digest.alias("sha256")))
+    return sums.select(F.col("n").alias("rows"), _folded().alias("fingerprint"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -63,14 +77,11 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 def source_hash(spark: SparkSession, path: str) -> DataFrame:
     """(files, bytes, sha256) of a source: the file's own hash when there is one
     file, else an order-free hash over the hashes of all files."""
-    sums = file_digests(spark, path).agg(
-        F.count(F.lit(1)).alias("files"),
-        F.sum("length").alias("bytes"),
-        F.max("sha256").alias("only"),
-        *_lane_sums(F.col("sha256")),
+    sums = _summed(
+        file_digests(spark, path), F.max("sha256").alias("only"), F.sum("length").alias("bytes")
     )
-    combined = F.when(F.col("files") == 1, F.col("only")).otherwise(_folded(F.col("files")))
-    return sums.select("files", "bytes", combined.alias("sha256"))
+    combined = F.when(F.col("n") == 1, F.col("only")).otherwise(_folded())
+    return sums.select(F.col("n").alias("files"), "bytes", combined.alias("sha256"))
 
 
 def content_identity(
