@@ -21,6 +21,14 @@ BOOLEAN, INTEGER, NUMBER, DATETIME, STRING = 1, 2, 4, 8, 16
 # Marks beside the class: an integer outside 64 bits, a number in non-ASCII digits.
 BEYOND_LONG, OTHER_DIGITS = 32, 64
 _MARKS = BEYOND_LONG | OTHER_DIGITS
+TYPE_BITS = {
+    "boolean": BOOLEAN, "integer": INTEGER, "number": NUMBER, "datetime": DATETIME,
+    "string": STRING,
+}
+TEXT_FACTS = (
+    "column_name string, rows long, bits int, min_at timestamp, max_at timestamp, "
+    "values long, datetime boolean, naive boolean, invalid long"
+)
 
 
 def _number_patterns(digit: str) -> tuple[str, str]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyboard.functions.csv_text import has_time
-from tallyboard.functions.text_types import text_facts, type_of_bits
+from tallyboard.functions.text_types import TEXT_FACTS, text_facts, type_of_bits
 from tallyboard.sources.load import CSV, ContractError, Source
 
 PASSED, WARNING, FAILED = "passed", "warning", "failed"
@@ -101,7 +101,10 @@ def _absent(prefix: str) -> list[Column]:
 
 
 def source_facts(source: Source, with_types: bool = True) -> DataFrame:
-    """One row with everything the passport and the checks need, from one pass."""
+    """One row with everything the passport and the checks need, from one pass.
+
+    A CSV source that was profiled when it was loaded is not read again.
+    """
     raw, settings = source.raw, source.freshness
     configured = {
         "data": settings.data_time_column, "processed": settings.processed_time_column,
@@ -112,7 +115,10 @@ def source_facts(source: Source, with_types: bool = True) -> DataFrame:
     if inferred or (texts and len(texts) == len(times)):
         # Every column of interest is text.
         names = list(raw.columns) if inferred else list(dict.fromkeys(texts))
-        columns = text_facts(raw, names, texts)
+        columns = (
+            text_facts(raw, names, list(dict.fromkeys(texts))) if source.columns is None
+            else raw.sparkSession.createDataFrame(list(source.columns), TEXT_FACTS)
+        )
         kinds = F.map_from_entries(
             F.collect_list(F.struct("column_name", type_of_bits(F.col("bits")).alias("kind")))
         )

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from tallyboard.operators.options import param_options
@@ -39,6 +40,7 @@ class Block:
     reads: tuple[str, ...]
     uses: tuple[str, ...] = ()
     text: str = ""
+    keep: bool = False
 
 
 @dataclass(frozen=True)
@@ -83,10 +85,16 @@ class Run:
 
     outputs: dict[str, DataFrame] = field(default_factory=dict)
     events: list[tuple[str, str, str, str | None]] = field(default_factory=list)
+    kept: list[DataFrame] = field(default_factory=list)
 
     def status(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.events, STATUS_SCHEMA)
 
+    def release(self) -> None:
+        """Let go of the views that were kept for this run's outputs."""
+        while self.kept:
+            self.kept.pop().unpersist()
+
 
 class ResultCache:
     """Persisted outputs by content, output, and the parameters it depends on.
@@ -151,17 +159,26 @@ class Report:
             raise ReportError(f"the name {block.name!r} is already taken")
         self.blocks[block.name] = block
 
-    def _declare(self, kind: str, name: str, reads: Iterable[str], uses: Iterable[str]):
-        def keep(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+    def _declare(
+        self, kind: str, name: str, reads: Iterable[str], uses: Iterable[str], keep: bool = False
+    ):
+        def add(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
             text = _source_text(build)
-            self._add(Block(name, kind, build, tuple(reads), tuple(uses), text))
+            self._add(Block(name, kind, build, tuple(reads), tuple(uses), text, keep))
             return build
 
-        return keep
+        return add
 
-    def view(self, name: str, *, reads: Iterable[str], uses: Iterable[str] = ()):
-        """Decorator for a reusable relation."""
-        return self._declare(VIEW, name, reads, uses)
+    def view(
+        self, name: str, *, reads: Iterable[str], uses: Iterable[str] = (), keep: bool = False
+    ):
+        """Decorator for a reusable relation.
+
+        A view is computed by every output that reads it, with only the columns
+        and rows that the output needs. ``keep`` stores it for the run instead:
+        worth it for a small result of a large scan that many outputs read.
+        """
+        return self._declare(VIEW, name, reads, uses, keep)
 
     def query(self, name: str, *, reads: Iterable[str], uses: Iterable[str] = ()):
         """Decorator for an output."""
@@ -293,6 +310,9 @@ class Report:
             )
             frame = self._result(block, inputs, settings)
             if block.kind == VIEW:
+                if block.keep:
+                    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+                    run.kept.append(frame)
                 frame.createOrReplaceTempView(name)
             else:
                 run.outputs[name] = frame

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.functions.text_types import text_facts, typed_value
+from tallyboard.functions.text_types import TYPE_BITS, text_facts, typed_value
 
 CSV, PARQUET = "csv", "parquet"
 # A line is whole when every quoted field on it is closed and followed by a comma
@@ -35,7 +35,8 @@ class Freshness:
 @dataclass(frozen=True)
 class Source:
     """A named table. ``frame`` is what queries read; ``raw`` is what is profiled:
-    the same frame for Parquet, the untyped text columns for CSV."""
+    the same frame for Parquet, the untyped text columns for CSV. ``columns`` are
+    the facts of the text columns, one row each, if loading already found them."""
 
     name: str
     format: str
@@ -43,6 +44,7 @@ class Source:
     raw: DataFrame
     path: str | None = None
     freshness: Freshness = field(default_factory=Freshness)
+    columns: tuple[Row, ...] | None = None
 
 
 def source_format(path: str) -> str:
@@ -90,12 +92,14 @@ def read_csv_text(
     """All columns as text; short rows end in NULLs, extra cells are dropped.
 
     Files are split over tasks unless a record spans lines. With ``multiline``
-    None that is found out by one pass over the lines.
+    None one pass over the lines finds that out and checks the encoding.
     """
-    facts = csv_lines(spark, path).first()
-    if facts["bad_utf8"]:
-        raise ContractError(f"{path} is not UTF-8")
-    spans = facts["open_lines"] if multiline is None else multiline
+    spans = bool(multiline)
+    if multiline is None:
+        facts = csv_lines(spark, path).first()
+        if facts["bad_utf8"]:
+            raise ContractError(f"{path} is not UTF-8")
+        spans = facts["open_lines"]
     columns = csv_header(spark, path, spans)
     problem = header_problem(columns)
     if problem:
@@ -113,10 +117,8 @@ def read_csv_text(
     )
 
 
-def typed_csv(text: DataFrame) -> DataFrame:
+def typed_frame(text: DataFrame, bits: Mapping[str, int]) -> DataFrame:
     """Text columns cast to the types that all their values share."""
-    # One row per column; there is none when the source has no rows.
-    bits = {row.column_name: row.bits for row in text_facts(text, text.columns).collect()}
     return text.select(
         *[typed_value(F.col(f"`{name}`"), bits.get(name, 0)).alias(name) for name in text.columns]
     )
@@ -129,14 +131,27 @@ def load_source(
     *,
     freshness: Freshness | None = None,
     multiline: bool | None = None,
+    column_types: Mapping[str, str] | None = None,
 ) -> Source:
-    """Open a source; the path's suffix names the format."""
+    """Open a source; the path's suffix names the format.
+
+    A CSV source is read once for its line structure and once for its column
+    types, and the second pass finds the profile as well. ``multiline`` spares the
+    first one, and ``column_types``, as an earlier passport has them, the second.
+    """
     settings = freshness or Freshness()
     if source_format(path) == PARQUET:
         frame = spark.read.parquet(path)
         return Source(name, PARQUET, frame, frame, path, settings)
     text = read_csv_text(spark, path, multiline)
-    return Source(name, CSV, typed_csv(text), text, path, settings)
+    if column_types is not None:
+        bits = {column: TYPE_BITS.get(kind, 0) for column, kind in column_types.items()}
+        return Source(name, CSV, typed_frame(text, bits), text, path, settings)
+    times = [column for column in dict.fromkeys(settings.columns()) if column in text.columns]
+    # One row per column; there is none when the source has no rows.
+    columns = tuple(text_facts(text, text.columns, times).collect())
+    frame = typed_frame(text, {row.column_name: row.bits for row in columns})
+    return Source(name, CSV, frame, text, path, settings, columns)
 
 
 def table_source(name: str, frame: DataFrame, freshness: Freshness | None = None) -> Source:
