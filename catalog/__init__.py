@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyboard.session import prepare
 
@@ -15,17 +16,25 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under ``name``; ``oracle`` is its SQL counterpart."""
+def query(
+    name: str, oracle: str | None = None, dates: tuple[str, ...] = ()
+) -> Callable[[Query], Query]:
+    """Register a query under ``name``; ``oracle`` is its SQL counterpart.
+
+    ``dates`` are date columns of both; results show dates as ISO text.
+    """
 
     def keep(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(prepare(spark), sf_dir)
+            result = build(prepare(spark), sf_dir)
+            shown = {date: F.date_format(date, "yyyy-MM-dd") for date in dates}
+            return result.withColumns(shown) if shown else result
 
         run.__name__ = name
         QUERIES[name] = run
         if oracle is not None:
-            ORACLE[name] = oracle
+            texts = ", ".join(f"strftime({date}, '%Y-%m-%d') AS {date}" for date in dates)
+            ORACLE[name] = f"SELECT * REPLACE ({texts}) FROM ({oracle})" if dates else oracle
         return build
 
     return keep

@@ -12,7 +12,7 @@ from tallyboard.operators.export import BAR, HEATMAP, LINE, Output, csv_lines, v
 from tallyboard.operators.stack import STANDARD
 
 
-@query("export_line", f"SELECT month, status, revenue, NULL::VARCHAR AS absent FROM ({STATUS_SQL})")
+@query("export_line", f"SELECT month, status, revenue, NULL::VARCHAR AS absent FROM ({STATUS_SQL})", dates=("month",))
 def export_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = by_status(spark, sf_dir).withColumn("hidden", F.lit("x"))
     output = Output(LINE, x="month", y="revenue", group="status", details=["absent"])
@@ -23,6 +23,7 @@ def export_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     "export_bar_normalized",
     f"""SELECT month, status, revenue, share AS revenue_normalized
         FROM ({normalize_sql(STATUS_SQL, 'sum(revenue)')})""",
+    dates=("month",),
 )
 def export_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     output = Output(BAR, x="month", y="revenue", group="status", stack=STANDARD)
@@ -33,6 +34,7 @@ def export_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "export_heatmap",
     f"""{COHORT_SQL} SELECT cohort_month, period_number, cohort_size, retained, retention FROM frame""",
+    dates=("cohort_month",),
 )
 def export_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cohorts(spark, sf_dir).withColumn("hidden", F.lit("x"))

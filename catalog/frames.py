@@ -189,6 +189,7 @@ def sql_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
          SELECT date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS revenue
          FROM orders GROUP BY 1)
        SELECT CAST(month AS DATE) AS month, round(revenue, 2) AS revenue FROM by_month ORDER BY month""",
+    dates=("month",),
 )
 def sql_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
@@ -205,6 +206,7 @@ def sql_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
     "revenue_by_month",
     """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus AS status,
               round(sum(o_totalprice), 2) AS revenue FROM orders GROUP BY 1, 2""",
+    dates=("month",),
 )
 def revenue_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly(table(spark, sf_dir, "orders"), "o_orderstatus", "status")

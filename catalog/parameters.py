@@ -154,6 +154,7 @@ def filtered_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
                o_orderstatus AS breakdown, round(sum(o_totalprice), 2) AS revenue
         FROM orders WHERE {FILTERED_SQL} GROUP BY 1, 2 ORDER BY month, breakdown""",
+    dates=("month",),
 )
 def revenue_by_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = revenue_report(spark, sf_dir).run(SELECTION, ["revenue_by_month"])

@@ -70,7 +70,7 @@ COMPARED_SQL = f"""SELECT period, current_value,
     lag(current_value) OVER (ORDER BY period) AS previous_value FROM ({COMPARE_SQL})"""
 
 
-@query("period_compare", COMPARED_SQL)
+@query("period_compare", COMPARED_SQL, dates=("period",))
 def compare_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_compare(
         table(spark, sf_dir, "orders"), "o_orderdate", F.round(F.sum("o_totalprice"), 2)
@@ -113,7 +113,7 @@ def delta_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("delta_text")
 
 
-@query("series_frame", STATUS_SQL)
+@query("series_frame", STATUS_SQL, dates=("month",))
 def series_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series_frame(
         by_status(spark, sf_dir), "month", "revenue", group="status", color="month"
@@ -153,6 +153,7 @@ def axis_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT month, priority, revenue, round(y0, 2) AS y0, round(y0 + revenue, 2) AS y1
         FROM (SELECT *, coalesce(sum(revenue) OVER (PARTITION BY month, revenue < 0 ORDER BY priority
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y0 FROM ({SIGNED_SQL}))""",
+    dates=("month",),
 )
 def stack_zero_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stacked = stack_zero(signed(spark, sf_dir), "month", "revenue", ["priority"])
@@ -169,12 +170,12 @@ def shares(frame: DataFrame, mode: str) -> DataFrame:
     return shared.withColumn("share", F.round("share", 9))
 
 
-@query("stack_normalize", normalize_sql(STATUS_SQL, "sum(revenue)"))
+@query("stack_normalize", normalize_sql(STATUS_SQL, "sum(revenue)"), dates=("month",))
 def stack_normalize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(by_status(spark, sf_dir), STANDARD)
 
 
-@query("stack_normalize_gross", normalize_sql(SIGNED_SQL, "sum(abs(revenue))"))
+@query("stack_normalize_gross", normalize_sql(SIGNED_SQL, "sum(abs(revenue))"), dates=("month",))
 def stack_gross_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(signed(spark, sf_dir), GROSS)
 
@@ -183,6 +184,7 @@ def stack_gross_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stack_normalize_net",
     f"""SELECT *, round(revenue / abs(sum(revenue) OVER (PARTITION BY month)), 6) AS share
         FROM ({SIGNED_SQL})""",
+    dates=("month",),
 )
 def stack_net_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = stack_normalize(signed(spark, sf_dir), "month", "revenue", NET, into="share")
@@ -205,7 +207,7 @@ def cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort_retention(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
 
 
-@query("cohort_retention", f"{COHORT_SQL} SELECT * FROM frame")
+@query("cohort_retention", f"{COHORT_SQL} SELECT * FROM frame", dates=("cohort_month",))
 def cohort_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts(spark, sf_dir)
 
@@ -214,6 +216,7 @@ def cohort_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "heatmap_cells",
     f"""{COHORT_SQL} SELECT period_number, cohort_month, retention, retained,
         retention * 100 AS cell_label FROM frame ORDER BY 1, 2""",
+    dates=("cohort_month",),
 )
 def cells_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heatmap_cells(
@@ -226,6 +229,7 @@ def cells_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "heatmap_matrix",
     f"""SELECT month, max(revenue) FILTER (status = 'F') AS "F", max(revenue) FILTER (status = 'O') AS "O",
                max(revenue) FILTER (status = 'P') AS "P" FROM ({STATUS_SQL}) GROUP BY month""",
+    dates=("month",),
 )
 def matrix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heatmap_matrix(by_status(spark, sf_dir), "status", "month", "revenue", ["F", "O", "P"])
@@ -249,6 +253,7 @@ def domain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{COHORT_SQL} SELECT cohort_month, CAST(max(cohort_size) AS DOUBLE) AS metric,
         format('{{:,}}', max(cohort_size)) AS metric_display,
         format('{{:,}}', max(cohort_size)) AS metric_tooltip FROM frame GROUP BY 1""",
+    dates=("cohort_month",),
 )
 def metric_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heatmap_row_metric(cohorts(spark, sf_dir), "cohort_month", "cohort_size")
@@ -262,6 +267,7 @@ def metric_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT x, row_number() OVER (PARTITION BY x ORDER BY series) AS place, series,
                series AS color_value, value, 'Order count' AS detail_label,
                CAST(order_count AS VARCHAR) AS detail_value FROM f""",
+    dates=("x",),
 )
 def tooltip_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month")
