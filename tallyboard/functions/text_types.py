@@ -18,12 +18,13 @@ WHITE_SPACE = (
 
 # One bit per class, so that a column's type is the bit_or of its values.
 BOOLEAN, INTEGER, NUMBER, DATETIME, STRING = 1, 2, 4, 8, 16
-# Marks beside the class: an integer outside 64 bits, a number in non-ASCII digits.
-BEYOND_LONG, OTHER_DIGITS = 32, 64
-_MARKS = BEYOND_LONG | OTHER_DIGITS
+# Marks beside the class: an integer outside 64 bits, a number in non-ASCII digits,
+# a date with a clock time.
+BEYOND_LONG, OTHER_DIGITS, CLOCK = 32, 64, 128
+_MARKS = BEYOND_LONG | OTHER_DIGITS | CLOCK
 TYPE_BITS = {
-    "boolean": BOOLEAN, "integer": INTEGER, "number": NUMBER, "datetime": DATETIME,
-    "string": STRING,
+    "boolean": BOOLEAN, "integer": INTEGER, "number": NUMBER, "date": DATETIME,
+    "datetime": DATETIME | CLOCK, "string": STRING,
 }
 TEXT_FACTS = (
     "column_name string, rows long, bits int, min_at timestamp, max_at timestamp, "
@@ -154,6 +155,8 @@ def text_facts(frame: DataFrame, names: Sequence[str], times: Sequence[str] = ()
     wanted = F.col("undated").isNull() if is_time is None else F.col("undated").isNull() | is_time
     text, at = F.col("text"), F.col("at")
     timed = F.lit(False) if is_time is None else is_time
+    clock = F.when(text.rlike(DATE_TEXT), DATETIME).otherwise(DATETIME | CLOCK)
+    dated_bit = F.when(at.isNotNull(), clock).otherwise(STRING)
     return (
         frame.select(F.posexplode(values).alias("column_index", "value"))
         .select("column_index", strip(F.col("value")).alias("text"))
@@ -161,7 +164,7 @@ def text_facts(frame: DataFrame, names: Sequence[str], times: Sequence[str] = ()
         .select("*", F.when(wanted, stripped_instant(text)).alias("at"))
         .select(
             "column_index", "text", "at",
-            F.coalesce("undated", F.when(at.isNotNull(), DATETIME).otherwise(STRING)).alias("bit"),
+            F.coalesce("undated", dated_bit).alias("bit"),
         )
         .groupBy("column_index")
         .agg(
@@ -210,5 +213,7 @@ def typed_value(value: Column, bits: int) -> Column:
     if bits and not bits & ~(INTEGER | NUMBER | BEYOND_LONG):
         return F.replace(present, F.lit("_"), F.lit("")).try_cast("double")
     if bits == DATETIME:
+        return iso_instant(present).cast("date")
+    if bits == DATETIME | CLOCK:
         return iso_instant(present)
     return value

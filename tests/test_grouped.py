@@ -91,3 +91,32 @@ def test_operators_agree_on_both_paths(skewed):
         small, ranged = build(1_000_000), build(5)
         key = lambda rows: sorted(map(repr, rows))
         assert key(small.collect()) == key(ranged.collect())
+
+
+def test_a_hot_key_is_split_when_the_side_is_not_broadcast(spark):
+    """With a large per-group side the join shuffles, and the hot partition is split."""
+    rows = spark.range(400_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("g"),
+        F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        totals = rows.groupBy(F.col("g").alias("k")).agg(F.count("*").alias("n"))
+        joined = attach(rows, totals, {"k": F.col("g")})
+        counted = joined.groupBy("n").agg(
+            F.count("*").alias("rows"), F.count_distinct("payload").alias("payloads")
+        )
+        assert sorted(values(counted)) == [(1, 266_666, 266_666), (133_334, 133_334, 133_334)]
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

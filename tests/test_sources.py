@@ -73,6 +73,15 @@ def test_csv_shapes(spark, csv):
     assert values(flags.frame) == [(True, "NA"), (None, None)]
 
 
+def test_date_columns_are_dates(spark, csv):
+    source = load_source(spark, "t", csv("d,t,s\n2026-07-01,2026-07-01,2026-W01-1\n,2026-07-02T10:00:00Z,NA\n"))
+    assert [f.dataType.simpleString() for f in source.frame.schema] == ["date", "timestamp", "timestamp"]
+    assert values(source.frame) == [
+        (date(2026, 7, 1), datetime(2026, 7, 1), datetime(2025, 12, 29)),
+        (None, datetime(2026, 7, 2, 10), None),
+    ]
+
+
 def test_csv_folder(spark, csv, tmp_path):
     folder = tmp_path / "many.csv"
     folder.mkdir()
