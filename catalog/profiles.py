@@ -12,7 +12,7 @@ from catalog.frames import text_source
 from tallyboard.functions.text_types import iso_granularity, iso_instant, iso_is_naive
 from tallyboard.operators.identity import content_identity, source_hash, table_fingerprint
 from tallyboard.operators.profile import (
-    data_checks, infer_text_types, passport, schema_types, source_facts, source_window,
+    data_checks, infer_text_types, leaf_profile, passport, source_facts, source_window,
     timezone_check, union_all,
 )
 from tallyboard.operators.status import data_status, freshness_rollup
@@ -159,18 +159,20 @@ def infer_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "schema_types",
-    """SELECT 'embeddings' AS source, column_name, inferred_type FROM (VALUES
-         ('vec_id', 'integer'), ('embedding.list.element', 'number'), ('label', 'integer'))
-         AS t(column_name, inferred_type)
-       UNION ALL SELECT 'events', column_name, inferred_type FROM (VALUES
-         ('event_id', 'integer'), ('ts', 'datetime'), ('user_id', 'integer'),
-         ('event_type', 'string'), ('value', 'number'), ('props', 'string'))
-         AS t(column_name, inferred_type)""",
+    """SELECT 'embeddings' AS source, unnest(['vec_id', 'embedding.list.element', 'label']) AS column_name,
+              unnest(['integer', 'number', 'integer']) AS inferred_type,
+              unnest([count(vec_id), CAST(sum(len(embedding)) AS BIGINT), count(label)]) AS "values"
+       FROM embeddings
+       UNION ALL
+       SELECT 'events', unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']),
+              unnest(['integer', 'datetime', 'integer', 'string', 'number', 'string']),
+              unnest([count(event_id), count(ts), count(user_id), count(event_type), count(value),
+                      count(props)]) FROM events""",
 )
 def schema_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = [
-        schema_types(load_source(spark, name, table_path(sf_dir, name))).select(
-            F.lit(name).alias("source"), "column_name", "inferred_type"
+        leaf_profile(load_source(spark, name, table_path(sf_dir, name))).select(
+            F.lit(name).alias("source"), "column_name", "inferred_type", "values"
         )
         for name in ("embeddings", "events")
     ]

@@ -5,6 +5,7 @@ Everything about one source comes from one aggregate over its rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
@@ -69,6 +70,62 @@ def schema_types(source: Source) -> DataFrame:
     )
 
 
+def _present(value: Column, data_type: T.DataType) -> list[Column]:
+    """Number of non-NULL values of each leaf below a value, in schema order."""
+    if isinstance(data_type, T.StructType):
+        fields = data_type.fields
+        return [n for f in fields for n in _present(value.getField(f.name), f.dataType)]
+    if isinstance(data_type, T.ArrayType):
+        return _present_in(value, data_type.elementType)
+    if isinstance(data_type, T.MapType):
+        return [
+            *_present_in(F.map_keys(value), data_type.keyType),
+            *_present_in(F.map_values(value), data_type.valueType),
+        ]
+    return [F.count(value)]
+
+
+def _field_of(name: str) -> Callable[[Column], Column]:
+    return lambda item: item.getField(name)
+
+
+def _present_in(items: Column, data_type: T.DataType) -> list[Column]:
+    """The same for the items of an array."""
+    if isinstance(data_type, T.StructType):
+        return [
+            count
+            for field in data_type.fields
+            for count in _present_in(F.transform(items, _field_of(field.name)), field.dataType)
+        ]
+    if isinstance(data_type, T.ArrayType):
+        return _present_in(F.flatten(F.array_compact(items)), data_type.elementType)
+    if isinstance(data_type, T.MapType):
+        maps = F.array_compact(items)
+        keys = F.flatten(F.transform(maps, lambda item: F.map_keys(item)))
+        values = F.flatten(F.transform(maps, lambda item: F.map_values(item)))
+        return [*_present_in(keys, data_type.keyType), *_present_in(values, data_type.valueType)]
+    return [F.coalesce(F.sum(F.size(F.array_compact(items)).cast("long")), F.lit(0))]
+
+
+def leaf_profile(source: Source) -> DataFrame:
+    """(column_name, inferred_type, values) per leaf column, counted in one pass."""
+    leaves = leaf_types(source.frame.schema)
+    counts = [
+        count
+        for field in source.frame.schema.fields
+        for count in _present(F.col(f"`{field.name}`"), field.dataType)
+    ]
+    counted = source.frame.agg(*[count.alias(f"n{i}") for i, count in enumerate(counts)])
+    rows = [
+        F.struct(
+            F.lit(name).alias("column_name"), F.lit(kind).alias("inferred_type"),
+            F.col(f"n{i}").alias("values"),
+        )
+        for i, (name, kind) in enumerate(leaves.items())
+    ]
+    return counted.select(F.inline(F.array(*rows)))
+
+
 _FACTS = {
     "min_at": "timestamp", "max_at": "timestamp", "values": "long",
     "datetime": "boolean", "naive": "boolean", "invalid": "long",

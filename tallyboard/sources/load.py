@@ -15,6 +15,12 @@ CSV, PARQUET = "csv", "parquet"
 # or the end. Possessive quantifiers keep the match linear on long lines.
 _FIELD = r'(?:"(?:[^"]++|"")*+"|[^",][^,]*+|)'
 WHOLE_LINE = rf"^{_FIELD}(?:,{_FIELD})*+$"
+# The same for a whole file, where quoted fields may span lines.
+_FILE_FIELD = r'(?:"(?:[^"]++|"")*+"|[^",\r\n][^,\r\n]*+|)'
+WHOLE_FILE = rf"^(?:{_FILE_FIELD}(?:,{_FILE_FIELD})*+(?:\r\n|\n|\r|\z))*+\z"
+# A file with records over several lines is one task; up to this size its quoting
+# is checked as well.
+CHECKED_FILE_BYTES = 256 * 1024 * 1024
 
 
 class ContractError(ValueError):
@@ -63,6 +69,14 @@ def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field is never closed, in files that fit one value."""
+    files = spark.read.text(path, wholetext=True).where(
+        F.col("_metadata.file_size") <= CHECKED_FILE_BYTES
+    )
+    return not files.where(~F.col("value").rlike(WHOLE_FILE)).isEmpty()
+
+
 def csv_header(spark: SparkSession, path: str, multiline: bool = False) -> list[str]:
     """Cells of the first row of a source, as written."""
     cells = (
@@ -100,6 +114,8 @@ def read_csv_text(
         if facts["bad_utf8"]:
             raise ContractError(f"{path} is not UTF-8")
         spans = facts["open_lines"]
+        if spans and open_quotes(spark, path):
+            raise ContractError(f"{path}: a quoted field is not closed")
     columns = csv_header(spark, path, spans)
     problem = header_problem(columns)
     if problem:
@@ -111,6 +127,8 @@ def read_csv_text(
         # Every further file of the source must have the same header.
         .option("enforceSchema", False)
         .option("escape", '"')
+        # Text after a closing quote fails the read; a row of another length does not.
+        .option("unescapedQuoteHandling", "RAISE_ERROR")
         .option("multiLine", spans)
         .option("mode", "PERMISSIVE")
         .csv(path)

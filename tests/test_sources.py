@@ -8,7 +8,7 @@ from tallyboard.operators.identity import (
     content_identity, file_digests, source_hash, table_fingerprint,
 )
 from tallyboard.operators.profile import (
-    data_checks, leaf_types, passport, require_passed, schema_types, source_facts, source_window,
+    data_checks, leaf_profile, leaf_types, passport, require_passed, schema_types, source_facts, source_window,
     timezone_check, union_all,
 )
 from tallyboard.operators.status import data_status, freshness_rollup
@@ -97,7 +97,8 @@ def test_csv_folder(spark, csv, tmp_path):
     "text, problem",
     [
         ("", "no header"), ("a,,c\n1,2,3\n", "empty column name"), ("a,a\n1,2\n", "duplicate"),
-        (b"a,b\n1,\xff\n", "UTF-8"),
+        (b"a,b\n1,\xff\n", "UTF-8"), ('a,b\n1,"x\n2,y\n', "not closed"),
+        ('a,b\n1,"x"y\n', "not closed"),
     ],
 )
 def test_csv_contract(spark, csv, text, problem):
@@ -105,6 +106,11 @@ def test_csv_contract(spark, csv, text, problem):
         load_source(spark, "t", csv(text))
 
 
+def test_text_after_a_quote_fails_the_read(spark, csv):
+    with pytest.raises(Exception):
+        load_source(spark, "t", csv('a,b\n1,"x"y\n'), multiline=False)
+
+
 def test_other_suffixes_are_refused(spark):
     assert source_format("/x/T.CSV") == "csv" and source_format("a.parquet/") == "parquet"
     with pytest.raises(ContractError):
@@ -243,6 +249,21 @@ def test_nested_schema_names(spark):
     assert source_facts(table_source("t", rows)).first().columns == 4
 
 
+def test_leaf_profile(spark):
+    rows = spark.sql(
+        """SELECT * FROM VALUES
+             (1, named_struct('x', 1, 'y', array(1, null)), array(named_struct('z', 1)), map('k', null), array(array(1), null)),
+             (null, null, array(named_struct('z', null), null), map('k', 2, 'l', 3), null)
+           AS t(a, s, l, m, n)"""
+    ).select("a", "s", "l", F.col("m").cast("map<string,int>"), "n")
+    found = leaf_profile(table_source("t", rows))
+    assert values(found) == [
+        ("a", "integer", 1), ("s.x", "integer", 1), ("s.y.list.element", "integer", 1),
+        ("l.list.element.z", "integer", 1), ("m.key_value.key", "string", 3),
+        ("m.key_value.value", "integer", 2), ("n.list.element.list.element", "integer", 1),
+    ]
+
+
 def test_fingerprint_ignores_order_and_sees_changes(spark):
     rows = spark.createDataFrame([("a", None), (None, "a"), ("a", None)], "x string, y string")
     first = table_fingerprint(rows).first()
