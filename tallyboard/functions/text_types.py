@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Text read as NULL, and the white space stripped round a value.
 NULL_TEXT = ["", "null", "none", "na"]
 BOOLEAN_TEXT = ["true", "false"]
+UNSIGNED_NUMBER_WORDS = ["inf", "infinity", "nan"]
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
@@ -126,19 +127,28 @@ def iso_is_naive(value: Column) -> Column:
 
 def undated_bit(text: Column) -> Column:
     """Bit of a stripped value's class, leaving out dates: 0 for NULL text, which
-    fits any type, and NULL for what is a datetime or a string."""
+    fits any type, and NULL for what may be a datetime."""
     lower = F.lower(text)
     beyond = F.when(text.try_cast("long").isNull(), INTEGER | BEYOND_LONG).otherwise(INTEGER)
+    # Cheap looks at single characters decide which patterns are worth trying: no
+    # number has a hyphen at both places of a date's, and numbers and dates start
+    # with a sign, a point or a digit.
+    dashed = (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
     ascii_only = F.octet_length(text) == F.char_length(text)
+    numeric_start = F.ascii(text).between(ord("+"), ord("9"))
+    number = F.when(text.rlike(INTEGER_TEXT), beyond).when(text.rlike(NUMBER_TEXT), NUMBER)
     other_script = F.when(text.rlike(ANY_INTEGER_TEXT), INTEGER | OTHER_DIGITS).when(
         text.rlike(ANY_NUMBER_TEXT), NUMBER | OTHER_DIGITS
     )
     return (
-        F.when(text.isNull() | lower.isin(NULL_TEXT), 0)
-        .when(lower.isin(BOOLEAN_TEXT), BOOLEAN)
-        .when(text.rlike(INTEGER_TEXT), beyond)
-        .when(text.rlike(NUMBER_TEXT), NUMBER)
+        F.when(text.isNull() | (text == ""), 0)
+        .when(dashed, F.lit(None).cast("int"))
         .when(~ascii_only, other_script)
+        .when(numeric_start, number)
+        .when(lower.isin(NULL_TEXT), 0)
+        .when(lower.isin(BOOLEAN_TEXT), BOOLEAN)
+        .when(lower.isin(UNSIGNED_NUMBER_WORDS), NUMBER)
+        .otherwise(STRING)
     )
 
 

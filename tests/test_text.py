@@ -32,7 +32,12 @@ from tallyboard.operators.profile import infer_text_types
         (["_1"], "string"),
         (["0x10"], "string"),
         (["2026-W54-1"], "string"),
-        (["２０"], "integer"),
+        (["２０", "1２"], "integer"),
+        (["-inf", "+NaN", "Infinity"], "number"),
+        (["123e-00005"], "number"),
+        (["2026-07-01\u300010:30"], "datetime"),
+        (["été", "x"], "string"),
+        (["nano"], "string"),
     ],
 )
 def test_inferred_types(frame, texts, expected):
