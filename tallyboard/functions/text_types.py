@@ -103,15 +103,22 @@ def iso_instant(value: Column) -> Column:
 
 def stripped_instant(text: Column) -> Column:
     """``iso_instant`` of a text without white space round it."""
+    # The rare shapes sit in a lambda, which is not compiled into the loop over the
+    # rows: inlined there, they make it too long for the JVM to optimise.
+    unusual = F.element_at(F.transform(F.array(text), lambda item: _unusual_instant(item)), 1)
+    return F.when(text.rlike(_PLAIN_SHAPE), text.try_cast("timestamp")).when(
+        text.rlike(_ANY_SHAPE), unusual
+    )
+
+
+def _unusual_instant(text: Column) -> Column:
     dated = F.when(
         text.rlike(_WEEK_DATE),
         F.concat(_week_day(text).cast("string"), F.regexp_replace(text, _WEEK_DATE, "")),
     ).otherwise(text)
     for pattern, replacement in _TO_PLAIN:
         dated = F.regexp_replace(dated, pattern, replacement)
-    return F.when(text.rlike(_PLAIN_SHAPE), text.try_cast("timestamp")).when(
-        text.rlike(_ANY_SHAPE), dated.try_cast("timestamp")
-    )
+    return dated.try_cast("timestamp")
 
 
 def iso_granularity(value: Column) -> Column:
