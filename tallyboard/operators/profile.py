@@ -246,7 +246,7 @@ def freshness_status(source: Source, built_at: datetime) -> Column:
 
 
 def passport(source: Source, built_at: datetime, facts: DataFrame | None = None) -> DataFrame:
-    """One row of profile facts; the file facts are added by ``with_files``."""
+    """One row of profile facts; a build adds the file name, size and hash."""
     found = source_facts(source) if facts is None else facts
     return found.select(
         "name", "source_format", "rows", "columns", "column_names", "inferred_column_types",
