@@ -7,11 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.llm import balance, common, sharding, topk
+from tallyboard.llm import balance, common, secrets, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents, through a fresh blob ledger."""
+    docs = common.table(spark, sf_dir, "documents")
+    ledger = secrets.BlobLedger(spark, common.shared_path(spark, "ledger"))
+    versions = ledger.scan(docs.select(F.col("doc_id").alias("path"), "text"))
+    paths = versions.select(F.col("path").cast("long").alias("doc_id"), "blob")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    texts = F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
+    found = ledger.findings().select(
+        "blob", count("assign").alias("n_assign"), count("access").alias("n_access"),
+        count("hex").alias("n_hex"), F.array_join(texts, ",").alias("spans"),
+    )
+    zero = F.lit(0).cast("long")
+    spans = F.coalesce("spans", F.lit(""))
+    return paths.join(found, "blob", "left").select(
+        "doc_id", *[F.coalesce(n, zero).alias(n) for n in ("n_assign", "n_access", "n_hex")],
+        F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"),
+    )
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of all documents that each match the mixture of sources."""
     docs = common.table(spark, sf_dir, "documents")
@@ -47,6 +67,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secrets": op1_secrets,
     "op5_sharding": op5_sharding,
     "op8_balance": op8_balance,
     "op9_topk": op9_topk,
@@ -61,7 +82,45 @@ WITH RECURSIVE step(n, c, k) AS (
 ),
 crc AS (SELECT list(c ORDER BY n) AS t FROM step WHERE k = 8)"""
 
+
+
+def span_sql(kind: str, order: int, pattern: str, keep: str) -> str:
+    """Spans of one kind: pieces between matches and matches, alternating."""
+    pattern, keep = pattern.replace("'", "''"), keep.replace("'", "''")
+    return f"""
+    SELECT doc_id, '{kind}' AS kind, {order} AS kind_order, e - length(m) AS s, e
+    FROM (
+        SELECT doc_id, ms[i] AS m,
+               list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+               + list_sum(list_transform(ms[1:i], lambda g: length(g))) AS e
+        FROM (
+            SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i
+            FROM (
+                SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms,
+                       regexp_split_to_array(text, '{pattern}') AS gaps
+                FROM documents WHERE regexp_matches(text, '{pattern}')
+            )
+        )
+    )
+    WHERE regexp_full_match(m, '{keep}')"""
+
+
 ORACLE: dict[str, str] = {
+    "op1_secrets": "WITH found AS (" + " UNION ALL ".join(
+        span_sql(rule.kind, order, rule.pattern, rule.keep or rule.pattern)
+        for order, rule in enumerate(secrets.BASE_RULES)
+    ) + """
+), per AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
+           count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+           string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ','
+                      ORDER BY s, kind_order) AS spans
+    FROM found GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM documents LEFT JOIN per USING (doc_id)""",
     "op5_sharding": CRC_TABLE + """,
 raw AS (
     SELECT doc_id, source, coalesce(text, '') AS body FROM documents
