@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.llm import balance, common, secrets, sharding, topk
+from tallyboard.llm import balance, common, secrets, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,18 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled rows that are not held out."""
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = toxicity.held_out(F.col("doc_id"))
+    labels = common.table(spark, sf_dir, "labels").where(~held_out).select(
+        "doc_id", F.col("toxic").alias("label")
+    )
+    weights = toxicity.train(docs.select("doc_id", "text"), labels)
+    scored = toxicity.score(docs, weights, [F.col("doc_id"), held_out.alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of all documents that each match the mixture of sources."""
     docs = common.table(spark, sf_dir, "documents")
@@ -68,6 +80,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
+    "op3_toxicity": op3_toxicity,
     "op5_sharding": op5_sharding,
     "op8_balance": op8_balance,
     "op9_topk": op9_topk,
