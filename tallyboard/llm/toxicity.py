@@ -165,15 +165,17 @@ def train(docs: DataFrame, labels: DataFrame, settings: Ftrl = Ftrl()) -> Weight
 
 def score(docs: DataFrame, weights: Weights, keep: list[Column]) -> DataFrame:
     """``keep`` and ``score`` (0 to 1) of every row of ``docs``; NULL and empty texts by bias."""
-    shipped = docs.sparkSession.sparkContext.broadcast(weights)
+    parts = (weights.bits, weights.places, weights.values, weights.bias)
+    shipped = docs.sparkSession.sparkContext.broadcast(parts)
     rows = docs.select(
         *keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_scored_text")
     )
     schema = rows.drop("_scored_text").schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full, features = shipped.value.dense(), Features(shipped.value.bits)
-        active, size = full != 0, np.int64(1 << shipped.value.bits)
+        model = Weights(*shipped.value)
+        full, features = model.dense(), Features(model.bits)
+        active, size = full != 0, np.int64(1 << model.bits)
         for batch in chunks(batches, "_scored_text"):
             at = batch.schema.get_field_index("_scored_text")
             owner, place = features(batch.column(at).to_pylist())
@@ -183,7 +185,7 @@ def score(docs: DataFrame, weights: Weights, keep: list[Column]) -> DataFrame:
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             names = [n for n in batch.schema.names if n != "_scored_text"]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(sigmoid(margin + shipped.value.bias))], names=[*names, "score"]
+                [*columns, pa.array(sigmoid(margin + model.bias))], names=[*names, "score"]
             )
 
     return rows.mapInArrow(run, schema)
