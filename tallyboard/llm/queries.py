@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.llm import balance, common, secrets, sharding, topk, toxicity
+from tallyboard.llm import balance, common, secrets, sharding, simhash, substring_dedup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents by SimHash within two bits."""
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of all documents that each match the mixture of sources."""
     docs = common.table(spark, sf_dir, "documents")
@@ -61,6 +66,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without words of 20-word windows that also start earlier."""
+    docs = common.table(spark, sf_dir, "documents")
+    return substring_dedup.remove_repeated_windows(docs).select(
+        "doc_id", "n_words", "n_removed",
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op8_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of all documents so that sources reach their targets of words."""
     docs = common.table(spark, sf_dir, "documents")
@@ -81,7 +95,9 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op3_toxicity": op3_toxicity,
+    "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_balance": op8_balance,
     "op9_topk": op9_topk,
 }

@@ -29,16 +29,17 @@ SALTS = tuple(np.uint64(s) for s in (0xA24BAED4963EE407, 0x9FB21C651E98DF25))
 class Ftrl:
     """Settings of the training; ``sample_rows`` bounds the labelled rows it reads.
 
-    The sample is dealt over ``shards`` tasks whose weights are averaged; a sample
+    ``l1`` is multiplied by the square root of the number of rows, with which the
+    sums of chance gradients grow. The sample is dealt over ``shards`` tasks whose weights are averaged; a sample
     of this size fits one task, and one pass over all of it learns rare words better.
     """
 
     bits: int = 20
     alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 8.0
+    l1: float = 0.07
     l2: float = 0.0
-    epochs: int = 3
+    epochs: int = 4
     shards: int = 1
     sample_rows: int = 20_000
 
@@ -97,13 +98,14 @@ def fit_shard(settings: Ftrl, texts: list[bytes], labels: np.ndarray) -> tuple[n
     features = [np.unique(x) for x in np.split(places[order], splits)]
     size = (1 << settings.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
+    l1 = settings.l1 * len(texts) ** 0.5
     bias = size - 1
 
     def weight(at: np.ndarray) -> np.ndarray:
         zs = z[at]
         rate = (settings.beta + np.sqrt(n[at])) / settings.alpha + settings.l2
-        over = np.sign(zs) * settings.l1 - zs
-        return np.where(np.abs(zs) > settings.l1, over / rate, 0.0)
+        over = np.sign(zs) * l1 - zs
+        return np.where(np.abs(zs) > l1, over / rate, 0.0)
 
     for _ in range(settings.epochs):
         for own, label in zip(features, labels, strict=True):
