@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.llm import balance, common, secrets, sharding, simhash, substring_dedup, topk, toxicity
+from tallyboard.llm import (
+    balance,
+    common,
+    decontaminate,
+    secrets,
+    sharding,
+    simhash,
+    substring_dedup,
+    topk,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +42,18 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of benchmark items in all documents by greedy string tiling."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    share = F.coalesce(F.col("coverage"), F.lit(0.0))
+    return decontaminate.with_coverage(docs, found).select(
+        "doc_id", "item_id", F.coalesce("covered", F.lit(0)).alias("covered"), "item_words",
+        F.coalesce("longest", F.lit(0)).alias("longest"), share.alias("coverage"),
+        (share >= decontaminate.COVERAGE).cast("int").alias("contaminated"),
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from labelled rows that are not held out."""
     docs = common.table(spark, sf_dir, "documents")
@@ -94,6 +116,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
+    "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
