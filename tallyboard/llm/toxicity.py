@@ -92,10 +92,9 @@ def sigmoid(margin):
 
 def fit_shard(settings: Ftrl, texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of one FTRL-proximal pass sequence over the rows in their order."""
-    rows, places = Features(settings.bits)(texts)
-    order = np.argsort(rows, kind="stable")
-    splits = np.searchsorted(rows[order], np.arange(1, len(texts)))
-    features = [np.unique(x) for x in np.split(places[order], splits)]
+    extract = Features(settings.bits)
+    # One text at a time: only its distinct places are held.
+    features = [np.unique(extract([text])[1]).astype(np.int32) for text in texts]
     size = (1 << settings.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     l1 = settings.l1 * len(texts) ** 0.5
