@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of text a task works on at once, in bytes.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Words whose hashes a task remembers.
 MEMO_WORDS = 1 << 20
 INDEX_BITS = 33
@@ -148,8 +148,10 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             return roots
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a piece holds about CHUNK_BYTES of text, or one row."""
+def chunks(
+    batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
         sizes = np.array(
             pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64
@@ -157,7 +159,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         start = 0
         while start < len(sizes):
             held = np.cumsum(sizes[start:start + 65536])
-            stop = start + max(1, int(np.searchsorted(held, CHUNK_BYTES, side="right")))
+            stop = start + max(1, int(np.searchsorted(held, limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -35,6 +35,8 @@ SEGMENT_BITS = 23
 BYTES_PER_CELL = 2
 #: About as many text bytes meet in one task of the exact pass, if all windows passed.
 BYTES_PER_GROUP = 4 << 20
+#: Text bytes of a piece: larger pieces settle more windows on the spot.
+PIECE_BYTES = 8 << 20
 BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 CELL_SALTS = tuple(np.uint64(s) for s in (0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F))
 PACK = "group int, key binary"
@@ -117,7 +119,7 @@ def repeated_cells(rows: DataFrame, width: int, bits: int) -> list[np.ndarray]:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(width)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", PIECE_BYTES):
             first = windows(batch.column("text").to_pylist())[0]
             groups, blobs = [], []
             for row in range(ROWS):
@@ -217,7 +219,7 @@ def exact_runs(
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(width)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", PIECE_BYTES):
             first, owner, start, at = windows(batch.column("text").to_pylist())
             fine = passing(shipped.value, first, bits)
             first, owner, start, at = first[fine], owner[fine], start[fine], at[fine]
