@@ -11,6 +11,7 @@ from tallyboard.llm import (
     balance,
     common,
     decontaminate,
+    line_runs,
     secrets,
     sharding,
     simhash,
@@ -114,6 +115,15 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
 
 
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of repeated runs of lines."""
+    docs = common.table(spark, sf_dir, "documents")
+    return line_runs.remove_repeated_runs(docs).select(
+        "doc_id", "n_lines", "n_removed", "longest",
+        F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_decontaminate": op2_decontaminate,
@@ -123,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op8_balance": op8_balance,
     "op9_topk": op9_topk,
+    "op10_line_runs": op10_line_runs,
 }
 
 CRC_TABLE = """
@@ -222,4 +233,33 @@ r AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op10_line_runs": """
+WITH lines AS (
+    SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS place
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS xs FROM documents)
+),
+marked AS (
+    SELECT doc_id, place, list_slice(xs, place, place + 2) AS run FROM lines WHERE place + 2 <= len(xs)
+),
+later AS (
+    SELECT doc_id, place FROM (
+        SELECT doc_id, place, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS n FROM marked
+    ) WHERE n > 1
+),
+gone AS (
+    SELECT DISTINCT doc_id, place + k AS place FROM later, range(3) AS s(k)
+),
+chains AS (
+    SELECT doc_id, max(n) AS longest FROM (
+        SELECT doc_id, count(*) AS n FROM (
+            SELECT doc_id, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS c FROM gone
+        ) GROUP BY doc_id, c
+    ) GROUP BY doc_id
+)
+SELECT doc_id, count(*) AS n_lines, count(gone.place) AS n_removed,
+       CAST(coalesce(any_value(longest), 0) AS INT) AS longest,
+       sha256(coalesce(string_agg(xs[lines.place], chr(10) ORDER BY lines.place)
+                       FILTER (gone.place IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN gone USING (doc_id, place) LEFT JOIN chains USING (doc_id)
+GROUP BY doc_id""",
 }
