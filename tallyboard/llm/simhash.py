@@ -266,8 +266,7 @@ def find_links(nodes: DataFrame, tau: int, limits: tuple[int, int]) -> DataFrame
         group = np.cumsum(
             np.append(0, (value[1:] != value[:-1]) | (part[1:] != part[:-1]))
         )
-        used = [fp] if limits[1] <= limits[0] else [fp, more]
-        roots = forest(group, used, limits)
+        roots = forest(group, [fp, more], limits)
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         pair = np.unique(np.stack([node[roots[linked]], node[linked]]), axis=1)
         yield pa.RecordBatch.from_arrays(
@@ -314,21 +313,17 @@ def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
-def near_groups(prints: DataFrame, tau: int, limits: tuple[int, int]) -> DataFrame:
-    """(fp, more, component_id): the smallest doc_id that links reach, per fingerprint pair.
+def near_groups(least: DataFrame, tau: int, limits: tuple[int, int]) -> DataFrame:
+    """(fp, more, least): the smallest value that links reach, per fingerprint pair.
 
-    ``prints`` (doc_id, fp, more) is a stored frame. Copies are one node, so a large
-    group of copies costs one probe.
+    ``least`` (fp, more, least) has a row for each fingerprint pair. Copies are one
+    node, so a large group of copies costs one probe.
     """
-    nodes = stored(
-        prints.groupBy("fp", "more").agg(F.min("doc_id").alias("least"))
-        .withColumn("node", F.monotonically_increasing_id()),
-        "nodes",
-    )
+    nodes = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
     roots = components(find_links(nodes, tau, limits))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "more", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
+    return rooted.join(smallest, "root").select("fp", "more", F.col("smallest").alias("least"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFrame:
@@ -345,7 +340,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFram
         .withColumn("more", F.lit(0).cast("long")),
         "fingerprints",
     )
-    groups = near_groups(prints, tau, (tau, tau))
+    least = prints.groupBy("fp", "more").agg(F.min("doc_id").alias("least"))
+    groups = near_groups(least, tau, (tau, tau))
     return prints.join(groups, ["fp", "more"]).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("least").alias("component_id"),
     )
+
+
+def one_of_each(
+    docs: DataFrame, shingle: int = 5, tau: int = 11, limits: tuple[int, int] = (16, 25)
+) -> DataFrame:
+    """(doc_id, body) of the document that stays of each class of near-duplicates.
+
+    ``docs`` has doc_id, text and body, a hash of the text. Documents are linked if
+    their two fingerprints of 64 bits together differ in at most limits[1] bits; 25 of
+    128 are a similarity of 0.8. Pairs within ``tau`` bits of the first are sure to
+    be compared, and most within limits[0]. The smallest (doc_id, body) stays, a NULL
+    doc_id after all others.
+    """
+    prints = stored(fingerprints(docs, shingle, ["doc_id", "body"]), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body")
+    least = prints.groupBy("fp", "more").agg(F.min(place).alias("least"))
+    groups = near_groups(least, tau, limits)
+    return groups.select("least").distinct().select("least.doc_id", "least.body")
