@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of text a task works on at once, in bytes.
 CHUNK_BYTES = 4 << 20
 #: Words whose hashes a task remembers.
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 17
 INDEX_BITS = 33
 
 

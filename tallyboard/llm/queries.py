@@ -16,6 +16,7 @@ from tallyboard.llm import (
     sharding,
     simhash,
     substring_dedup,
+    token_blocks,
     topk,
     toxicity,
 )
@@ -98,6 +99,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, read back from block files in doc_id order."""
+    return token_blocks.packed_documents(common.table(spark, sf_dir, "documents"))
+
+
 def op8_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of all documents so that sources reach their targets of words."""
     docs = common.table(spark, sf_dir, "documents")
@@ -131,6 +137,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_token_blocks": op7_token_blocks,
     "op8_balance": op8_balance,
     "op9_topk": op9_topk,
     "op10_line_runs": op10_line_runs,

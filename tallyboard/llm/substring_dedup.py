@@ -30,7 +30,7 @@ WINDOW = 20
 ROWS = 2
 LEAST_BITS, MOST_BITS = 20, 29
 #: Cells of a segment, the unit in which sketches are merged: 2**SEGMENT_BITS.
-SEGMENT_BITS = 23
+SEGMENT_BITS = 21
 #: Text bytes per cell: with two, cells are a few times the windows.
 BYTES_PER_CELL = 2
 #: About as many text bytes meet in one task of the exact pass, if all windows passed.
