@@ -48,12 +48,14 @@ def bit_majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) ->
     return np.packbits(sums * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, shingle: int, keep: list[str], repeats: bool = True
+) -> DataFrame:
     """``keep``, ``fp`` and ``more`` (a second, independent fingerprint) of every row.
 
     Texts are lower-cased in A-Z and split at ASCII white space. Shingles of
-    ``shingle`` words are joined by a space and hashed by XXH64 with seed 42, repeats
-    included; with fewer words the whole sequence is the shingle, without words
+    ``shingle`` words are joined by a space and hashed by XXH64 with seed 42, each as
+    often as it occurs or, without ``repeats``, once; with fewer words the whole sequence is the shingle, without words
     (also NULL) both fingerprints are zero. A bit is set if it is in over half.
     """
     rows = docs.select(
@@ -72,7 +74,8 @@ def fingerprints(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
                 before = len(hashes)
                 if len(words) > shingle:
                     ranges = [words[k:] for k in range(shingle)]
-                    hashes += [digest(b" ".join(x), 42) for x in zip(*ranges, strict=False)]
+                    own = [digest(b" ".join(x), 42) for x in zip(*ranges, strict=False)]
+                    hashes += own if repeats else set(own)
                 elif words:
                     hashes.append(digest(b" ".join(words), 42))
                 counts[i] = len(hashes) - before
@@ -353,13 +356,16 @@ def one_of_each(
 ) -> DataFrame:
     """(doc_id, body) of the document that stays of each class of near-duplicates.
 
-    ``docs`` has doc_id, text and body, a hash of the text. Documents are linked if
+    ``docs`` has doc_id, text and body, a hash of the text. Shingles count once, so
+    that a line repeated over and over does not make texts alike. Documents are linked if
     their two fingerprints of 64 bits together differ in at most limits[1] bits; 25 of
     128 are a similarity of 0.8. Pairs within ``tau`` bits of the first are sure to
     be compared, and most within limits[0]. The smallest (doc_id, body) stays, a NULL
     doc_id after all others.
     """
-    prints = stored(fingerprints(docs, shingle, ["doc_id", "body"]), "fingerprints")
+    prints = stored(
+        fingerprints(docs, shingle, ["doc_id", "body"], repeats=False), "fingerprints"
+    )
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body")
     least = prints.groupBy("fp", "more").agg(F.min(place).alias("least"))
     groups = near_groups(least, tau, limits)
