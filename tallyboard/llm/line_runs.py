@@ -128,7 +128,8 @@ def remove_repeated_runs(docs: DataFrame, lines: int = LINES) -> DataFrame:
     )
     longest = F.array_max(F.transform("runs", lambda x: x["length"]))
     return (
-        rows.join(spans, "row", "left")
+        # Texts are shuffled at every size, so costs keep in proportion to the input.
+        rows.join(spans.hint("merge"), "row", "left")
         .withColumn("_lines", split).withColumn("_stay", stay)
         .select(
             "doc_id", F.size("_lines").cast("long").alias("n_lines"),
