@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.session import prepare
+from tallyboard.session import prepare, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,9 +49,8 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A fresh path in the folder the cluster shares for checkpoints."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tallyboard-scratch"
-    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path in the folder the cluster shares for intermediate data."""
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def load_all() -> None:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog import query, table
+from catalog import query, scratch, table
 from catalog.shapes import COHORT_SQL, STATUS_SQL, by_status, cohorts, normalize_sql
 from tallyboard.functions.csv_text import guard_formula
-from tallyboard.operators.export import BAR, HEATMAP, LINE, Output, csv_lines, visible_data
+from tallyboard.operators.export import BAR, HEATMAP, LINE, Output, csv_lines, visible_data, write_csv
 from tallyboard.operators.stack import STANDARD
 
 
@@ -65,6 +65,37 @@ def export_csv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_lines(rows.select("doc_id", "text", "lang", "quality"))
 
 
+@query(
+    "write_csv_roundtrip",
+    f"""SELECT doc_id, {GUARDED} AS text, coalesce(lang, '') AS "the, lang" FROM documents
+       UNION ALL SELECT NULL, 'every part has a header', 'none'""",
+)
+def write_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written bytes read back: mark, header, CRLF and quoting included."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.col("lang").alias("the, lang")
+    )
+    path = scratch(spark, "export")
+    write_csv(rows, path)
+    start = '\ufeffdoc_id,text,"the, lang"\r\n'
+    parts = spark.read.format("binaryFile").load(path).where("length > 0")
+    head = F.substring("content", 1, len(start.encode())).cast("string")
+    note = parts.agg(F.bool_and(head == start).alias("fine")).select(
+        F.lit(None).cast("long").alias("doc_id"),
+        F.when(F.col("fine"), "every part has a header").alias("text"),
+        F.lit("none").alias("the, lang"),
+    )
+    back = (
+        spark.read.schema("doc_id long, text string, lang string")
+        .option("header", True).option("multiLine", True).option("escape", '"')
+        .option("lineSep", "\r\n").csv(path)
+    )
+    return back.select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("lang", F.lit("")).alias("the, lang"),
+    ).unionByName(note)
+
+
 @query(
     "formula_guard",
     """SELECT doc_id, CASE WHEN source = 'wiki' OR lang = 'en' THEN '''=' || text

@@ -27,6 +27,24 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_source(spark, "customer", csv_copy(spark, sf_dir, "customer")).frame
 
 
+@query(
+    "scan_csv_wide",
+    """SELECT CAST(CAST(10000000000000000000 AS HUGEINT) + o_orderkey % 1000 AS VARCHAR) AS wide_key,
+              count(*) AS orders FROM orders GROUP BY 1""",
+)
+def scan_csv_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of 20 digits stay exact through a CSV file."""
+    path = f"{scratch(spark, 'wide')}.csv"
+    key = F.lit(str(10**19)).cast("decimal(38,0)") + (F.col("o_orderkey") % 1000)
+    table(spark, sf_dir, "orders").select(key.cast("string").alias("wide_key")).write.csv(
+        path, header=True
+    )
+    keys = load_source(spark, "wide", path).frame
+    return keys.groupBy(F.col("wide_key").cast("string").alias("wide_key")).agg(
+        F.count(F.lit(1)).alias("orders")
+    )
+
+
 @query(
     "check_csv_contract",
     """SELECT 'customer' AS source, 'csv_valid' AS name, 'passed' AS status,

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog import query, table, table_path
+from catalog import query, scratch, table, table_path
 from catalog.frames import monthly
 from tallyboard.functions.predicates import between_filter, dimension, in_filter
 from tallyboard.operators.options import collapse_selection, option_labels, param_options
-from tallyboard.plans.params import DateRange, Dimension, MultiSelect, Options
-from tallyboard.plans.report import Inputs, Report
+from tallyboard.plans.params import DateRange, Dimension, MultiSelect, Number, Options
+from tallyboard.plans.report import Inputs, Report, ResultCache
 from tallyboard.sources.load import load_source
 
 FIELDS = {"priority": "o_orderpriority", "status": "o_orderstatus"}
@@ -107,29 +107,29 @@ def dimension_none(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def revenue_report(spark: SparkSession, sf_dir: str) -> Report:
     """Orders behind two filters and a switchable breakdown."""
-    report = Report(spark, "revenue-overview", "Revenue overview", timezone="UTC")
+    report = Report(spark, "order-flow", "Order flow", timezone="UTC")
     report.source(load_source(spark, "orders", table_path(sf_dir, "orders")))
     report.param("priority", MultiSelect(Options("orders", "o_orderpriority")))
     report.param("dates", DateRange(RANGE))
     report.param("breakdown", Dimension(FIELDS, default="status", allow_none=True))
 
-    @report.view("filtered_orders", reads=["orders"], uses=["priority", "dates"])
-    def filtered_orders(inputs: Inputs) -> DataFrame:
+    @report.view("chosen_orders", reads=["orders"], uses=["priority", "dates"])
+    def chosen_orders(inputs: Inputs) -> DataFrame:
         return inputs["orders"].where(
             inputs.filter("o_orderpriority", "priority") & inputs.filter("o_orderdate", "dates")
         )
 
-    @report.query("revenue_by_month", reads=["filtered_orders"], uses=["breakdown"])
+    @report.query("revenue_by_month", reads=["chosen_orders"], uses=["breakdown"])
     def revenue_by_month(inputs: Inputs) -> DataFrame:
-        orders = inputs["filtered_orders"]
+        orders = inputs["chosen_orders"]
         return monthly(
             orders.withColumn("choice", inputs.dimension("breakdown")), "choice", "breakdown"
         )
 
     report.sql_block(
         "query", "revenue_summary",
-        "SELECT round(sum(o_totalprice), 2) AS revenue FROM {filtered_orders}",
-        reads=["filtered_orders"],
+        "SELECT round(sum(o_totalprice), 2) AS revenue FROM {chosen_orders}",
+        reads=["chosen_orders"],
     )
     return report
 
@@ -145,8 +145,8 @@ FILTERED_SQL = f"""o_orderpriority IN ('2-HIGH', '5-LOW')
     f"""SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE {FILTERED_SQL}""",
 )
 def filtered_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    revenue_report(spark, sf_dir).run(SELECTION, ["revenue_summary"])
-    return spark.table("filtered_orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    run = revenue_report(spark, sf_dir).run(SELECTION, ["revenue_summary"])
+    return run.views["chosen_orders"].select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
 @query(
@@ -167,18 +167,24 @@ def revenue_by_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
                count(DISTINCT (date_trunc('month', o_orderdate), o_orderstatus)) AS "rows"
         FROM orders WHERE {FILTERED_SQL}
         UNION ALL SELECT 'revenue_summary', 'query', 'done', 1
-        UNION ALL SELECT 'filtered_orders', 'view', 'done', NULL
+        UNION ALL SELECT 'chosen_orders', 'view', 'planned', NULL
         UNION ALL SELECT 'broken', 'query', 'failed', NULL
         UNION ALL SELECT 'after_broken', 'query', 'skipped', NULL""",
 )
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = revenue_report(spark, sf_dir)
-    report.sql_block("query", "broken", "SELECT missing FROM {orders}", reads=["orders"])
+    # It fails when its first row is computed, not when it is declared.
+    report.sql_block(
+        "query", "broken", "SELECT raise_error('no revenue') AS x FROM {orders}", reads=["orders"]
+    )
     report.sql_block("query", "after_broken", "SELECT * FROM {broken}", reads=["broken"])
-    run = report.run(SELECTION)
+    folder = scratch(spark, "outputs")
+    run = report.run(SELECTION, sink=lambda name, df: df.write.parquet(f"{folder}/{name}"))
     counts = [
-        frame.agg(F.lit(name).alias("output"), F.count(F.lit(1)).alias("rows"))
-        for name, frame in run.outputs.items()
+        spark.read.parquet(f"{folder}/{name}").agg(
+            F.lit(name).alias("output"), F.count(F.lit(1)).alias("rows")
+        )
+        for name in run.outputs
     ]
     rows = counts[0]
     for other in counts[1:]:
@@ -187,6 +193,45 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.status(spark).drop("message").join(F.broadcast(rows), "output", "left")
 
 
+@query(
+    "sql_block_params",
+    f"""SELECT o_orderstatus AS status, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue
+        FROM orders WHERE {FILTERED_SQL} AND o_totalprice >= 1000 GROUP BY 1""",
+)
+def sql_block_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = revenue_report(spark, sf_dir)
+    report.param("least", Number(0))
+    report.sql_block(
+        "query", "by_status",
+        "SELECT status, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue"
+        " FROM {orders} WHERE o_totalprice >= :least GROUP BY status",
+        reads=["orders"], uses=["least"],
+        filters={"orders": {"priority": "o_orderpriority", "dates": "o_orderdate"}},
+        dimensions={"orders": {"breakdown": "status"}},
+    )
+    return report.run({**SELECTION, "least": 1000}, ["by_status"]).outputs["by_status"]
+
+
+URGENT_SQL = FILTERED_SQL.replace("'2-HIGH', '5-LOW'", "'1-URGENT'")
+
+
+@query(
+    "cached_run",
+    f"""SELECT 'first' AS run, round(sum(o_totalprice), 2) AS revenue
+        FROM orders WHERE {FILTERED_SQL}
+        UNION ALL SELECT 'second', round(sum(o_totalprice), 2) FROM orders WHERE {URGENT_SQL}""",
+)
+def cached_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = ResultCache()
+    rows = []
+    for name, priority in (("first", SELECTION["priority"]), ("second", ["1-URGENT"])):
+        report = revenue_report(spark, sf_dir)
+        report.cache, report.snapshot_id = cache, f"tables in {sf_dir}"
+        run = report.run({**SELECTION, "priority": priority}, ["revenue_summary"])
+        rows.append(run.outputs["revenue_summary"].select(F.lit(name).alias("run"), "revenue"))
+    return rows[0].unionByName(rows[1])
+
+
 @query(
     "param_options",
     f"SELECT DISTINCT {URGENT_AS_NULL} AS value FROM orders ORDER BY 1",

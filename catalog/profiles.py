@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog import query, scratch, table, table_path
 from catalog.frames import text_source
 from tallyboard.functions.text_types import iso_granularity, iso_instant, iso_is_naive
-from tallyboard.operators.identity import content_identity, source_hash, table_fingerprint
+from tallyboard.operators.identity import content_identity, table_fingerprint
 from tallyboard.operators.profile import (
     data_checks, infer_text_types, leaf_profile, passport, source_facts, source_window,
     timezone_check, union_all,
@@ -18,7 +18,8 @@ from tallyboard.operators.profile import (
 from tallyboard.operators.status import data_status, freshness_rollup
 from tallyboard.sources import manifest as manifests
 from tallyboard.sources import registry as registries
-from tallyboard.sources.load import Freshness, Source, load_source, source_files, table_source
+from tallyboard.plans.build import held
+from tallyboard.sources.load import Freshness, Source, load_source, table_source
 
 BUILT_AT = datetime(2024, 2, 2, tzinfo=timezone.utc)
 SQL_TIME = "%Y-%m-%d %H:%M:%S.%f"
@@ -105,19 +106,6 @@ def passport_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("source_files")
-def files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_files(spark, table_path(sf_dir, "lineitem")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"),
-        F.min("file_name").alias("file_name"),
-    )
-
-
-@query("source_hash")
-def hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_hash(spark, table_path(sf_dir, "orders"))
-
-
 # One column per case of the type merge, built from the rows of orders.
 TEXT_COLUMNS = {
     "order_key": "CAST(o_orderkey AS {s})",
@@ -229,8 +217,8 @@ EVENT_LAG = "(epoch_us(TIMESTAMP '2024-02-02') - epoch_us(max(ts))) / 3.6e9"
     "freshness_check",
     f"""SELECT source, status, message FROM (
           SELECT 'events' AS source, CASE WHEN {EVENT_LAG} > 24 THEN 'warning' ELSE 'passed' END AS status,
-            CASE WHEN {EVENT_LAG} > 24 THEN 'data is ' || format('{{:.1f}}', {EVENT_LAG})
-              || ' hours old, the limit is 24 hours' END AS message FROM events
+            CASE WHEN {EVENT_LAG} > 24 THEN 'newest data is ' || format('{{:.1f}}', {EVENT_LAG})
+              || ' hours back, 24 hours are allowed' END AS message FROM events
           UNION ALL SELECT 'lineitem', 'passed', NULL
           UNION ALL SELECT 'event_text', CASE WHEN {EVENT_LAG} > 72 THEN 'warning' ELSE 'passed' END,
             NULL FROM events)""",
@@ -277,9 +265,11 @@ def checks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rollup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = profiled(spark, sf_dir)
+    # A few rows per source: held as local rows, each source is profiled once.
+    facts = {source.name: held(source_facts(source)) for source in sources}
     rollup = freshness_rollup(
-        union_all([passport(source, BUILT_AT) for source in sources]),
-        union_all([data_checks(source, BUILT_AT) for source in sources]),
+        union_all([passport(source, BUILT_AT, facts[source.name]) for source in sources]),
+        union_all([data_checks(source, BUILT_AT, facts[source.name]) for source in sources]),
     )
     return rollup.select(
         "status", time_text("data_through").alias("data_through"),
@@ -306,10 +296,12 @@ def status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FINGERPRINTED = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-               "o_orderpriority"],
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int",
+                 "c_acctbal": "double", "c_mktsegment": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string",
+               "o_totalprice": "double", "o_orderdate": "timestamp_ntz",
+               "o_orderpriority": "string"},
 }
 
 
@@ -323,8 +315,9 @@ def fingerprint_sql(name: str) -> str:
         f"CAST(coalesce(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)), 0) AS VARCHAR)"
         for i in range(4)
     )
+    schema = ",".join(f"{len(c)}:{c} {kind}" for c, kind in FINGERPRINTED[name].items())
     return f"""SELECT '{name}' AS name, count(*) AS "rows",
-        sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {lanes})) AS fingerprint
+        sha256(concat_ws('|', '{schema}', CAST(count(*) AS VARCHAR), {lanes})) AS fingerprint
         FROM (SELECT sha256(concat_ws('|', {row})) AS h FROM {name})"""
 
 
@@ -335,7 +328,7 @@ FINGERPRINT_SQL = " UNION ALL ".join(fingerprint_sql(name) for name in FINGERPRI
 def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_all(
         [
-            table_fingerprint(table(spark, sf_dir, name), columns).select(
+            table_fingerprint(table(spark, sf_dir, name), list(columns)).select(
                 F.lit(name).alias("name"), "rows", "fingerprint"
             )
             for name, columns in FINGERPRINTED.items()
@@ -367,7 +360,7 @@ def identity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = profiled(spark, sf_dir)
-    facts = {source.name: source_facts(source).persist() for source in sources}
+    facts = {source.name: held(source_facts(source)) for source in sources}
     manifest = manifests.build_manifest(
         union_all([passport(s, BUILT_AT, facts[s.name]) for s in sources]),
         union_all([data_checks(s, BUILT_AT, facts[s.name]) for s in sources]),
@@ -376,8 +369,6 @@ def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = scratch(spark, "manifest")
     manifests.write_manifest(manifest, path)
-    for kept in facts.values():
-        kept.unpersist()
     return manifests.manifest_summary(manifests.read_manifest(spark, path)).drop("artifact_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyboard.functions.numbers import SAFE_INTEGER, double_text, field_type
+from tallyboard.functions.numbers import SAFE_INTEGER, double_text, field_type, quoted
 
 ISO_INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -19,18 +19,36 @@ def is_nested(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.ArrayType, T.StructType, T.MapType))
 
 
-def result_value(frame: DataFrame, name: str) -> Column:
-    """Times as ISO text, decimals as doubles, other values as they are."""
-    column, data_type = F.col(f"`{name}`"), field_type(frame, name)
+def shown_value(column: Column, data_type: T.DataType) -> Column:
+    """Times as ISO text, decimals as doubles, at any depth; other values as they are.
+
+    Whole decimals of more than 15 digits are text, since no double holds them all.
+    """
     if isinstance(data_type, T.DateType):
         return F.date_format(column, "yyyy-MM-dd")
     if has_time(data_type):
         return F.date_format(column, ISO_INSTANT)
     if isinstance(data_type, T.DecimalType):
-        return column.cast("double")
+        wide = data_type.scale == 0 and data_type.precision > 15
+        return column.cast("string" if wide else "double")
+    if isinstance(data_type, T.ArrayType):
+        return F.transform(column, lambda item: shown_value(item, data_type.elementType))
+    if isinstance(data_type, T.MapType):
+        values = F.transform_values(column, lambda _, v: shown_value(v, data_type.valueType))
+        return F.transform_keys(values, lambda k, _: shown_value(k, data_type.keyType))
+    if isinstance(data_type, T.StructType):
+        fields = [
+            shown_value(column.getField(f.name), f.dataType).alias(f.name) for f in data_type
+        ]
+        return F.when(column.isNotNull(), F.struct(*fields))
     return column
 
 
+def result_value(frame: DataFrame, name: str) -> Column:
+    """The value of a column as results show it."""
+    return shown_value(F.col(quoted(name)), field_type(frame, name))
+
+
 def guard_formula(text: Column) -> Column:
     """A leading apostrophe on text that a spreadsheet would run as a formula."""
     return F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
@@ -38,7 +56,7 @@ def guard_formula(text: Column) -> Column:
 
 def cell_text(frame: DataFrame, name: str) -> Column:
     """CSV text of a value: NULL is empty, only text values get the formula guard."""
-    column, data_type = F.col(f"`{name}`"), field_type(frame, name)
+    column, data_type = F.col(quoted(name)), field_type(frame, name)
     if isinstance(data_type, T.StringType):
         text = guard_formula(column)
     elif isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType)):

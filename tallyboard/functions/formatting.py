@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyboard.functions.numbers import DECIMAL_TEXT, field_type, finite, is_number
+from tallyboard.functions.numbers import DECIMAL_TEXT, field_type, finite, is_number, quoted
 
 MISSING = "—"
 # En-US currency marks and the currencies without decimals.
@@ -87,7 +87,7 @@ def format_signed_percent(value: Column) -> Column:
 
 def format_value(frame: DataFrame, name: str, style: ValueFormat = ValueFormat()) -> Column:
     """Display text of column ``name``; NULL is a dash, other non-numbers are text."""
-    column = F.col(f"`{name}`")
+    column = F.col(quoted(name))
     data_type = field_type(frame, name)
     text = column.cast("string")
     number = None

@@ -11,6 +11,11 @@ DECIMAL_TEXT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 SAFE_INTEGER = 2**53 - 1
 
 
+def quoted(name: str) -> str:
+    """A column name as an identifier, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def field_type(frame: DataFrame, name: str) -> T.DataType:
     return frame.schema[name].dataType
 
@@ -28,7 +33,7 @@ def finite(value: Column) -> Column:
 def numeric(frame: DataFrame, name: str) -> Column:
     """Column ``name`` as a finite double; blank, non-numeric and non-finite are NULL."""
     data_type = field_type(frame, name)
-    column = F.col(f"`{name}`")
+    column = F.col(quoted(name))
     if is_number(data_type) or isinstance(data_type, T.BooleanType):
         return finite(column)
     if isinstance(data_type, T.StringType):
@@ -39,7 +44,7 @@ def numeric(frame: DataFrame, name: str) -> Column:
 
 def is_blank(frame: DataFrame, name: str) -> Column:
     """NULL or, for text, only spaces."""
-    column = F.col(f"`{name}`")
+    column = F.col(quoted(name))
     if isinstance(field_type(frame, name), T.StringType):
         return column.isNull() | (F.trim(column) == F.lit(""))
     return column.isNull()

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyboard.functions.numbers import SAFE_INTEGER, quoted
+
 # Text read as NULL, and the white space stripped round a value.
 NULL_TEXT = ["", "null", "none", "na"]
 BOOLEAN_TEXT = ["true", "false"]
@@ -19,10 +21,12 @@ WHITE_SPACE = (
 
 # One bit per class, so that a column's type is the bit_or of its values.
 BOOLEAN, INTEGER, NUMBER, DATETIME, STRING = 1, 2, 4, 8, 16
-# Marks beside the class: an integer outside 64 bits, a number in non-ASCII digits,
-# a date with a clock time.
-BEYOND_LONG, OTHER_DIGITS, CLOCK = 32, 64, 128
-_MARKS = BEYOND_LONG | OTHER_DIGITS | CLOCK
+# Marks beside the class: an integer that is no 64-bit one as written, a number in
+# non-ASCII digits, a date with a clock time, an integer that a double cannot hold, an
+# integer of more than 38 digits.
+BEYOND_LONG, OTHER_DIGITS, CLOCK, UNSAFE, BEYOND_DECIMAL = 32, 64, 128, 256, 512
+_MARKS = BEYOND_LONG | OTHER_DIGITS | CLOCK | UNSAFE | BEYOND_DECIMAL
+WIDE_INTEGER = "decimal(38,0)"
 TYPE_BITS = {
     "boolean": BOOLEAN, "integer": INTEGER, "number": NUMBER, "date": DATETIME,
     "datetime": DATETIME | CLOCK, "string": STRING,
@@ -136,7 +140,15 @@ def undated_bit(text: Column) -> Column:
     """Bit of a stripped value's class, leaving out dates: 0 for NULL text, which
     fits any type, and NULL for what may be a datetime."""
     lower = F.lower(text)
-    beyond = F.when(text.try_cast("long").isNull(), INTEGER | BEYOND_LONG).otherwise(INTEGER)
+    short = text.try_cast("long")
+    wide = F.replace(text, F.lit("_"), F.lit("")).try_cast(WIDE_INTEGER)
+    beyond = (
+        F.when(short.between(-SAFE_INTEGER, SAFE_INTEGER), INTEGER)
+        .when(short.isNotNull(), INTEGER | UNSAFE)
+        .when(wide.isNull(), INTEGER | BEYOND_LONG | UNSAFE | BEYOND_DECIMAL)
+        .when(wide.between(-SAFE_INTEGER, SAFE_INTEGER), INTEGER | BEYOND_LONG)
+        .otherwise(INTEGER | BEYOND_LONG | UNSAFE)
+    )
     # Cheap looks at single characters decide which patterns are worth trying: no
     # number has a hyphen at both places of a date's, and numbers and dates start
     # with a sign, a point or a digit.
@@ -167,7 +179,7 @@ def text_facts(frame: DataFrame, names: Sequence[str], times: Sequence[str] = ()
     numbers, flags and times, so the partial aggregate is a hash aggregate and
     leaves one row per task and column for the shuffle.
     """
-    values = F.array(*[F.col(f"`{name}`") for name in names])
+    values = F.array(*[F.col(quoted(name)) for name in names])
     is_time = F.col("column_index").isin([names.index(name) for name in times]) if times else None
     wanted = F.col("undated").isNull() if is_time is None else F.col("undated").isNull() | is_time
     text, at = F.col("text"), F.col("at")
@@ -220,15 +232,22 @@ def type_of_bits(bits: Column) -> Column:
 
 
 def typed_value(value: Column, bits: int) -> Column:
-    """A text value cast to the type of its column, given the column's bits."""
+    """A text value cast to the type of its column, given the column's bits.
+
+    Integers stay exact: beyond 64 bits they are decimals, beyond 38 digits text; a
+    column that mixes numbers with integers no double can hold stays text.
+    """
     text = strip(value)
     present = F.when(~F.lower(text).isin(NULL_TEXT), text)
     if bits == BOOLEAN:
         return F.lower(present).try_cast("boolean")
-    if bits == INTEGER:
+    if bits & ~UNSAFE == INTEGER:
         return present.try_cast("long")
+    plain = F.replace(present, F.lit("_"), F.lit(""))
+    if bits & ~UNSAFE == INTEGER | BEYOND_LONG:
+        return plain.try_cast(WIDE_INTEGER)
     if bits and not bits & ~(INTEGER | NUMBER | BEYOND_LONG):
-        return F.replace(present, F.lit("_"), F.lit("")).try_cast("double")
+        return plain.try_cast("double")
     if bits == DATETIME:
         return iso_instant(present).cast("date")
     if bits == DATETIME | CLOCK:

@@ -43,26 +43,28 @@ class Output:
 
 
 def visible_columns(rows: DataFrame, output: Output) -> list[str]:
-    """Shown columns in query order, those the query lacks at the end."""
+    """What an output shows: a table its own list, a chart the query's columns it asks for.
+
+    Columns that the query lacks are shown too, as NULL, after the others.
+    """
     if output.kind == TABLE:
-        return list(output.columns or rows.columns)
-    wanted = output.requested()
-    return [name for name in rows.columns if name in wanted] + [
-        name for name in wanted if name not in rows.columns
-    ]
+        return list(output.columns) or rows.columns
+    asked = output.requested()
+    there = set(rows.columns)
+    return sorted(asked, key=lambda name: rows.columns.index(name) if name in there else len(there))
 
 
 def visible_data(rows: DataFrame, output: Output) -> DataFrame:
-    """The shown columns; a normalised bar adds its share right after y."""
-    columns = visible_columns(rows, output)
-    if output.kind == BAR and output.stack in MODES:
-        share = free_name([*rows.columns, *columns], f"{output.y}_normalized")
-        rows = stack_normalize(
-            rows, output.x, output.y, output.stack, into=share, temporal=output.temporal
-        )
-        place = columns.index(output.y) + 1 if output.y in columns else len(columns)
-        columns = [*columns[:place], share, *columns[place:]]
-    return table_projection(rows, columns)
+    """The shown columns; a normalised bar has its share right of the value."""
+    shown = visible_columns(rows, output)
+    if output.kind != BAR or output.stack not in MODES:
+        return table_projection(rows, shown)
+    share = free_name([*rows.columns, *shown], f"{output.y}_normalized")
+    shared = stack_normalize(
+        rows, output.x, output.y, output.stack, into=share, temporal=output.temporal
+    )
+    with_share = [column for name in shown for column in ([name, share] if name == output.y else [name])]
+    return table_projection(shared, with_share)
 
 
 def csv_lines(rows: DataFrame, into: str = "line") -> DataFrame:
@@ -79,7 +81,8 @@ def write_csv(
 
     The finished lines go through the text writer; the CSV writer would turn the
     line breaks inside cells into CRLF as well. The header is put before the first
-    row of each task, which writes one file.
+    row of each task, which writes one file. A result without rows becomes one part
+    with mark and header alone.
     """
     names = rows.sparkSession.createDataFrame([tuple(rows.columns)], _text_schema(rows.columns))
     header = csv_lines(names).first()[0]
@@ -90,6 +93,10 @@ def write_csv(
         csv_lines(rows).select(line.alias("line")).write.mode(mode)
         .option("lineSep", "\r\n").option("maxRecordsPerFile", 0).text(path)
     )
+    spark = rows.sparkSession
+    if spark.read.text(path).isEmpty():
+        alone = spark.createDataFrame([(start.removesuffix("\r\n"),)], "line string").coalesce(1)
+        alone.write.mode("append").option("lineSep", "\r\n").text(path)
 
 
 def _text_schema(names: Sequence[str]) -> T.StructType:

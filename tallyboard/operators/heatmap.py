@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.functions.formatting import MISSING, ValueFormat, format_number
-from tallyboard.functions.numbers import is_blank, numeric
+from tallyboard.functions.numbers import is_blank, numeric, quoted
 from tallyboard.plans.grouped import attach
 
 
@@ -19,17 +19,17 @@ def heatmap_cells(
 ) -> DataFrame:
     """Cells sorted by x and y; with ``percent_label`` a label of value times 100."""
     names = list(dict.fromkeys([x, y, value, *details]))
-    cells = rows.select(*[F.col(f"`{name}`") for name in names])
+    cells = rows.select(*[F.col(quoted(name)) for name in names])
     if percent_label:
         cells = cells.withColumn("cell_label", numeric(rows, value) * 100)
-    return cells.orderBy(F.col(f"`{x}`").asc_nulls_last(), F.col(f"`{y}`").asc_nulls_last())
+    return cells.orderBy(F.col(quoted(x)).asc_nulls_last(), F.col(quoted(y)).asc_nulls_last())
 
 
 def heatmap_matrix(
     rows: DataFrame, x: str, y: str, value: str, x_values: Sequence[Any]
 ) -> DataFrame:
     """One row per y and one column per given x; without a cell the value is NULL."""
-    return rows.groupBy(f"`{y}`").pivot(f"`{x}`", list(x_values)).agg(F.max(f"`{value}`"))
+    return rows.groupBy(quoted(y)).pivot(quoted(x), list(x_values)).agg(F.max(quoted(value)))
 
 
 def heatmap_domain(rows: DataFrame, y: str, value: str) -> DataFrame:
@@ -38,7 +38,7 @@ def heatmap_domain(rows: DataFrame, y: str, value: str) -> DataFrame:
     Zero always belongs to the domain; a negative value makes it symmetric.
     """
     number = numeric(rows, value)
-    per_row = rows.groupBy(f"`{y}`").agg(F.min(number).alias("low"), F.max(number).alias("high"))
+    per_row = rows.groupBy(quoted(y)).agg(F.min(number).alias("low"), F.max(number).alias("high"))
     ends = per_row.agg(
         F.least(F.coalesce(F.min("low"), F.lit(0.0)), F.lit(0.0)).alias("low"),
         F.greatest(F.coalesce(F.max("high"), F.lit(0.0)), F.lit(0.0)).alias("high"),
@@ -64,7 +64,7 @@ def row_metric_conflicts(rows: DataFrame, y: str, metric: str) -> DataFrame:
 def _metric_groups(rows: DataFrame, y: str, metric: str) -> DataFrame:
     number = numeric(rows, metric)
     bad = ~is_blank(rows, metric) & number.isNull()
-    return rows.groupBy(F.col(f"`{y}`").alias(y)).agg(
+    return rows.groupBy(F.col(quoted(y)).alias(y)).agg(
         F.min(number).alias("__low"), F.max(number).alias("__high"),
         F.count(F.when(bad, 1)).alias("__bad"),
     )
@@ -79,7 +79,7 @@ def heatmap_row_metric(
     not a number, fail the query that reads it.
     """
     groups = _metric_groups(rows, y, metric)
-    shown_y = F.coalesce(F.col(f"`{y}`").cast("string"), F.lit(MISSING))
+    shown_y = F.coalesce(F.col(quoted(y)).cast("string"), F.lit(MISSING))
 
     def refusal(problem: str):
         text = F.lit(f"heatmap row metric {metric!r} {problem} for {y}=")
@@ -91,7 +91,7 @@ def heatmap_row_metric(
         .otherwise(F.col("__high"))
     )
     full = ValueFormat(style.format, style.currency, "standard")
-    metrics = groups.select(F.col(f"`{y}`"), single.alias("metric"))
+    metrics = groups.select(F.col(quoted(y)), single.alias("metric"))
     return metrics.select(
         "*",
         F.coalesce(format_number(F.col("metric"), style), F.lit(MISSING)).alias("metric_display"),
@@ -104,6 +104,6 @@ def with_row_metric(
 ) -> DataFrame:
     """Cells with the metric text of their row."""
     metrics = heatmap_row_metric(rows, y, metric, style).select(
-        F.col(f"`{y}`").alias("__row"), "metric_tooltip"
+        F.col(quoted(y)).alias("__row"), "metric_tooltip"
     )
-    return attach(rows, metrics, {"__row": F.col(f"`{y}`")})
+    return attach(rows, metrics, {"__row": F.col(quoted(y))})

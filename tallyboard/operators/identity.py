@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.functions.csv_text import has_time, is_nested
-from tallyboard.functions.numbers import field_type
+from tallyboard.functions.numbers import field_type, quoted
 
 # A multiset of rows is hashed as sums over pieces of its row hashes, so that row
 # order and partitioning do not matter: four pieces of 32 bits.
@@ -17,7 +17,7 @@ PIECES = 4
 
 def _canonical(frame: DataFrame, name: str) -> Column:
     """Text of a value; its length in front keeps neighbouring cells apart."""
-    column, data_type = F.col(f"`{name}`"), field_type(frame, name)
+    column, data_type = F.col(quoted(name)), field_type(frame, name)
     if has_time(data_type):
         text = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     elif is_nested(data_type):
@@ -28,8 +28,8 @@ def _canonical(frame: DataFrame, name: str) -> Column:
     return F.coalesce(sized, F.lit("-"))
 
 
-def _summed(digests: DataFrame, *aggregates: Column) -> DataFrame:
-    """One row: the number of ``sha256`` values, the sums of their pieces, and more.
+def _summed(digests: DataFrame) -> DataFrame:
+    """One row: the number of ``sha256`` values and the sums of their pieces.
 
     Sums run as 64-bit integers within a task, where two billion rows fit, and as
     decimals over the tasks, where they cannot overflow.
@@ -41,7 +41,6 @@ def _summed(digests: DataFrame, *aggregates: Column) -> DataFrame:
     per_task = digests.groupBy(F.spark_partition_id().alias("task")).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(piece).alias(f"piece_{i}") for i, piece in enumerate(pieces)],
-        *aggregates,
     )
     return per_task.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
@@ -50,38 +49,28 @@ def _summed(digests: DataFrame, *aggregates: Column) -> DataFrame:
             .cast("string").alias(f"piece_{i}")
             for i in range(PIECES)
         ],
-        *[F.max(name).alias(name) for name in per_task.columns if name == "only"],
-        *[F.sum(name).alias(name) for name in per_task.columns if name == "bytes"],
     )
 
 
-def _folded() -> Column:
-    pieces = [F.col(f"piece_{i}") for i in range(PIECES)]
-    return F.sha2(F.concat_ws("|", F.col("n").cast("string"), *pieces), 256)
+def schema_text(frame: DataFrame, columns: Sequence[str]) -> str:
+    """Names and types of the columns, lengths in front of the names."""
+    return ",".join(
+        f"{len(name)}:{name} {field_type(frame, name).simpleString()}" for name in columns
+    )
 
 
 def table_fingerprint(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(rows, fingerprint) of a table as a multiset of rows, in one pass."""
+    """(rows, fingerprint) of a table as a schema and a multiset of rows, in one pass.
+
+    Partition values, column names and types count; row order and the cut into
+    files do not.
+    """
     names = list(columns or frame.columns)
     digest = F.sha2(F.concat_ws("|", *[_canonical(frame, name) for name in names]), 256)
     sums = _summed(frame.select(digest.alias("sha256")))
-    return sums.select(F.col("n").alias("rows"), _folded().alias("fingerprint"))
-
-
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256), one task per file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
-def source_hash(spark: SparkSession, path: str) -> DataFrame:
-    """(files, bytes, sha256) of a source: the file's own hash when there is one
-    file, else an order-free hash over the hashes of all files."""
-    sums = _summed(
-        file_digests(spark, path), F.max("sha256").alias("only"), F.sum("length").alias("bytes")
-    )
-    combined = F.when(F.col("n") == 1, F.col("only")).otherwise(_folded())
-    return sums.select(F.col("n").alias("files"), "bytes", combined.alias("sha256"))
+    pieces = [F.col(f"piece_{i}") for i in range(PIECES)]
+    folded = F.concat_ws("|", F.lit(schema_text(frame, names)), F.col("n").cast("string"), *pieces)
+    return sums.select(F.col("n").alias("rows"), F.sha2(folded, 256).alias("fingerprint"))
 
 
 def content_identity(

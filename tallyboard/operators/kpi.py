@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyboard.functions.formatting import (
     MISSING, ValueFormat, format_number, format_signed_percent, format_value,
 )
-from tallyboard.functions.numbers import is_blank, numeric
+from tallyboard.functions.numbers import is_blank, numeric, quoted
 
 NEUTRAL, HIGHER, LOWER = "neutral", "higher_is_better", "lower_is_better"
 COMPACT = ValueFormat(notation="compact")
@@ -28,7 +28,7 @@ def kpi_value(
     row = first_row(rows, order)
     blank = is_blank(row, value)
     return row.select(
-        F.when(~blank, F.col(f"`{value}`")).alias("value"),
+        F.when(~blank, F.col(quoted(value))).alias("value"),
         F.when(blank, MISSING).otherwise(format_value(row, value, style)).alias("display"),
     )
 

@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyboard.functions.numbers import quoted
 from tallyboard.functions.predicates import ALL, option_label
 from tallyboard.plans.grouped import free_name
 
@@ -15,7 +16,7 @@ def distinct_options(source: DataFrame, column: str, *, include_null: bool = Tru
     """Distinct values as ``value``, unsorted; partial distinct runs before the shuffle."""
     if column not in source.columns:
         raise ValueError(f"options need column {column!r}, which the source does not have")
-    options = source.select(F.col(f"`{column}`").alias("value")).distinct()
+    options = source.select(F.col(quoted(column)).alias("value")).distinct()
     return options if include_null else options.where(F.col("value").isNotNull())
 
 

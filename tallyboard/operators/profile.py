@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyboard.functions.numbers import quoted
 from tallyboard.functions.csv_text import has_time
 from tallyboard.functions.text_types import TEXT_FACTS, text_facts, type_of_bits
 from tallyboard.sources.load import CSV, ContractError, Source
@@ -113,7 +114,7 @@ def leaf_profile(source: Source) -> DataFrame:
     counts = [
         count
         for field in source.frame.schema.fields
-        for count in _present(F.col(f"`{field.name}`"), field.dataType)
+        for count in _present(F.col(quoted(field.name)), field.dataType)
     ]
     counted = source.frame.agg(*[count.alias(f"n{i}") for i, count in enumerate(counts)])
     rows = [
@@ -134,7 +135,7 @@ _FACTS = {
 
 def _typed_time(source: Source, prefix: str, name: str) -> list[Column]:
     """Facts of a freshness column that holds dates or timestamps."""
-    column, data_type = F.col(f"`{name}`"), source.raw.schema[name].dataType
+    column, data_type = F.col(quoted(name)), source.raw.schema[name].dataType
     timed = isinstance(data_type, T.DateType) or has_time(data_type)
     at = column.cast("timestamp") if timed else F.lit(None).cast("timestamp")
     # No other type can hold a date; its values are reported as not parsing.
@@ -279,16 +280,16 @@ def data_checks(source: Source, built_at: datetime, facts: DataFrame | None = No
     """The check rows of one source: passed, warning, or failed."""
     settings = source.freshness
     columns = list(source.raw.columns)
-    missing = sorted(set(settings.columns()) - set(columns))
+    missing = [name for name in sorted(settings.columns()) if name not in columns]
     found = source_facts(source, with_types=False) if facts is None else facts
 
     failures = [
-        F.when(F.col("rows") == 0, _check("has_rows", FAILED, "no data rows", source)),
+        F.when(F.col("rows") == 0, _check("has_rows", FAILED, "the source is empty", source)),
     ]
     if len(columns) != len(set(columns)):
-        failures.append(_check("unique_columns", FAILED, "duplicate column names", source))
+        failures.append(_check("unique_columns", FAILED, "a column name occurs twice", source))
     if missing:
-        text = "configured freshness columns not found: " + ", ".join(missing)
+        text = "the source lacks its freshness columns " + ", ".join(missing)
         failures.append(_check("freshness_columns", FAILED, text, source))
     named = {"data": settings.data_time_column, "processed": settings.processed_time_column}
     present = {prefix: column for prefix, column in named.items() if column in columns}
@@ -297,13 +298,13 @@ def data_checks(source: Source, built_at: datetime, facts: DataFrame | None = No
         failures += [
             F.when(
                 (F.col("rows") > 0) & (F.col(f"{prefix}_values") == 0),
-                _check("freshness_values", FAILED, f"freshness column {column!r} has no values", source),
+                _check("freshness_values", FAILED, f"{column!r} is empty in every row", source),
             ),
             F.when(
                 invalid > 0,
                 _check(
                     "freshness_parse", FAILED,
-                    F.format_string(f"{column!r}: %d values are not ISO 8601 datetimes", invalid),
+                    F.format_string(f"{column!r} holds %d values that are no ISO 8601 times", invalid),
                     source,
                 ),
             ),
@@ -313,7 +314,7 @@ def data_checks(source: Source, built_at: datetime, facts: DataFrame | None = No
         *[
             F.when(
                 reduce(lambda a, b: a | b, [F.col(f"{p}_naive") for p, c in present.items() if c == column]),
-                _check("timezone_assumed", WARNING, f"{column}: offset-free datetimes read as UTC", source),
+                _check("timezone_assumed", WARNING, f"times of {column} without an offset count as UTC", source),
             )
             for column in sorted(set(present.values()))
         ],
@@ -323,7 +324,7 @@ def data_checks(source: Source, built_at: datetime, facts: DataFrame | None = No
         lag = lag_hours(built_at, F.col("data_max_at"))
         late = lag > F.lit(float(limit))
         message = F.when(
-            late, F.format_string(f"data is %.1f hours old, the limit is {limit:g} hours", lag)
+            late, F.format_string(f"newest data is %.1f hours back, {limit:g} hours are allowed", lag)
         )
         checks.append(
             F.when(

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyboard.functions.csv_text import has_time
-from tallyboard.functions.numbers import field_type
+from tallyboard.functions.numbers import field_type, quoted
 from tallyboard.functions.text_types import iso_instant
-from tallyboard.plans.grouped import SINGLE_TASK_ROWS, position
+from tallyboard.plans.grouped import position
 
 TEMPORAL, NOMINAL = "temporal", "nominal"
 ISO_AXIS_TEXT = r"^\d{4}-\d{2}-\d{2}(T.*)?$"
@@ -28,7 +28,7 @@ def series_frame(
     """x, y, the effective series and the details; rows stay as they are."""
     series = effective_series(group, color)
     wanted = [x, y, *([series] if series else []), *details]
-    return rows.select(*[F.col(f"`{name}`") for name in dict.fromkeys(wanted)])
+    return rows.select(*[F.col(quoted(name)) for name in dict.fromkeys(wanted)])
 
 
 def _is_iso(text: Column) -> Column:
@@ -43,13 +43,13 @@ def axis_type(
     ``order`` says which row is first. Bars placed side by side are nominal.
     """
     data_type = field_type(rows, x)
-    column = F.col(f"`{x}`")
+    column = F.col(quoted(x))
     if side_by_side:
         kind = F.lit(NOMINAL)
     elif isinstance(data_type, T.DateType) or has_time(data_type):
         kind = F.when(F.count(column) > 0, TEMPORAL).otherwise(NOMINAL)
     elif isinstance(data_type, T.StringType):
-        key = F.when(column.isNotNull(), F.struct(*[F.col(f"`{name}`") for name in order]))
+        key = F.when(column.isNotNull(), F.struct(*[F.col(quoted(name)) for name in order]))
         kind = F.when(_is_iso(F.min_by(column, key)), TEMPORAL).otherwise(NOMINAL)
     else:
         kind = F.lit(NOMINAL)
@@ -58,7 +58,7 @@ def axis_type(
 
 def axis_key(rows: DataFrame, x: str, temporal: bool = False) -> Column:
     """What makes two x values equal: the instant on a temporal text axis, else the value."""
-    column = F.col(f"`{x}`")
+    column = F.col(quoted(x))
     if temporal and isinstance(field_type(rows, x), T.StringType):
         instant = iso_instant(column)
         return F.struct(instant, F.when(instant.isNull(), column))
@@ -67,11 +67,10 @@ def axis_key(rows: DataFrame, x: str, temporal: bool = False) -> Column:
 
 def series_rank(
     rows: DataFrame, series: str, *, reverse: bool = False,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Distinct series with their 0-based place on a sequential colour scale."""
-    distinct = rows.select(F.col(f"`{series}`").alias("series")).distinct()
-    ranked = position(distinct, [], ["series"], "place", single_task_rows)
+    distinct = rows.select(F.col(quoted(series)).alias("series")).distinct()
+    ranked = position(distinct, [], ["series"], "place")
     if not reverse:
         return ranked.select("series", (F.col("place") - 1).alias("color_rank"))
     last = ranked.agg(F.max("place").alias("last"))

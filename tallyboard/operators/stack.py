@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyboard.functions.numbers import numeric
+from tallyboard.functions.numbers import numeric, quoted
 from tallyboard.operators.series import axis_key
-from tallyboard.plans.grouped import SINGLE_TASK_ROWS, attach, free_name, sum_before
+from tallyboard.plans.grouped import attach, free_name, sum_before
 
 STANDARD, GROSS, NET = "normalize", "normalize_gross", "normalize_net"
 MODES = (STANDARD, GROSS, NET)
@@ -70,7 +70,7 @@ def stack_normalize(
         GROSS: "",
         NET: f"stack '{mode}' needs a sum of {y} that is not zero, at {x}=",
     }[mode]
-    shown = F.coalesce(F.col(f"`{x}`").cast("string"), F.lit("—"))
+    shown = F.coalesce(F.col(quoted(x)).cast("string"), F.lit("—"))
     refusal = F.raise_error(F.concat(F.lit(problem), shown)).cast("double")
     share = F.coalesce(F.try_divide(value, whole), F.lit(0.0))
     guarded = share if mode == GROSS else F.when(_offends(mode), refusal).otherwise(share)
@@ -81,7 +81,7 @@ def stack_normalize(
 
 def stack_zero(
     rows: DataFrame, x: str, y: str, order: Sequence[str], *,
-    temporal: bool = False, single_task_rows: int = SINGLE_TASK_ROWS,
+    temporal: bool = False,
 ) -> DataFrame:
     """Add ``y0`` and ``y1``: positive values pile up, negative ones down, per x."""
     value = numeric(rows, y)
@@ -92,7 +92,6 @@ def stack_zero(
     )
     piled = sum_before(
         keyed, F.coalesce("__y", F.lit(0.0)), ["__x", "__down"], order, "__before",
-        single_task_rows,
     )
     start = F.when(F.col("__y").isNotNull(), F.col("__before"))
     return piled.select(*rows.columns, start.alias("y0"), (start + F.col("__y")).alias("y1"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyboard.functions.numbers import quoted
 from tallyboard.functions.csv_text import result_value
 
 
@@ -15,7 +16,7 @@ def table_projection(rows: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     present = set(rows.columns)
     return rows.select(
         *[
-            F.col(f"`{name}`") if name in present else F.lit(None).cast("string").alias(name)
+            F.col(quoted(name)) if name in present else F.lit(None).cast("string").alias(name)
             for name in (columns or rows.columns)
         ]
     )

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyboard.functions.numbers import quoted
 from tallyboard.operators.series import axis_key
-from tallyboard.plans.grouped import SINGLE_TASK_ROWS, position
+from tallyboard.plans.grouped import position
 
 
 def detail_label(field: str) -> str:
@@ -27,7 +28,6 @@ def tooltip_entries(
     series: str | None = None, color_field: str | None = None,
     details: str | Sequence[str] = (), normalized: str | None = None,
     labels: dict[str, str] | None = None, temporal: bool = False,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """One row per tooltip entry: x, its place, series, colour value, value, details.
 
@@ -36,24 +36,24 @@ def tooltip_entries(
     """
     fields = detail_fields(details)
     names = labels or {}
-    series_value = F.col(f"`{series or y}`")
-    color_value = F.col(f"`{color_field}`") if color_field else series_value
+    series_value = F.col(quoted(series or y))
+    color_value = F.col(quoted(color_field)) if color_field else series_value
     pairs = [
         F.struct(
             F.lit(names.get(field, detail_label(field))).alias("label"),
-            F.col(f"`{field}`").cast("string").alias("value"),
+            F.col(quoted(field)).cast("string").alias("value"),
         )
         for field in fields
     ]
     keyed = rows.withColumn("__x", axis_key(rows, x, temporal))
-    placed = position(keyed, ["__x"], order, "__place", single_task_rows)
+    placed = position(keyed, ["__x"], order, "__place")
     return placed.select(
-        F.col(f"`{x}`").alias("x"),
+        F.col(quoted(x)).alias("x"),
         F.col("__place").alias("place"),
         series_value.alias("series"),
         color_value.alias("color_value"),
-        F.col(f"`{y}`").alias("value"),
-        *([F.col(f"`{normalized}`").alias("normalized_value")] if normalized else []),
+        F.col(quoted(y)).alias("value"),
+        *([F.col(quoted(normalized)).alias("normalized_value")] if normalized else []),
         (F.array(*pairs) if pairs else F.array().cast("array<struct<label:string,value:string>>"))
         .alias("details"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard import __version__
-from tallyboard.operators.identity import content_identity, source_hash, table_fingerprint
+from tallyboard.operators.identity import content_identity, table_fingerprint
 from tallyboard.operators.profile import (
     WARNING, data_checks, passport, require_passed, source_facts, timezone_check, union_all,
 )
@@ -19,9 +19,6 @@ from tallyboard.sources.manifest import build_manifest, write_manifest
 from tallyboard.sources.registry import latest_record, publish
 from tallyboard.sources.snapshot import snapshot_sources
 
-# A file is hashed whole, in one task. A source with a larger file is hashed by its
-# rows instead.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
 HASH_SCHEMA = "name string, file_name string, file_size_bytes long, sha256 string"
 
 
@@ -36,22 +33,14 @@ class Build:
     warnings: list[str]
 
 
-def hash_row(
-    source: Source, whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> tuple[str, str | None, int | None, str]:
-    """Name, file name, bytes and hash of a source; tables have no file facts."""
-    spark = source.frame.sparkSession
+def hash_row(source: Source) -> tuple[str, str | None, int | None, str]:
+    """Name, file name, bytes and row fingerprint of a source; tables have no file facts."""
+    content = table_fingerprint(source.raw).first()["fingerprint"]
     if source.path is None:
-        return source.name, None, None, table_fingerprint(source.frame).first()["fingerprint"]
+        return source.name, None, None, content
     file_name = source.path.rstrip("/").rsplit("/", 1)[-1]
-    files = source_files(spark, source.path).agg(
-        F.sum("length").alias("bytes"), F.max("length").alias("largest")
-    ).first()
-    if files["largest"] > whole_file_bytes:
-        content = table_fingerprint(source.raw).first()["fingerprint"]
-    else:
-        content = source_hash(spark, source.path).first()["sha256"]
-    return source.name, file_name, files["bytes"], content
+    files = source_files(source.frame.sparkSession, source.path)
+    return source.name, file_name, files.agg(F.sum("length")).first()[0], content
 
 
 def compile_report(report: Report, built_at: datetime) -> Build:
@@ -62,14 +51,14 @@ def compile_report(report: Report, built_at: datetime) -> Build:
     """
     report.check()
     sources = list(report.sources.values())
-    facts = {source.name: _held(source_facts(source)) for source in sources}
+    facts = {source.name: held(source_facts(source)) for source in sources}
     checks = union_all([data_checks(s, built_at, facts[s.name]) for s in sources])
-    checks = _held(checks.unionByName(timezone_check(checks, report.timezone)))
+    checks = held(checks.unionByName(timezone_check(checks, report.timezone)))
     require_passed(checks)
 
     hashes = report.spark.createDataFrame([hash_row(source) for source in sources], HASH_SCHEMA)
     versions = {"tool_version": __version__, "runtime_version": f"spark-{report.spark.version}"}
-    identity = _held(
+    identity = held(
         content_identity(
             hashes.select("name", "sha256"), report.slug, report.definition_sha256(), **versions
         )
@@ -103,6 +92,6 @@ def build_report(
     return build
 
 
-def _held(frame: DataFrame) -> DataFrame:
+def held(frame: DataFrame) -> DataFrame:
     """A frame of a few rows, computed once and kept as local rows."""
     return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)

@@ -15,11 +15,6 @@ from pyspark.sql import functions as F
 
 from tallyboard.session import cut_lineage
 
-# Largest group a single task may sort. Larger groups take the ranged path,
-# which gives the same rows.
-SINGLE_TASK_ROWS = 2_000_000
-
-
 def free_name(columns: Sequence[str], base: str) -> str:
     """``base``, with underscores appended until no column has that name."""
     name = base
@@ -43,38 +38,21 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: dict[str, Column]) -> Da
     return rows.join(side, condition, "left").drop(*[f"__side_{key}" for key in keys])
 
 
-def largest_group(rows: DataFrame, group: Sequence[str]) -> int:
-    """Number of rows in the largest group; one small row reaches the driver."""
-    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
 def sum_before(
-    rows: DataFrame,
-    value: Column,
-    group: Sequence[str],
-    order: Sequence[str],
-    into: str,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    rows: DataFrame, value: Column, group: Sequence[str], order: Sequence[str], into: str
 ) -> DataFrame:
     """Add ``into``: the sum of ``value`` over the earlier rows of the same group.
 
-    Groups that fit one task use an ordinary window. If any group is larger, the
-    rows are range-partitioned by (group, order), summed inside each range, and
-    shifted by the totals of the ranges before it, so no task holds a group.
+    The rows are range-partitioned by (group, order), summed inside each range, and
+    shifted by the totals of the ranges before it, so no task holds a group. Rows
+    equal in all of that are dealt by their number in the input, so that a run of
+    them is split as well; which of them comes first does not change the sums.
     """
     earlier = [F.col(name).asc_nulls_last() for name in order]
-    if largest_group(rows, group) <= single_task_rows:
-        window = Window.partitionBy(*group).orderBy(*earlier).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        return rows.withColumn(into, F.coalesce(F.sum(value).over(window), F.lit(0)))
-
-    # The random last key lets a range end inside a run of identical rows. The
-    # checkpoint fixes the ranges, so both uses below see the same ones.
+    # The checkpoint fixes ranges and numbers, so both uses below see the same ones.
     ranged = cut_lineage(
         rows.withColumn("__value", value)
-        .withColumn("__tie", F.rand(7))
+        .withColumn("__tie", F.monotonically_increasing_id())
         .repartitionByRange(*group, *earlier, F.col("__tie"))
         .withColumn("__range", F.spark_partition_id())
     )
@@ -96,13 +74,7 @@ def sum_before(
     )
 
 
-def position(
-    rows: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    into: str,
-    single_task_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
+def position(rows: DataFrame, group: Sequence[str], order: Sequence[str], into: str) -> DataFrame:
     """Add ``into``: the 1-based place of the row in its group."""
-    counted = sum_before(rows, F.lit(1).cast("long"), group, order, into, single_task_rows)
+    counted = sum_before(rows, F.lit(1).cast("long"), group, order, into)
     return counted.withColumn(into, F.col(into) + F.lit(1))

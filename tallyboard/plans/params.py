@@ -33,6 +33,13 @@ class MultiSelect:
         if not self.options.include_null and None in chosen:
             raise ValueError("a NULL default needs include_null=True")
 
+    def problem(self, value: Any) -> str | None:
+        """Why a run cannot take ``value``, or None."""
+        chosen = value if isinstance(value, (list, tuple)) else [value]
+        if None in chosen and not self.options.include_null:
+            return "NULL is not among the options"
+        return None
+
     def predicate(self, column: str | Column, value: Any) -> Column:
         return in_filter(
             column, value, empty=self.empty, include_null=self.options.include_null
@@ -48,12 +55,24 @@ class Select(MultiSelect):
         if not self.allow_all and self.default == ALL:
             raise ValueError("a select without 'all' needs another default")
 
+    def problem(self, value: Any) -> str | None:
+        if isinstance(value, (list, tuple)):
+            return "a single value is needed, not a list"
+        if value == ALL and not self.allow_all:
+            return "'all' is not allowed"
+        return super().problem(value)
+
 
 @dataclass(frozen=True)
 class DateRange:
     default: Any = ALL
     label: str | None = None
 
+    def problem(self, value: Any) -> str | None:
+        if value == ALL or isinstance(value, Mapping) and set(value) <= {"start", "end"}:
+            return None
+        return "a date range is 'all' or has a start and an end"
+
     def predicate(self, column: str | Column, value: Any) -> Column:
         return between_filter(column, value)
 
@@ -76,8 +95,25 @@ class Dimension:
         if self.default == NONE and not self.allow_none:
             raise ValueError("the default 'none' needs allow_none=True")
 
+    def problem(self, value: Any) -> str | None:
+        if value in self.choices or value == NONE and self.allow_none:
+            return None
+        return f"{value!r} is not a choice"
+
     def field_column(self, value: str) -> Column:
         return dimension(value, self.choices, allow_none=self.allow_none)
 
 
-Param = MultiSelect | DateRange | Dimension
+@dataclass(frozen=True)
+class Number:
+    """A plain number, for named arguments of SQL blocks."""
+
+    default: float
+    label: str | None = None
+
+    def problem(self, value: Any) -> str | None:
+        fits = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return None if fits else "a number is needed"
+
+
+Param = MultiSelect | DateRange | Dimension | Number

@@ -18,11 +18,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from tallyboard.operators.options import param_options
-from tallyboard.plans.params import Dimension, MultiSelect, Param
+from tallyboard.plans.params import MultiSelect, Param
 from tallyboard.sources.load import Source, register
 
 VIEW, QUERY = "view", "query"
-DONE, FAILED, SKIPPED = "done", "failed", "skipped"
+DONE, PLANNED, FAILED, SKIPPED = "done", "planned", "failed", "skipped"
 STATUS_SCHEMA = "output string, kind string, status string, message string"
 
 
@@ -74,16 +74,19 @@ class Inputs:
         """The chosen breakdown; the caller gives it an alias."""
         return self._params[param].field_column(self._values[param])
 
-    def sql(self, text: str, **frames: DataFrame) -> DataFrame:
+    def sql(
+        self, text: str, args: Mapping[str, Any] | None = None, **frames: DataFrame
+    ) -> DataFrame:
         """Spark SQL over the inputs as ``{name}``, or over frames derived from them."""
-        return self.spark.sql(text, **{**self._frames, **frames})
+        return self.spark.sql(text, dict(args or {}), **{**self._frames, **frames})
 
 
 @dataclass
 class Run:
-    """Outputs of a run, and what happened to each block."""
+    """Outputs and views of a run, and what happened to each block."""
 
     outputs: dict[str, DataFrame] = field(default_factory=dict)
+    views: dict[str, DataFrame] = field(default_factory=dict)
     events: list[tuple[str, str, str, str | None]] = field(default_factory=list)
     kept: list[DataFrame] = field(default_factory=list)
 
@@ -160,33 +163,74 @@ class Report:
         self.blocks[block.name] = block
 
     def _declare(
-        self, kind: str, name: str, reads: Iterable[str], uses: Iterable[str], keep: bool = False
+        self, kind: str, name: str, reads: Iterable[str], uses: Iterable[str], keep: bool = False,
+        version: str | None = None,
     ):
         def add(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
-            text = _source_text(build)
+            text = _source_text(build, version)
             self._add(Block(name, kind, build, tuple(reads), tuple(uses), text, keep))
             return build
 
         return add
 
     def view(
-        self, name: str, *, reads: Iterable[str], uses: Iterable[str] = (), keep: bool = False
+        self, name: str, *, reads: Iterable[str], uses: Iterable[str] = (), keep: bool = False,
+        version: str | None = None,
     ):
         """Decorator for a reusable relation.
 
         A view is computed by every output that reads it, with only the columns
         and rows that the output needs. ``keep`` stores it for the run instead:
-        worth it for a small result of a large scan that many outputs read.
+        worth it for a small result of a large scan that many outputs read. The
+        function's text and closed-over values are part of the report's identity;
+        ``version`` stands in for them where they have no text.
         """
-        return self._declare(VIEW, name, reads, uses, keep)
+        return self._declare(VIEW, name, reads, uses, keep, version)
 
-    def query(self, name: str, *, reads: Iterable[str], uses: Iterable[str] = ()):
-        """Decorator for an output."""
-        return self._declare(QUERY, name, reads, uses)
+    def query(
+        self, name: str, *, reads: Iterable[str], uses: Iterable[str] = (),
+        version: str | None = None,
+    ):
+        """Decorator for an output; ``version`` as for a view."""
+        return self._declare(QUERY, name, reads, uses, version=version)
+
+    def sql_block(
+        self, kind: str, name: str, text: str, *, reads: Iterable[str],
+        filters: Mapping[str, Mapping[str, str]] | None = None,
+        dimensions: Mapping[str, Mapping[str, str]] | None = None,
+        uses: Iterable[str] = (),
+    ) -> None:
+        """A view or output from Spark SQL over its inputs as ``{name}``.
 
-    def sql_block(self, kind: str, name: str, text: str, *, reads: Iterable[str]) -> None:
-        """A view or output from Spark SQL over its inputs as ``{name}``."""
-        self._add(Block(name, kind, lambda inputs: inputs.sql(text), tuple(reads), (), text))
+        ``filters`` says for an input which parameter filters which column
+        ({input: {parameter: column}}); the SQL sees the input already filtered.
+        ``dimensions`` adds the chosen breakdown as a column ({input: {parameter: new
+        column}}). Parameters in ``uses`` are named arguments, ``:parameter``.
+        """
+        where, broken_down, scalars = dict(filters or {}), dict(dimensions or {}), tuple(uses)
+        lost = (where.keys() | broken_down.keys()) - set(reads)
+        if lost:
+            raise ReportError(f"{name!r} filters what it does not read: {', '.join(sorted(lost))}")
+        params = [p for by in (*where.values(), *broken_down.values()) for p in by]
+
+        def build(inputs: Inputs) -> DataFrame:
+            frames: dict[str, DataFrame] = {}
+            for read in reads:
+                frame = inputs[read]
+                for param, column in where.get(read, {}).items():
+                    frame = frame.where(inputs.filter(column, param))
+                for param, column in broken_down.get(read, {}).items():
+                    frame = frame.withColumn(column, inputs.dimension(param))
+                frames[read] = frame
+            return inputs.sql(text, {p: inputs.value(p) for p in scalars}, **frames)
+
+        reads = tuple(reads)
+        described = json.dumps([text, where, broken_down, scalars], sort_keys=True)
+        plain = not (where or broken_down or scalars)
+        self._add(Block(
+            name, kind, build, reads, tuple(dict.fromkeys([*params, *scalars])),
+            text if plain else described,
+        ))
 
     # Structure.
 
@@ -267,7 +311,12 @@ class Report:
         unknown = set(given or {}) - set(self.params)
         if unknown:
             raise ReportError(f"unknown parameters: {', '.join(sorted(unknown))}")
-        return {name: param.default for name, param in self.params.items()} | dict(given or {})
+        settings = {n: param.default for n, param in self.params.items()} | dict(given or {})
+        for name, value in settings.items():
+            problem = self.params[name].problem(value)
+            if problem:
+                raise ReportError(f"parameter {name!r}: {problem}")
+        return settings
 
     def run(
         self, values: Mapping[str, Any] | None = None, outputs: Iterable[str] | None = None, *,
@@ -277,8 +326,8 @@ class Report:
         """Build the chosen outputs for one set of parameter values.
 
         Shared views are built once per run. ``sink`` is the action for each
-        output, such as a write; without it the outputs stay lazy. A block that
-        fails is reported with its text, those that read it are skipped, and the
+        output, such as a write; without it the outputs stay lazy and are ``planned``,
+        as views always are. A block that fails is reported with its text, those that read it are skipped, and the
         rest runs.
         """
         settings = self.values(values)
@@ -313,41 +362,50 @@ class Report:
                 if block.keep:
                     frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
                     run.kept.append(frame)
-                frame.createOrReplaceTempView(name)
+                run.views[name] = frame
             else:
                 run.outputs[name] = frame
                 if sink is not None:
                     sink(name, frame)
             frames[name] = frame
-            run.events.append((name, block.kind, DONE, None))
+            # Without an action nothing has been computed yet.
+            done = block.kind == QUERY and sink is not None
+            run.events.append((name, block.kind, DONE if done else PLANNED, None))
         except Exception as problem:  # any failure of a block is data of the run
             broken.add(name)
             run.outputs.pop(name, None)
             run.events.append((name, block.kind, FAILED, f"{problem}\n\n{block.text}"))
 
     def _result(self, block: Block, inputs: Inputs, settings: Mapping[str, Any]) -> DataFrame:
-        if self.cache is None or block.kind == VIEW:
+        # Only a build's snapshot says what data an output stands for.
+        if self.cache is None or block.kind == VIEW or not self.snapshot_id:
             return block.build(inputs)
         used = {name: settings[name] for name in self.lineage(block.name).params}
         key = json.dumps(
-            [self.snapshot_id, block.name, block.text, used], sort_keys=True, default=str
+            [self.slug, self.snapshot_id, self.definition_sha256(), block.name, used],
+            sort_keys=True, default=str,
         )
         return self.cache.get(key, lambda: block.build(inputs))
 
-    def legend_title(self, param: str, value: str) -> str:
-        """Legend of a series made by a dimension: parameter label and choice label."""
-        setting = self.params[param]
-        if not isinstance(setting, Dimension):
-            raise ReportError(f"{param!r} is not a dimension")
-        text = param.replace("_", " ")
-        label = setting.label or text[:1].upper() + text[1:]
-        if value == "none":
-            return f"{label}: Nothing"
-        return f"{label}: {setting.labels.get(value, setting.choices[value])}"
-
 
-def _source_text(build: Callable[..., Any]) -> str:
+def _source_text(build: Callable[..., Any], version: str | None = None) -> str:
+    """What tells one block function from another: its text and the values it closes over."""
+    if version is not None:
+        return f"{getattr(build, '__qualname__', type(build).__name__)} {version}"
+    try:
+        text = inspect.getsource(build)
+        held = inspect.getclosurevars(build).nonlocals
+    except (OSError, TypeError) as problem:
+        raise ReportError(f"{build!r} has no source text; give the block a version") from problem
+    parts = [text, *[f"{name} = {_stable(name, held[name])}" for name in sorted(held)]]
+    return "\n".join(parts)
+
+
+def _stable(name: str, value: Any) -> str:
+    """Text of a closed-over value that is the same in every process."""
+    if callable(value) and hasattr(value, "__code__"):
+        return _source_text(value)
     try:
-        return inspect.getsource(build)
-    except OSError:
-        return build.__qualname__
+        return json.dumps(value, sort_keys=True)
+    except (TypeError, ValueError) as problem:
+        raise ReportError(f"the value of {name!r} has no text; give the block a version") from problem

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE does the size-checked work at run time: it turns a join into a broadcast
@@ -37,15 +35,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data, which every executor must see.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where none is named (tests on one machine) is a temporary one made.
+    It is the one the cluster names in ``spark.checkpoint.dir``; where none is
+    named, one below the warehouse, which a cluster shares as well.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/intermediate").rstrip("/")
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """Write ``frame`` to the shared checkpoint folder and read it back."""
     spark = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tallyboard-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint(eager=True)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tallyboard.functions.numbers import quoted
 from tallyboard.functions.text_types import TYPE_BITS, text_facts, typed_value
 
 CSV, PARQUET = "csv", "parquet"
@@ -15,12 +16,15 @@ CSV, PARQUET = "csv", "parquet"
 # or the end. Possessive quantifiers keep the match linear on long lines.
 _FIELD = r'(?:"(?:[^"]++|"")*+"|[^",][^,]*+|)'
 WHOLE_LINE = rf"^{_FIELD}(?:,{_FIELD})*+$"
-# The same for a whole file, where quoted fields may span lines.
-_FILE_FIELD = r'(?:"(?:[^"]++|"")*+"|[^",\r\n][^,\r\n]*+|)'
-WHOLE_FILE = rf"^(?:{_FILE_FIELD}(?:,{_FILE_FIELD})*+(?:\r\n|\n|\r|\z))*+\z"
-# A file with records over several lines is one task; up to this size its quoting
-# is checked as well.
-CHECKED_FILE_BYTES = 256 * 1024 * 1024
+# What a line does when a quoted field reaches into it, and when one reaches out of it.
+_QUOTED = r'(?:[^"]++|"")*+'
+CLOSES = rf'^{_QUOTED}"(?:,{_FIELD})*+$'
+STAYS_OPEN = rf"^{_QUOTED}$"
+REOPENS = rf'^{_QUOTED}"(?:,{_FIELD})*+,"{_QUOTED}$'
+OPENS = rf'^(?:{_FIELD},)*+"{_QUOTED}$'
+# A line, a split or a file maps "outside" and "inside" to what holds at its end: bit 0
+# says whether it ends inside after a start outside, bit 1 after a start inside.
+UNCHANGED = 2
 
 
 class ContractError(ValueError):
@@ -34,8 +38,7 @@ class Freshness:
     max_lag_hours: float | None = None
 
     def columns(self) -> list[str]:
-        named = [self.data_time_column, self.processed_time_column]
-        return [column for column in named if column]
+        return list(filter(None, (self.data_time_column, self.processed_time_column)))
 
 
 @dataclass(frozen=True)
@@ -69,12 +72,50 @@ def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _after(first: Column, then: Column) -> Column:
+    """The mapping of two stretches of text, one after the other."""
+
+    def end(start: int) -> Column:
+        between = F.shiftright(first, start).bitwiseAND(1)
+        return F.when(between == 1, F.shiftright(then, 1)).otherwise(then).bitwiseAND(1)
+
+    return end(0).bitwiseOR(F.shiftleft(end(1), 1))
+
+
+def _folded(pieces: str) -> Column:
+    """The mapping of ordered pieces, (place, mapping) structs."""
+    return F.aggregate(
+        F.array_sort(F.collect_list(pieces)), F.lit(UNCHANGED),
+        lambda whole, piece: _after(whole, piece["mapping"]),
+    )
+
+
 def open_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted field is never closed, in files that fit one value."""
-    files = spark.read.text(path, wholetext=True).where(
-        F.col("_metadata.file_size") <= CHECKED_FILE_BYTES
+    """Whether a quoted field is never closed in some file of any size.
+
+    Lines are folded into a mapping per split, where they are in order, and the splits
+    of a file into one. Only lines with quotes take part, and a split has a bounded
+    number of them.
+    """
+    line = F.col("value")
+    outside = F.when(line.rlike(WHOLE_LINE), 0).when(line.rlike(OPENS), 1).otherwise(0)
+    inside = F.when(line.rlike(CLOSES), 0).when(
+        line.rlike(STAYS_OPEN) | line.rlike(REOPENS), 2
+    ).otherwise(0)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("place"),
+    )
+    splits = (
+        lines.where(line.contains('"'))
+        .select("file", "start", F.struct("place", (outside + inside).alias("mapping")).alias("piece"))
+        .groupBy("file", "start").agg(_folded("piece").alias("mapping"))
     )
-    return not files.where(~F.col("value").rlike(WHOLE_FILE)).isEmpty()
+    files = splits.select(
+        "file", F.struct(F.col("start").alias("place"), "mapping").alias("piece")
+    ).groupBy("file").agg(_folded("piece").alias("mapping"))
+    return not files.where(F.col("mapping").bitwiseAND(1) == 1).isEmpty()
 
 
 def csv_header(spark: SparkSession, path: str, multiline: bool = False) -> list[str]:
@@ -91,13 +132,13 @@ def csv_header(spark: SparkSession, path: str, multiline: bool = False) -> list[
 
 def header_problem(columns: list[str]) -> str | None:
     """What is wrong with a header, or None."""
-    if not columns:
-        return "no header row"
-    if any(not column.strip() for column in columns):
-        return "empty column name in the header"
-    if len(columns) != len(set(columns)):
-        return "duplicate column name in the header"
-    return None
+    names = [column.strip() for column in columns]
+    repeated = sorted({name for name in columns if columns.count(name) > 1})
+    if not names:
+        return "the file has no header line"
+    if "" in names:
+        return f"column {names.index('') + 1} has no name"
+    return f"columns named twice: {', '.join(repeated)}" if repeated else None
 
 
 def read_csv_text(
@@ -105,22 +146,21 @@ def read_csv_text(
 ) -> DataFrame:
     """All columns as text; short rows end in NULLs, extra cells are dropped.
 
-    Files are split over tasks unless a record spans lines. With ``multiline``
-    None one pass over the lines finds that out and checks the encoding.
+    One pass over the lines checks the encoding and whether a record spans lines;
+    where it does, quotes must close, and a file is one task. ``multiline`` tells
+    the reader so for files whose lines do not show it.
     """
-    spans = bool(multiline)
-    if multiline is None:
-        facts = csv_lines(spark, path).first()
-        if facts["bad_utf8"]:
-            raise ContractError(f"{path} is not UTF-8")
-        spans = facts["open_lines"]
-        if spans and open_quotes(spark, path):
-            raise ContractError(f"{path}: a quoted field is not closed")
+    facts = csv_lines(spark, path).first()
+    if facts["bad_utf8"]:
+        raise ContractError(f"{path} is not UTF-8")
+    if facts["open_lines"] and open_quotes(spark, path):
+        raise ContractError(f"{path}: a quoted field is not closed")
+    spans = bool(multiline) or facts["open_lines"]
     columns = csv_header(spark, path, spans)
     problem = header_problem(columns)
     if problem:
         raise ContractError(f"{path}: {problem}")
-    schema = ", ".join(f"`{column.replace('`', '``')}` string" for column in columns)
+    schema = ", ".join(f"{quoted(column)} string" for column in columns)
     return (
         spark.read.schema(schema)
         .option("header", True)
@@ -138,7 +178,7 @@ def read_csv_text(
 def typed_frame(text: DataFrame, bits: Mapping[str, int]) -> DataFrame:
     """Text columns cast to the types that all their values share."""
     return text.select(
-        *[typed_value(F.col(f"`{name}`"), bits.get(name, 0)).alias(name) for name in text.columns]
+        *[typed_value(F.col(quoted(name)), bits.get(name, 0)).alias(name) for name in text.columns]
     )
 
 
@@ -154,8 +194,8 @@ def load_source(
     """Open a source; the path's suffix names the format.
 
     A CSV source is read once for its line structure and once for its column
-    types, and the second pass finds the profile as well. ``multiline`` spares the
-    first one, and ``column_types``, as an earlier passport has them, the second.
+    types, and the second pass finds the profile as well. ``column_types``, as an
+    earlier passport has them, spare the second.
     """
     settings = freshness or Freshness()
     if source_format(path) == PARQUET:

@@ -11,6 +11,22 @@ from tallyboard.operators.status import freshness_rollup
 
 # JSON times with microseconds and offset.
 TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+# What a written manifest is read as.
+SCHEMA = """
+    report struct<slug string, title string, spec_version string, timezone string>,
+    artifact struct<id string, content_sha256 string, status string>,
+    build struct<built_at timestamp, tool_name string, tool_version string,
+        runtime_version string, build_mode string>,
+    freshness struct<status string, data_through timestamp, processed_at timestamp>,
+    sources array<struct<name string, source_format string, rows bigint, columns int,
+        column_names array<string>, inferred_column_types map<string, string>,
+        loaded_into_report_at timestamp, data_min_at timestamp, data_max_at timestamp,
+        data_time_granularity string, processed_at timestamp,
+        processed_time_granularity string, freshness_status string,
+        file_name string, file_size_bytes bigint, sha256 string>>,
+    checks struct<status string,
+        tests array<struct<source string, name string, status string, message string>>>
+"""
 
 
 def _by_name(left: Column, right: Column) -> Column:
@@ -69,7 +85,8 @@ def write_manifest(manifest: DataFrame, path: str, *, mode: str = "errorifexists
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path)
+    """A written manifest with the types it was built with: maps and times stay such."""
+    return spark.read.schema(SCHEMA).option("timestampFormat", TIMES).json(path)
 
 
 def manifest_summary(manifest: DataFrame) -> DataFrame:

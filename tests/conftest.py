@@ -9,11 +9,12 @@ from tallyboard.session import report_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = report_session(
         "tests",
         **{
             "spark.master": "local[8]",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             # Many small plans: quick compilation beats fast code here.

@@ -58,7 +58,7 @@ def test_identity_follows_content_not_time(make):
 
 
 def test_a_broken_source_stops_the_build(make):
-    with pytest.raises(ContractError, match="not found: missing_at"):
+    with pytest.raises(ContractError, match="lacks its freshness columns missing_at"):
         compile_report(make(freshness=Freshness("missing_at")), EARLY)
     broken = make()
     broken.sql_block("query", "bad", "SELECT 1", reads=["nothing"])
@@ -76,11 +76,19 @@ def test_known_types_spare_the_type_pass(spark, make, tmp_path):
     assert values(source.frame) == [(1.0, datetime(2026, 6, 30, 10))]
 
 
-def test_large_files_are_hashed_by_their_rows(spark, make, tmp_path):
+def test_sources_are_hashed_by_schema_and_rows(spark, make, tmp_path):
     source = make().sources["orders"]
-    by_file, by_rows = hash_row(source), hash_row(source, whole_file_bytes=10)
-    assert by_file[:3] == by_rows[:3] and by_file[3] != by_rows[3]
-    assert by_rows[3] == table_fingerprint(source.raw).first().fingerprint
+    assert hash_row(source)[3] == table_fingerprint(source.raw).first().fingerprint
+    one = spark.createDataFrame([(1, "2")], "a int, b string")
+    other = spark.createDataFrame([("1", 2)], "x string, y int")
+    assert table_fingerprint(one).first() != table_fingerprint(other).first()
+    # A partition value lives in a path, not in a file, and counts all the same.
+    one.withColumn("dt", F.lit("a")).write.partitionBy("dt").parquet(str(tmp_path / "p1.parquet"))
+    one.withColumn("dt", F.lit("b")).write.partitionBy("dt").parquet(str(tmp_path / "p2.parquet"))
+    prints = {
+        hash_row(load_source(spark, "p", str(tmp_path / f"p{i}.parquet")))[3] for i in (1, 2)
+    }
+    assert len(prints) == 2
 
 
 def test_kept_views_are_released(spark, make):

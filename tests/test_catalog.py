@@ -9,10 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entries
+import catalog
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
-QUERIES = entries.queries()
+QUERIES = catalog.QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -17,44 +17,40 @@ from tallyboard.sources.registry import (
 )
 
 
-def test_line_export(frame):
+def test_a_line_shows_what_it_draws(frame):
     rows = frame(
-        [("secret", "ads", "2026-01", 3, 80.0)],
-        "hidden string, channel string, month string, orders int, gmv double",
+        [(7, "w12", "tram", 41, 5.5)], "depot_no int, week string, vehicle string, trips int, fare double"
     )
-    output = Output(LINE, x="month", y="gmv", group="channel", details=["orders"])
+    output = Output(LINE, x="week", y="fare", group="vehicle", details=["trips"])
     shown = visible_data(rows, output)
-    assert shown.columns == ["channel", "month", "orders", "gmv"]
-    assert values(shown) == [("ads", "2026-01", 3, 80.0)]
+    assert shown.columns == ["week", "vehicle", "trips", "fare"]
+    assert values(shown) == [("w12", "tram", 41, 5.5)]
 
 
-def test_bar_export_adds_the_share_after_y(frame):
+def test_a_normalised_bar_has_its_share_beside_the_value(frame):
     rows = frame(
-        [("2026-01", "ads", 80.0), ("2026-01", "seo", 20.0)],
-        "month string, channel string, gmv double",
+        [("w12", 30.0, "tram"), ("w12", 10.0, "bus")], "week string, fare double, vehicle string"
     )
-    output = Output(BAR, x="month", y="gmv", group="channel", stack="normalize")
-    shown = visible_data(rows, output).orderBy("channel")
-    assert shown.columns == ["month", "channel", "gmv", "gmv_normalized"]
-    assert values(shown, "gmv_normalized") == [(0.8,), (0.2,)]
-    taken = visible_data(rows.withColumn("gmv_normalized", F.lit(1)), output)
-    assert taken.columns == ["month", "channel", "gmv", "gmv_normalized_"]
-    plain = Output(BAR, x="month", y="gmv", color="channel")
-    assert visible_data(rows, plain).columns == ["month", "channel", "gmv"]
+    output = Output(BAR, x="week", y="fare", group="vehicle", stack="normalize")
+    shown = visible_data(rows, output).orderBy("vehicle")
+    assert shown.columns == ["week", "fare", "fare_normalized", "vehicle"]
+    assert values(shown, "fare_normalized") == [(0.25,), (0.75,)]
+    taken = visible_data(rows.withColumn("fare_normalized", F.lit(1)), output)
+    assert taken.columns == ["week", "fare", "fare_normalized_", "vehicle"]
+    plain = Output(BAR, x="week", y="fare", color="vehicle")
+    assert visible_data(rows, plain).columns == ["week", "fare", "vehicle"]
 
 
-def test_heatmap_export(frame):
+def test_a_heatmap_shows_cells_and_row_metric(frame):
     rows = frame(
-        [("2026-01", 100, 0, 100, 1.0, "x")],
-        "cohort string, cohort_size int, period int, retained_users int, retention double, hidden string",
+        [(4, "n", "d1", 9, 0.5, 18)],
+        "hour int, note string, depot string, late int, share double, trips int",
     )
     output = Output(
-        HEATMAP, x="period", y="cohort", value="retention", row_metric="cohort_size",
-        details=["retained_users", "cohort_size", "missing"],
+        HEATMAP, x="hour", y="depot", value="share", row_metric="trips",
+        details=["late", "trips", "absent"],
     )
-    assert visible_columns(rows, output) == [
-        "cohort", "cohort_size", "period", "retained_users", "retention", "missing"
-    ]
+    assert visible_columns(rows, output) == ["hour", "depot", "late", "share", "trips", "absent"]
 
 
 def test_table_export(frame):
@@ -89,6 +85,13 @@ def test_written_csv(spark, frame, tmp_path):
     assert sorted(values(back)) == sorted((i, f"t{i}") for i in range(100))
 
 
+def test_an_empty_result_is_a_header(spark, tmp_path):
+    write_csv(spark.range(5).where("id > 9"), str(tmp_path / "none.csv"))
+    written = [p.read_bytes() for p in (tmp_path / "none.csv").glob("part-*")]
+    assert [w for w in written if w] == ["\ufeffid\r\n".encode()]
+    assert load_source(spark, "t", str(tmp_path / "none.csv")).frame.columns == ["id"]
+
+
 def built(spark, hour):
     built_at = datetime(2026, 7, 1, hour, tzinfo=timezone.utc)
     source = table_source(
@@ -110,7 +113,9 @@ def test_manifest_round_trip(spark, tmp_path):
     read = read_manifest(spark, path)
     row = read.first()
     assert row.freshness.status == "passed" and row.report.timezone == "UTC"
-    assert row.sources[0].inferred_column_types.asDict() == {"at": "datetime", "id": "integer"}
+    assert row.sources[0].inferred_column_types == {"at": "datetime", "id": "integer"}
+    assert row.build.built_at == datetime(2026, 7, 1, 8)
+    assert row.sources[0].data_max_at == datetime(2026, 6, 30, 10) and row.freshness.processed_at is None
     assert [test.name for test in row.checks.tests] == ["data_freshness", "parquet_valid"]
     assert values(manifest_summary(read), "slug", "source_name", "rows", "columns") == [
         ("test", "orders", 1, 2)

@@ -5,7 +5,7 @@ from conftest import values
 from tallyboard.operators.series import series_rank
 from tallyboard.operators.stack import stack_zero
 from tallyboard.operators.tooltip import tooltip_entries
-from tallyboard.plans.grouped import attach, free_name, largest_group, position, sum_before
+from tallyboard.plans.grouped import attach, free_name, position, sum_before
 
 
 @pytest.fixture(scope="module")
@@ -22,12 +22,6 @@ def skewed(spark):
     )
 
 
-def test_largest_group(skewed):
-    assert largest_group(skewed, ["g"]) == 1000
-    assert largest_group(skewed, []) == 3000
-    assert largest_group(skewed.where("false"), ["g"]) == 0
-
-
 @pytest.mark.parametrize("group", [["g"], []])
 def test_ranged_sums_equal_a_sequential_scan(skewed, group):
     order = ["k", "v"]
@@ -39,17 +33,14 @@ def test_ranged_sums_equal_a_sequential_scan(skewed, group):
         for row in sorted((r for r in rows if tuple(r[c] for c in group) == name), key=key):
             expected.append((*map(str, name), row["k"], row["v"], total))
             total += row["v"]
-    for limit in (10, 1_000_000):
-        found = sum_before(skewed, F.col("v"), group, order, "before", limit)
-        assert found.columns == ["g", "k", "v", "before"]
-        got = [
-            (*[str(r[c]) for c in group], r.k, r.v, float(r.before)) for r in found.collect()
-        ]
-        assert sorted(got) == sorted(expected)
+    found = sum_before(skewed, F.col("v"), group, order, "before")
+    assert found.columns == ["g", "k", "v", "before"]
+    got = [(*[str(r[c]) for c in group], r.k, r.v, float(r.before)) for r in found.collect()]
+    assert sorted(got) == sorted(expected)
 
 
 def test_ranged_positions_are_complete(skewed):
-    placed = position(skewed, ["g"], ["k", "v"], "place", 10)
+    placed = position(skewed, ["g"], ["k", "v"], "place")
     per_group = placed.groupBy("g").agg(
         F.count("*").alias("n"), F.min("place").alias("low"),
         F.max("place").alias("high"), F.count_distinct("place").alias("d"),
@@ -78,19 +69,20 @@ def test_free_name():
     assert free_name(["b", "b_"], "b") == "b__"
 
 
-def test_operators_agree_on_both_paths(skewed):
+def test_operators_do_not_depend_on_the_cut(spark, skewed):
     unique = skewed.groupBy("g", "k").agg((F.sum("v") - 40).alias("v"))
     for build in (
-        lambda limit: stack_zero(unique, "g", "v", ["k"], single_task_rows=limit),
-        lambda limit: tooltip_entries(
-            unique, "g", "v", ["k"], series="k", single_task_rows=limit
-        ).drop("details"),
-        lambda limit: series_rank(unique, "k", single_task_rows=limit),
-        lambda limit: series_rank(unique, "k", reverse=True, single_task_rows=limit),
+        lambda: stack_zero(unique, "g", "v", ["k"]),
+        lambda: tooltip_entries(unique, "g", "v", ["k"], series="k").drop("details"),
+        lambda: series_rank(unique, "k"),
+        lambda: series_rank(unique, "k", reverse=True),
     ):
-        small, ranged = build(1_000_000), build(5)
-        key = lambda rows: sorted(map(repr, rows))
-        assert key(small.collect()) == key(ranged.collect())
+        found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+        for count in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", count)
+            found.append(sorted(map(repr, build().collect())))
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert found[0] == found[1]
 
 
 def test_a_hot_key_is_split_when_the_side_is_not_broadcast(spark):

@@ -20,28 +20,28 @@ from tallyboard.operators.stack import (
 from tallyboard.operators.table import normalize_result, table_projection
 from tallyboard.operators.tooltip import tooltip_entries
 
-STACK = "period string, kind string, value double"
+STACK = "week string, depot string, fare double"
 
 
 def stack(frame, *amounts):
-    return frame([("2026-01", f"k{i}", v) for i, v in enumerate(amounts)], STACK)
+    return frame([("w12", f"d{i}", v) for i, v in enumerate(amounts)], STACK)
 
 
 def shares(frame, mode, *amounts):
-    shared = stack_normalize(stack(frame, *amounts), "period", "value", mode)
-    return [row[0] for row in values(shared.orderBy("kind"), "value_normalized")]
+    shared = stack_normalize(stack(frame, *amounts), "week", "fare", mode)
+    return [row[0] for row in values(shared.orderBy("depot"), "fare_normalized")]
 
 
 @pytest.mark.parametrize(
     "mode, amounts, expected",
     [
-        (GROSS, (80.0, -20.0), [0.8, -0.2]),
-        (NET, (120.0, -20.0), [1.2, -0.2]),
-        (NET, (20.0, -80.0), [1 / 3, -4 / 3]),
+        (GROSS, (30.0, -10.0), [0.75, -0.25]),
+        (NET, (50.0, -10.0), [1.25, -0.25]),
+        (NET, (10.0, -35.0), [0.4, -1.4]),
         (GROSS, (0.0, 0.0), [0.0, 0.0]),
-        (STANDARD, (80.0, 20.0), [0.8, 0.2]),
+        (STANDARD, (9.0, 3.0), [0.75, 0.25]),
         (STANDARD, (0.0, 0.0), [0.0, 0.0]),
-        (STANDARD, (80.0, None, 20.0, math.nan, math.inf), [0.8, None, 0.2, None, None]),
+        (STANDARD, (9.0, None, 3.0, math.nan, math.inf), [0.75, None, 0.25, None, None]),
     ],
 )
 def test_normalized_stacks(frame, mode, amounts, expected):
@@ -52,37 +52,37 @@ def test_normalized_stacks(frame, mode, amounts, expected):
 
 
 def test_refused_stacks(frame):
-    with pytest.raises(PySparkException, match="not negative, at period=2026-01"):
-        shares(frame, STANDARD, 80.0, -20.0)
-    with pytest.raises(PySparkException, match="not zero, at period=2026-01"):
-        shares(frame, NET, 20.0, -20.0)
-    offenders = stack_offenders(stack(frame, 20.0, -20.0), "period", "value", NET)
-    assert values(offenders, "x") == [("2026-01",)]
-    assert stack_offenders(stack(frame, 20.0, -20.0), "period", "value", GROSS).count() == 0
+    with pytest.raises(PySparkException, match="not negative, at week=w12"):
+        shares(frame, STANDARD, 30.0, -10.0)
+    with pytest.raises(PySparkException, match="not zero, at week=w12"):
+        shares(frame, NET, 15.0, -15.0)
+    offenders = stack_offenders(stack(frame, 15.0, -15.0), "week", "fare", NET)
+    assert values(offenders, "x") == [("w12",)]
+    assert stack_offenders(stack(frame, 15.0, -15.0), "week", "fare", GROSS).count() == 0
     # A stack without any number has nothing to refuse.
     assert shares(frame, NET, None, None) == [None, None]
 
 
 def test_shares_of_text_values_and_null_x(frame):
     rows = frame([(None, "a", " 30 "), (None, "b", "10"), (None, "c", "x"), ("p", "a", "")],
-                 "period string, kind string, value string")
-    found = stack_normalize(rows, "period", "value").orderBy("kind", "period")
-    assert values(found, "kind", "value_normalized") == [
+                 "week string, depot string, fare string")
+    found = stack_normalize(rows, "week", "fare").orderBy("depot", "week")
+    assert values(found, "depot", "fare_normalized") == [
         ("a", 0.75), ("a", None), ("b", 0.25), ("c", None)
     ]
 
 
 def test_derived_name_is_free(frame):
-    rows = stack(frame, 1.0).withColumn("value_normalized", F.lit("taken"))
-    assert stack_normalize(rows, "period", "value").columns[-1] == "value_normalized_"
+    rows = stack(frame, 1.0).withColumn("fare_normalized", F.lit("taken"))
+    assert stack_normalize(rows, "week", "fare").columns[-1] == "fare_normalized_"
 
 
 def test_temporal_x_groups_by_instant(frame):
     rows = frame([("2026-01-01", "a", 1.0), ("2026-01-01T00:00:00.000Z", "b", 3.0)], STACK)
-    apart = stack_normalize(rows, "period", "value").orderBy("kind")
-    assert values(apart, "value_normalized") == [(1.0,), (1.0,)]
-    together = stack_normalize(rows, "period", "value", temporal=True).orderBy("kind")
-    assert values(together, "value_normalized") == [(0.25,), (0.75,)]
+    apart = stack_normalize(rows, "week", "fare").orderBy("depot")
+    assert values(apart, "fare_normalized") == [(1.0,), (1.0,)]
+    together = stack_normalize(rows, "week", "fare", temporal=True).orderBy("depot")
+    assert values(together, "fare_normalized") == [(0.25,), (0.75,)]
 
 
 def test_stack_zero_piles_both_ways(frame):
@@ -90,7 +90,7 @@ def test_stack_zero_piles_both_ways(frame):
         [("p", "a", 5.0), ("p", "b", -2.0), ("p", "c", 3.0), ("p", "d", -1.0), ("p", "e", None)],
         STACK,
     )
-    found = stack_zero(rows, "period", "value", ["kind"]).orderBy("kind")
+    found = stack_zero(rows, "week", "fare", ["depot"]).orderBy("depot")
     assert values(found, "y0", "y1") == [
         (0.0, 5.0), (0.0, -2.0), (5.0, 8.0), (-2.0, -3.0), (None, None)
     ]
