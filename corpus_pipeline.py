@@ -47,7 +47,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ).select("doc_id", F.col("toxic").alias("label"))
     weights = toxicity.train(docs.select("doc_id", "text"), labels)
     columns = [F.col(name) for name in docs.columns]
-    return toxicity.score(docs, weights, columns).where(F.col("score") < 0.5).select(docs.columns)
+    scored = toxicity.score(docs, weights, columns, into="_toxicity")
+    return scored.where(F.col("_toxicity") < 0.5).select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,15 +89,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard, 0 to 7, and their place in it."""
+    """All documents with their shard, 0 to 7, and their place in it (columns shard, slot)."""
+    kept = [name for name in docs.columns if name not in ("shard", "slot")]
     rows = docs.select("doc_id", body().alias("body"), "source")
     placed = sharding.interleaved_shards(rows, "doc_id", "source", ["body"], SHARDS)
     plan = placed.groupBy("doc_id", "body").agg(
         F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("_places")
     )
     return (
-        chosen(docs, plan).select(*docs.columns, F.explode("_places").alias("_place"))
-        .select(*docs.columns, "_place.shard", "_place.slot")
+        chosen(docs, plan).select(*kept, F.explode("_places").alias("_place"))
+        .select(*kept, "_place.shard", "_place.slot")
     )
 
 

@@ -257,9 +257,9 @@ def body_of():
 
 def with_coverage(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the columns of ``found``; NULL where a document shares nothing."""
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_body") == F.col("body"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_body") == F.col("_found"))
     return (
         docs.withColumn("_body", body_of())
-        .join(found.withColumnRenamed("doc_id", "_doc"), same, "left")
-        .drop("_doc", "_body", "body")
+        .join(found.withColumnsRenamed({"doc_id": "_doc", "body": "_found"}), same, "left")
+        .drop("_doc", "_body", "_found")
     )

@@ -37,6 +37,8 @@ RADII = (-1, 0, 1, 2)
 PROBE_COST = 60.0
 #: Probes verified in one bucket, and the most that may share a value unsplit.
 BUCKET_ROWS = 200_000
+#: Links that one task thins out.
+LINKS_AT_ONCE = 1_000_000
 HOT_ROWS = 8192
 PROBES = "bucket long, part int, value long, node long, fp long, more long"
 
@@ -226,6 +228,29 @@ def forest(value: np.ndarray, codes: np.ndarray, limits: tuple[int, int]) -> np.
         gap += 1
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """A spanning forest of every piece of ``links`` (a, b), which keeps what is connected.
+
+    Buckets link the members of a large class over and over. Pieces have a bounded
+    number of links, so the pass is distributed, and small inputs are one piece.
+    """
+    links = cut(links.distinct())
+    pieces = max(1, links.count() // LINKS_AT_ONCE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches]
+        if found:
+            nodes, ends = np.unique(np.concatenate(found, axis=1), return_inverse=True)
+            a, b = ends.reshape(2, -1)
+            roots = joined_roots(np.arange(len(nodes)), a, b)
+            linked = np.flatnonzero(roots != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes[roots[linked]]), pa.array(nodes[linked])], names=["a", "b"]
+            )
+
+    return links.repartition(pieces).mapInArrow(run, "a long, b long")
+
+
 def find_links(nodes: DataFrame, tau: int, limits: tuple[int, int]) -> DataFrame:
     """(a, b): links between ``nodes`` (node, fp, more) that keep every component whole.
 
@@ -323,7 +348,7 @@ def near_groups(least: DataFrame, tau: int, limits: tuple[int, int]) -> DataFram
     node, so a large group of copies costs one probe.
     """
     nodes = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(find_links(nodes, tau, limits))
+    roots = components(thinned(find_links(nodes, tau, limits)))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
     return rooted.join(smallest, "root").select("fp", "more", F.col("smallest").alias("least"))

@@ -164,14 +164,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Ftrl = Ftrl()) -> Weight
     )
 
 
-def score(docs: DataFrame, weights: Weights, keep: list[Column]) -> DataFrame:
-    """``keep`` and ``score`` (0 to 1) of every row of ``docs``; NULL and empty texts by bias."""
+def score(
+    docs: DataFrame, weights: Weights, keep: list[Column], into: str = "score"
+) -> DataFrame:
+    """``keep`` and ``into``, a score (0 to 1) of every row of ``docs``; NULL and empty texts by bias."""
     parts = (weights.bits, weights.places, weights.values, weights.bias)
     shipped = docs.sparkSession.sparkContext.broadcast(parts)
     rows = docs.select(
         *keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_scored_text")
     )
-    schema = rows.drop("_scored_text").schema.add("score", "double")
+    schema = rows.drop("_scored_text").schema.add(into, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Weights(*shipped.value)
@@ -186,7 +188,7 @@ def score(docs: DataFrame, weights: Weights, keep: list[Column]) -> DataFrame:
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             names = [n for n in batch.schema.names if n != "_scored_text"]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(sigmoid(margin + model.bias))], names=[*names, "score"]
+                [*columns, pa.array(sigmoid(margin + model.bias))], names=[*names, into]
             )
 
     return rows.mapInArrow(run, schema)
