@@ -37,10 +37,10 @@ from tallyboard.llm.common import chunks, ranked, shared_path
 MAGIC = b"CMRB"
 BLOCK = 2048
 #: Text bytes whose ids go into one file; whole documents, at least one.
-FILE_BYTES = 12 << 20
+FILE_BYTES = 8 << 20
 #: Ids are below 2**16.
 DIGITS = 4
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 18
 ORDER1, ORDER2 = 12, 13
 #: Rows of order 0: one for the first digit, then one per prefix; prefixes of three
 #: digits share the last ones.
