@@ -99,13 +99,15 @@ def solve_rates(sizes: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFra
     )
     # At the upper end the smallest document reaches the cap; at the lower one the
     # words of all documents together are below any target.
+    most = F.log(F.lit(float(cap))) * F.col("scale") / F.col("smallest")
     state = cut(
         known.where((F.col("source_size") > 0) & (F.col("target") > 0)).select(
             "source", "target",
-            F.lit(0.0).alias("tilt"),
+            # A source whose target is its cap starts where all rates are at the cap.
+            F.when(F.col("target") >= F.col("source_size") * cap, most).otherwise(0.0).alias("tilt"),
             (-F.log(F.col("source_size") * 2 / F.col("target") + 2)
              * F.col("scale") / F.col("smallest")).alias("low"),
-            (F.log(F.lit(float(cap))) * F.col("scale") / F.col("smallest")).alias("high"),
+            most.alias("high"),
         )
     )
     rate = F.least(F.exp(F.col("tilt") * F.col("x")), F.lit(float(cap)))
