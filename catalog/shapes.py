@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from tallyboard.operators.heatmap import (
     heatmap_cells, heatmap_domain, heatmap_matrix, heatmap_row_metric,
 )
 from tallyboard.operators.kpi import HIGHER, kpi_delta, kpi_value
-from tallyboard.operators.series import axis_type, period_compare, series_frame, series_rank
+from tallyboard.operators.series import axis_kind, period_compare, series_frame, series_rank
 from tallyboard.operators.stack import GROSS, NET, STANDARD, stack_normalize, stack_zero
 from tallyboard.operators.table import normalize_result, table_projection
 from tallyboard.operators.tooltip import tooltip_entries
@@ -138,14 +137,15 @@ def axis_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     order = ["o_orderkey"]
     cases = {
-        "day": axis_type(orders, "day", order),
-        "priority": axis_type(orders, "o_orderpriority", order),
-        "date": axis_type(orders, "date", order),
-        "key": axis_type(orders, "o_orderkey", order),
-        "side_by_side": axis_type(orders, "day", order, side_by_side=True),
+        "day": axis_kind(orders, "day", order),
+        "priority": axis_kind(orders, "o_orderpriority", order),
+        "date": axis_kind(orders, "date", order),
+        "key": axis_kind(orders, "o_orderkey", order),
+        "side_by_side": axis_kind(orders, "day", order, side_by_side=True),
     }
-    named = [frame.select(F.lit(name).alias("x"), "axis_type") for name, frame in cases.items()]
-    return reduce(DataFrame.unionByName, named)
+    one = orders.agg(*[kind.alias(name) for name, kind in cases.items()])
+    pairs = [part for name in cases for part in (F.lit(name), F.col(name))]
+    return one.select(F.explode(F.create_map(*pairs)).alias("x", "axis_type"))
 
 
 @query(

@@ -35,25 +35,31 @@ def _is_iso(text: Column) -> Column:
     return text.rlike(ISO_AXIS_TEXT) & iso_instant(text).isNotNull()
 
 
-def axis_type(
+def axis_kind(
     rows: DataFrame, x: str, order: Sequence[str], *, side_by_side: bool = False
-) -> DataFrame:
-    """One row: ``temporal`` when the first non-NULL x is an ISO date or datetime.
+) -> Column:
+    """An aggregate: ``temporal`` when the first non-NULL x is an ISO date or datetime.
 
-    ``order`` says which row is first. Bars placed side by side are nominal.
+    ``order`` says which row is first. Bars placed side by side are nominal. Several
+    axes of one frame can share an aggregation, and so a scan.
     """
     data_type = field_type(rows, x)
     column = F.col(quoted(x))
     if side_by_side:
-        kind = F.lit(NOMINAL)
-    elif isinstance(data_type, T.DateType) or has_time(data_type):
-        kind = F.when(F.count(column) > 0, TEMPORAL).otherwise(NOMINAL)
-    elif isinstance(data_type, T.StringType):
+        return F.lit(NOMINAL)
+    if isinstance(data_type, T.DateType) or has_time(data_type):
+        return F.when(F.count(column) > 0, TEMPORAL).otherwise(NOMINAL)
+    if isinstance(data_type, T.StringType):
         key = F.when(column.isNotNull(), F.struct(*[F.col(quoted(name)) for name in order]))
-        kind = F.when(_is_iso(F.min_by(column, key)), TEMPORAL).otherwise(NOMINAL)
-    else:
-        kind = F.lit(NOMINAL)
-    return rows.agg(kind.alias("axis_type"))
+        return F.when(_is_iso(F.min_by(column, key)), TEMPORAL).otherwise(NOMINAL)
+    return F.lit(NOMINAL)
+
+
+def axis_type(
+    rows: DataFrame, x: str, order: Sequence[str], *, side_by_side: bool = False
+) -> DataFrame:
+    """One row with the ``axis_kind`` of x."""
+    return rows.agg(axis_kind(rows, x, order, side_by_side=side_by_side).alias("axis_type"))
 
 
 def axis_key(rows: DataFrame, x: str, temporal: bool = False) -> Column:
