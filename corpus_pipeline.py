@@ -54,8 +54,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that of the smallest doc_id.
 
-    Five-word shingles and a fingerprint similarity of 0.8. Texts without words are
-    one class.
+    Two are near-duplicates if the Jaccard similarity of their five-word shingles is 0.8
+    or more. Texts without words are one class.
     """
     rows = docs.select("doc_id", "text", body().alias("body"))
     return chosen(docs, simhash.one_of_each(rows)).select(docs.columns)

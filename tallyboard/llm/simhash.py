@@ -11,6 +11,9 @@ Both sides of a pair look up every value within ``radius`` of their own part, so
 meet if the parts differ in at most 2 * radius bits. Candidates are verified in
 buckets of probes, and a bucket gives a spanning forest of its links, never all
 pairs. A value that very many fingerprints share is split first.
+
+For one_of_each fingerprints only give candidates: a pair is linked if the Jaccard
+similarity of its sets of shingles is high enough.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from tallyboard.llm.common import chunks, components, cut, mixed, stored
 
@@ -40,6 +44,13 @@ BUCKET_ROWS = 200_000
 #: Links that one task thins out.
 LINKS_AT_ONCE = 1_000_000
 HOT_ROWS = 8192
+#: Similarity of sets of shingles from which on they are near-duplicates, as a fraction.
+SIMILAR = (4, 5)
+#: Members of a cluster beyond which they are compared with one of them first.
+LARGE_CLUSTER = 64
+#: Nodes in a block of a cluster, and the most blocks of one cluster.
+BLOCK_NODES = 128
+MOST_BLOCKS = 64
 PROBES = "bucket long, part int, value long, node long, fp long, more long"
 
 
@@ -50,37 +61,77 @@ def bit_majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) ->
     return np.packbits(sums * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """A hash of each shingle of a text, as often as it occurs."""
+    digest = xxhash.xxh64_intdigest
+    words = text.translate(LOWER).split()
+    if len(words) > shingle:
+        ranges = [words[k:] for k in range(shingle)]
+        return [digest(b" ".join(x), 42) for x in zip(*ranges, strict=False)]
+    return [digest(b" ".join(words), 42)] if words else []
+
+
+def distinct(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes, np.uint64))
+
+
+def hashed_text(docs: DataFrame, keep: list[str]) -> DataFrame:
+    return docs.select(
+        *keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_hashed_text")
+    )
+
+
+def shingle_sets(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
+    """``keep`` and ``shingles``, the hashes of the different shingles, of every row."""
+    rows = hashed_text(docs, keep)
+    schema = rows.drop("_hashed_text").schema.add("shingles", ArrayType(LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "_hashed_text"):
+            at = batch.schema.get_field_index("_hashed_text")
+            sets = [
+                distinct(shingle_hashes(text, shingle)).view(np.int64)
+                for text in batch.column(at).to_pylist()
+            ]
+            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            names = [n for n in batch.schema.names if n != "_hashed_text"]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(sets, pa.list_(pa.int64()))], names=[*names, "shingles"]
+            )
+
+    return rows.mapInArrow(run, schema)
+
+
 def fingerprints(
     docs: DataFrame, shingle: int, keep: list[str], repeats: bool = True
 ) -> DataFrame:
     """``keep``, ``fp`` and ``more`` (a second, independent fingerprint) of every row.
 
+    Without ``repeats`` also ``whole``, a hash of the set of shingles.
+
     Texts are lower-cased in A-Z and split at ASCII white space. Shingles of
     ``shingle`` words are joined by a space and hashed by XXH64 with seed 42, each as
-    often as it occurs or, without ``repeats``, once; with fewer words the whole sequence is the shingle, without words
-    (also NULL) both fingerprints are zero. A bit is set if it is in over half.
+    often as it occurs or, without ``repeats``, once; with fewer words the whole
+    sequence is the shingle, without words (also NULL) both fingerprints are zero. A bit is set if it is in over half.
     """
-    rows = docs.select(
-        *keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_hashed_text")
-    )
+    rows = hashed_text(docs, keep)
     schema = rows.drop("_hashed_text").schema.add("fp", "long").add("more", "long")
+    if not repeats:
+        schema = schema.add("whole", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in chunks(batches, "_hashed_text"):
             at = batch.schema.get_field_index("_hashed_text")
             hashes: list[int] = []
             counts = np.zeros(batch.num_rows, np.int64)
+            whole = np.zeros(batch.num_rows, np.uint64)
             for i, text in enumerate(batch.column(at).to_pylist()):
-                words = text.translate(LOWER).split()
-                before = len(hashes)
-                if len(words) > shingle:
-                    ranges = [words[k:] for k in range(shingle)]
-                    own = [digest(b" ".join(x), 42) for x in zip(*ranges, strict=False)]
-                    hashes += own if repeats else set(own)
-                elif words:
-                    hashes.append(digest(b" ".join(words), 42))
-                counts[i] = len(hashes) - before
+                own = shingle_hashes(text, shingle)
+                if not repeats:
+                    own = distinct(own)
+                    whole[i] = xxhash.xxh64_intdigest(own.tobytes(), 42) if len(own) else 0
+                hashes += own if repeats else own.tolist()
+                counts[i] = len(own)
             both = np.zeros((2, batch.num_rows), np.uint64)
             some = counts > 0
             if some.any():
@@ -90,9 +141,10 @@ def fingerprints(
                 both[1, some] = bit_majority(mixed(mixed(flat)), starts, counts[some])
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             names = [n for n in batch.schema.names if n != "_hashed_text"]
+            found = [both[0], both[1]] if repeats else [both[0], both[1], whole]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64))],
-                names=[*names, "fp", "more"],
+                [*columns, *[pa.array(x.view(np.int64)) for x in found]],
+                names=[*names, "fp", "more", "whole"][:len(names) + len(found)],
             )
 
     return rows.mapInArrow(run, schema)
@@ -376,6 +428,101 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFram
     )
 
 
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets (node, shingles) have a Jaccard similarity of 0.8."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    shared = F.size(F.array_intersect("left", "right"))
+    every = F.size("left") + F.size("right") - shared
+    enough = shared * SIMILAR[1] >= every * SIMILAR[0]
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+
+
+def close_pairs(members: DataFrame, limits: tuple[int, int]) -> DataFrame:
+    """(a, b): pairs of a cluster within ``limits`` whose roots differ.
+
+    ``members`` has node, fp, more, root, cluster and size, that of the cluster. Blocks
+    of a cluster meet two at a time, so a task holds two of them; a pair may come twice.
+    """
+    per_block = F.greatest(F.lit(BLOCK_NODES), F.col("size") / F.lit(MOST_BLOCKS))
+    blocks = members.withColumn("blocks", F.ceil(F.col("size") / per_block).cast("int"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    meeting = blocks.select("*", other).withColumn(
+        "home", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))
+    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        node, fp, more, root, cluster = (
+            table.column(c).to_numpy() for c in ("node", "fp", "more", "root", "cluster")
+        )
+        fp, more = fp.view(np.uint64), more.view(np.uint64)
+        for at in range(0, len(node), 256):
+            own = slice(at, at + 256)
+            first = np.bitwise_count(fp[own, None] ^ fp).astype(np.int64)
+            total = first + np.bitwise_count(more[own, None] ^ more)
+            a, b = np.nonzero(
+                (first <= limits[0]) & (total <= limits[1]) & (node[own, None] < node)
+                & (root[own, None] != root) & (cluster[own, None] == cluster)
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[own][a]), pa.array(node[b])], names=["a", "b"]
+            )
+
+    return (
+        meeting.select("home", "node", "fp", "more", "root", "cluster")
+        .groupBy("home").applyInArrow(meet, "a long, b long")
+    )
+
+
+def similar_groups(
+    nodes: DataFrame, links: DataFrame, sets: DataFrame, limits: tuple[int, int]
+) -> DataFrame:
+    """(node, root): the smallest node that pairs of similar sets reach.
+
+    ``links`` join every candidate pair into a cluster; ``sets`` has the linked nodes.
+    Each pair of nodes that is accepted has been compared. The members of a large cluster
+    are compared with one of them first, over and over while that joins any, so a large
+    group of near copies costs a few comparisons a member. Then every candidate pair
+    whose nodes are still apart is compared.
+    """
+    clusters = components(links).withColumnRenamed("root", "cluster")
+    members = stored(
+        clusters.join(nodes.select("node", "fp", "more"), "node"), "near-members"
+    )
+    good, trial = cut(similar(links, sets)), 0
+    while True:
+        root = F.coalesce("root", "node").alias("root")
+        state = cut(
+            members.join(components(good), "node", "left")
+            .select("node", "cluster", "fp", "more", root)
+        )
+        apart = cut(
+            state.groupBy("cluster")
+            .agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"),
+                 F.max("root").alias("high"))
+            .where("low <> high").select("cluster", "size")
+        )
+        large = apart.where(F.col("size") > LARGE_CLUSTER)
+        if not large.limit(1).count():
+            break
+        trial += 1
+        chosen = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(trial), "node"))
+        centres = cut(
+            state.join(large, "cluster").groupBy("cluster").agg(chosen.alias("centre"))
+        )
+        stars = state.join(centres, "cluster").where("root <> centre.root").select(
+            F.col("centre.node").alias("a"), F.col("node").alias("b")
+        )
+        joined = cut(similar(stars, sets))
+        if not joined.limit(1).count():
+            break
+        good = good.union(joined)
+    pairs = cut(close_pairs(state.join(apart, "cluster"), limits).distinct())
+    return components(good.union(similar(pairs, sets)))
+
+
 def one_of_each(
     docs: DataFrame, shingle: int = 5, tau: int = 11, limits: tuple[int, int] = (16, 25)
 ) -> DataFrame:
@@ -383,8 +530,9 @@ def one_of_each(
 
     ``docs`` has doc_id, text and body, a hash of the text. Shingles count once, so
     that a line repeated over and over does not make texts alike. Documents are linked if
-    their two fingerprints of 64 bits together differ in at most limits[1] bits; 25 of
-    128 are a similarity of 0.8. Pairs within ``tau`` bits of the first are sure to
+    the Jaccard similarity of their shingles is 0.8 or more; it is computed for each
+    pair whose two fingerprints of 64 bits make it a candidate: together they differ in
+    at most limits[1] bits. Pairs within ``tau`` bits of the first are sure to
     be compared, and most within limits[0]. The smallest (doc_id, body) stays, a NULL
     doc_id after all others.
     """
@@ -392,6 +540,21 @@ def one_of_each(
         fingerprints(docs, shingle, ["doc_id", "body"], repeats=False), "fingerprints"
     )
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body")
-    least = prints.groupBy("fp", "more").agg(F.min(place).alias("least"))
-    groups = near_groups(least, tau, limits)
-    return groups.select("least").distinct().select("least.doc_id", "least.body")
+    least = prints.groupBy("fp", "more", "whole").agg(F.min(place).alias("least"))
+    nodes = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    links = cut(thinned(find_links(nodes, tau, limits)))
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    # Known by its size before the texts move: a small one is broadcast, else both shuffle.
+    wanted = stored(
+        nodes.join(linked, "node")
+        .select("node", F.struct("least.doc_id", "least.body").alias("_key")), "wanted",
+    )
+    texts = docs.withColumn("_key", F.struct("doc_id", "body")).join(wanted, "_key")
+    sets = stored(
+        shingle_sets(texts, shingle, ["node"])
+        .groupBy("node").agg(F.first("shingles").alias("shingles")), "sets",
+    )
+    roots = similar_groups(nodes, links, sets, limits)
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    return smallest.select("least.doc_id", "least.body")

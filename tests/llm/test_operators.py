@@ -251,6 +251,64 @@ def test_one_of_each_keeps_unlike_texts(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [*range(12), 14, 15, 16]
 
 
+def plain_sets(texts, shingle=5):
+    words = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else {()} for w in words]
+
+
+def changed(rng, words, share):
+    """``words`` with a stretch replaced, so that the Jaccard similarity is about ``share``."""
+    gone = round((len(words) - 4) * (1 - share) / (1 + share)) - 4
+    at = rng.randrange(10, len(words) - gone - 10)
+    return [*words[:at], *(f"n{rng.randrange(10**6)}" for _ in range(gone)), *words[at + gone:]]
+
+
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = simhash.one_of_each(docs.withColumn("body", F.xxhash64(F.coalesce("text", F.lit("")))))
+    return sorted(r.doc_id for r in found.collect())
+
+
+def test_pairs_below_the_similarity_stay(spark):
+    rng = random.Random(8)
+    texts, below = [], 0
+    for share in [0.5, 0.6, 0.65, 0.7, 0.72, 0.74, 0.76, 0.78] * 5:
+        words = [f"v{rng.randrange(10**5)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(changed(rng, words, share))]
+        a, b = plain_sets(texts[-2:])
+        assert 0.4 < len(a & b) / len(a | b) < 0.8
+        x, y = (np.array([xxhash.xxh64_intdigest(" ".join(w).encode(), 42) for w in s], np.uint64) for s in (a, b))
+        at, n = np.array([0]), np.array([len(x)])
+        below += sum(int(f(x)[0] ^ f(y)[0]).bit_count() for f in (
+            lambda h: simhash.bit_majority(h, at, np.array([len(h)])),
+            lambda h: simhash.bit_majority(common.mixed(common.mixed(h)), at, np.array([len(h)])),
+        )) <= 25
+    assert below >= 10
+    assert kept_of(spark, texts) == list(range(len(texts)))
+
+
+@pytest.mark.parametrize("large", [64, 5])
+def test_chains_and_groups_of_similar_texts(spark, monkeypatch, large):
+    """Copies of one text that are alike through others only, in one cluster and in blocks."""
+    monkeypatch.setattr(simhash, "LARGE_CLUSTER", large)
+    monkeypatch.setattr(simhash, "BLOCK_NODES", large)
+    rng = random.Random(9)
+    words = [f"v{rng.randrange(10**5)}" for _ in range(400)]
+    texts = [" ".join(words)]
+    for share in [0.97] * 10 + [0.92] * 15 + [0.88] * 15 + [0.72] * 10:
+        texts.append(" ".join(changed(rng, words, share)))
+    rng.shuffle(texts)
+    sets = plain_sets(texts)
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert 1 < len(set(label)) < 15
+    assert kept_of(spark, texts) == sorted(set(label))
+
+
 def test_shards_match_the_mixture(documents, empty):
     sized = documents.select("doc_id", "source", F.lit(1).alias("t"))
     found = sharding.interleaved_shards(sized, "doc_id", "source", ["t"], 8).collect()
