@@ -438,8 +438,8 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
 
 
-def close_pairs(members: DataFrame, limits: tuple[int, int]) -> DataFrame:
-    """(a, b): pairs of a cluster within ``limits`` whose roots differ.
+def close_pairs(members: DataFrame, tau: int) -> DataFrame:
+    """(a, b): pairs of a cluster with different roots, within ``tau`` bits of a fingerprint.
 
     ``members`` has node, fp, more, root, cluster and size, that of the cluster. Blocks
     of a cluster meet two at a time, so a task holds two of them; a pair may come twice.
@@ -460,10 +460,10 @@ def close_pairs(members: DataFrame, limits: tuple[int, int]) -> DataFrame:
         fp, more = fp.view(np.uint64), more.view(np.uint64)
         for at in range(0, len(node), 256):
             own = slice(at, at + 256)
-            first = np.bitwise_count(fp[own, None] ^ fp).astype(np.int64)
-            total = first + np.bitwise_count(more[own, None] ^ more)
+            near = np.bitwise_count(fp[own, None] ^ fp) <= tau
+            near |= np.bitwise_count(more[own, None] ^ more) <= tau
             a, b = np.nonzero(
-                (first <= limits[0]) & (total <= limits[1]) & (node[own, None] < node)
+                near & (node[own, None] < node)
                 & (root[own, None] != root) & (cluster[own, None] == cluster)
             )
             yield pa.RecordBatch.from_arrays(
@@ -477,7 +477,7 @@ def close_pairs(members: DataFrame, limits: tuple[int, int]) -> DataFrame:
 
 
 def similar_groups(
-    nodes: DataFrame, links: DataFrame, sets: DataFrame, limits: tuple[int, int]
+    nodes: DataFrame, links: DataFrame, sets: DataFrame, tau: int
 ) -> DataFrame:
     """(node, root): the smallest node that pairs of similar sets reach.
 
@@ -519,22 +519,33 @@ def similar_groups(
         if not joined.limit(1).count():
             break
         good = good.union(joined)
-    pairs = cut(close_pairs(state.join(apart, "cluster"), limits).distinct())
+    pairs = cut(close_pairs(state.join(apart, "cluster"), tau).distinct())
     return components(good.union(similar(pairs, sets)))
 
 
-def one_of_each(
-    docs: DataFrame, shingle: int = 5, tau: int = 11, limits: tuple[int, int] = (16, 25)
-) -> DataFrame:
+def candidate_links(nodes: DataFrame, tau: int) -> DataFrame:
+    """(a, b): links that join all ``nodes`` (node, fp, more) within ``tau`` bits of one of both.
+
+    Each fingerprint is probed by itself and completely. Pairs that differ in at most
+    2 * tau + 1 bits of both together are within ``tau`` in one of them.
+    """
+    alone = F.lit(0).cast("long").alias("more")
+    first, second = (
+        find_links(nodes.select("node", F.col(code).alias("fp"), alone), tau, (tau, tau))
+        for code in ("fp", "more")
+    )
+    return cut(thinned(first.union(second)))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, tau: int = 12) -> DataFrame:
     """(doc_id, body) of the document that stays of each class of near-duplicates.
 
     ``docs`` has doc_id, text and body, a hash of the text. Shingles count once, so
     that a line repeated over and over does not make texts alike. Documents are linked if
     the Jaccard similarity of their shingles is 0.8 or more; it is computed for each
-    pair whose two fingerprints of 64 bits make it a candidate: together they differ in
-    at most limits[1] bits. Pairs within ``tau`` bits of the first are sure to
-    be compared, and most within limits[0]. The smallest (doc_id, body) stays, a NULL
-    doc_id after all others.
+    pair that differs in at most ``tau`` bits of the first or of the second fingerprint of
+    64 bits, so for all within 25 of 128 bits, whatever the size of the table. The
+    smallest (doc_id, body) stays, a NULL doc_id after all others.
     """
     prints = stored(
         fingerprints(docs, shingle, ["doc_id", "body"], repeats=False), "fingerprints"
@@ -542,7 +553,7 @@ def one_of_each(
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body")
     least = prints.groupBy("fp", "more", "whole").agg(F.min(place).alias("least"))
     nodes = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links = cut(thinned(find_links(nodes, tau, limits)))
+    links = candidate_links(nodes, tau)
     linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     # Known by its size before the texts move: a small one is broadcast, else both shuffle.
     wanted = stored(
@@ -554,7 +565,7 @@ def one_of_each(
         shingle_sets(texts, shingle, ["node"])
         .groupBy("node").agg(F.first("shingles").alias("shingles")), "sets",
     )
-    roots = similar_groups(nodes, links, sets, limits)
+    roots = similar_groups(nodes, links, sets, tau)
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("least"))
     return smallest.select("least.doc_id", "least.body")

@@ -1,6 +1,7 @@
 """Operators against plain versions on small tables with nulls, ties, copies and long texts."""
 
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -287,6 +288,31 @@ def test_pairs_below_the_similarity_stay(spark):
     assert kept_of(spark, texts) == list(range(len(texts)))
 
 
+def test_candidates_are_complete(spark):
+    """At the stage's own settings: clusters by brute force, up to 25 of 128 bits apart."""
+    rng = np.random.default_rng(12)
+    flipped = lambda code, k: int(code) ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False))
+    codes = []
+    for base in rng.integers(0, 2**63, (150, 2)):
+        first = int(rng.integers(0, 26))
+        codes += [tuple(map(int, base)), (flipped(base[0], first), flipped(base[1], 25 - first))]
+    tau = inspect.signature(simhash.one_of_each).parameters["tau"].default
+    label = list(range(len(codes)))
+    for a in range(len(codes)):
+        for b in range(a):
+            apart = [(x ^ y).bit_count() for x, y in zip(codes[a], codes[b], strict=True)]
+            assert sum(apart) > 25 or min(apart) <= tau
+            if min(apart) <= tau:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) <= 150
+    nodes = spark.createDataFrame(
+        [(i, *c) for i, c in enumerate(codes)], "node long, fp long, more long"
+    ).cache()
+    roots = dict(common.components(simhash.candidate_links(nodes, tau)).collect())
+    assert [roots.get(i, i) for i in range(len(codes))] == label
+
+
 @pytest.mark.parametrize("large", [64, 5])
 def test_chains_and_groups_of_similar_texts(spark, monkeypatch, large):
     """Copies of one text that are alike through others only, in one cluster and in blocks."""
