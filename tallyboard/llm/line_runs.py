@@ -113,7 +113,10 @@ def remove_repeated_runs(docs: DataFrame, lines: int = LINES) -> DataFrame:
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("body"),
     )
     rows = docs.select(key.alias("row"), "doc_id", "text")
-    runs = later_copies(rows.select("row", "text").where(F.col("text").contains("\n")), lines)
+    texts = rows.select("row", "text")
+    if lines > 1:
+        texts = texts.where(F.col("text").contains("\n"))
+    runs = later_copies(texts, lines)
     path = shared_path(spark, "line-runs")
     runs.groupBy("row").agg(
         F.collect_set(F.struct("start", "length")).alias("runs")

@@ -494,3 +494,12 @@ def test_line_runs(documents, rows, empty):
             assert (row.kept or "") == "\n".join(kept)
     assert gone[21] and gone[22]
     assert line_runs.remove_repeated_runs(empty).count() == 0
+
+
+def test_single_lines_are_runs_at_a_minimum_of_one(spark):
+    texts = ["same\nown", "same", "other", "other", "a\nsame\nown\nb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r.doc_id, r.n_removed, r.kept) for r in line_runs.remove_repeated_runs(docs, 1).collect())
+    assert found == [
+        (0, 0, "same\nown"), (1, 1, None), (2, 0, "other"), (3, 1, None), (4, 2, "a\nb")
+    ]
