@@ -5,6 +5,7 @@ import shutil
 import subprocess
 import sys
 
+import __spark_entry__  # noqa: F401  (registers the catalog)
 import catalog
 
 HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
