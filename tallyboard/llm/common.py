@@ -52,6 +52,14 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, with underscores behind it while a column is called so."""
+    used = {column.lower() for column in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def text_of(frame: DataFrame) -> Column:
     """The text column; NULL counts as empty."""
     return F.coalesce(frame["text"].cast("string"), F.lit(""))

@@ -141,11 +141,13 @@ class BlobLedger:
         pairs = self.spark.read.schema("blob string, path string, rule string").parquet(
             f"{call}/unseen"
         )
-        todo = pairs.groupBy("blob", "path").agg(F.collect_set("rule").alias("rules"))
-        unseen = (
-            here.alias("h").join(todo.alias("t"), F.expr("h.path <=> t.path AND h.blob = t.blob"))
-            .select("h.blob", "h.text", "t.rules")
-        )
+        # Keys without NULL, so that the join needs no second shuffle of the texts. Rows that
+        # repeat path and text are put together before it: a blob is scanned once.
+        place = [F.col("path").isNull().alias("nameless"),
+                 F.coalesce("path", F.lit("")).alias("named"), F.col("blob")]
+        todo = pairs.groupBy(*place).agg(F.collect_set("rule").alias("rules"))
+        once = here.groupBy(*place).agg(F.first("text").alias("text"))
+        unseen = once.join(todo, ["nameless", "named", "blob"]).select("blob", "text", "rules")
         spans(unseen, rules).distinct().write.mode("append").parquet(f"{self.path}/findings")
         pairs.select("blob", "rule").write.mode("append").parquet(f"{self.path}/scanned")
         return given

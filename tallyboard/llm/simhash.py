@@ -11,9 +11,6 @@ Both sides of a pair look up every value within ``radius`` of their own part, so
 meet if the parts differ in at most 2 * radius bits. Candidates are verified in
 buckets of probes, and a bucket gives a spanning forest of its links, never all
 pairs. A value that very many fingerprints share is split first.
-
-For one_of_each fingerprints only give candidates: a pair is linked if the Jaccard
-similarity of its sets of shingles is high enough.
 """
 
 from __future__ import annotations
@@ -27,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from tallyboard.llm.common import chunks, components, cut, mixed, stored
 
@@ -44,14 +40,7 @@ BUCKET_ROWS = 200_000
 #: Links that one task thins out.
 LINKS_AT_ONCE = 1_000_000
 HOT_ROWS = 8192
-#: Similarity of sets of shingles from which on they are near-duplicates, as a fraction.
-SIMILAR = (4, 5)
-#: Members of a cluster beyond which they are compared with one of them first.
-LARGE_CLUSTER = 64
-#: Nodes in a block of a cluster, and the most blocks of one cluster.
-BLOCK_NODES = 128
-MOST_BLOCKS = 64
-PROBES = "bucket long, part int, value long, node long, fp long, more long"
+PROBES = "bucket long, part int, value long, node long, fp long"
 
 
 def bit_majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -71,80 +60,41 @@ def shingle_hashes(text: bytes, shingle: int) -> list[int]:
     return [digest(b" ".join(words), 42)] if words else []
 
 
-def distinct(hashes: list[int]) -> np.ndarray:
-    return np.unique(np.array(hashes, np.uint64))
-
-
 def hashed_text(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(
         *keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_hashed_text")
     )
 
 
-def shingle_sets(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
-    """``keep`` and ``shingles``, the hashes of the different shingles, of every row."""
-    rows = hashed_text(docs, keep)
-    schema = rows.drop("_hashed_text").schema.add("shingles", ArrayType(LongType()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_hashed_text"):
-            at = batch.schema.get_field_index("_hashed_text")
-            sets = [
-                distinct(shingle_hashes(text, shingle)).view(np.int64)
-                for text in batch.column(at).to_pylist()
-            ]
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [n for n in batch.schema.names if n != "_hashed_text"]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(sets, pa.list_(pa.int64()))], names=[*names, "shingles"]
-            )
-
-    return rows.mapInArrow(run, schema)
-
-
-def fingerprints(
-    docs: DataFrame, shingle: int, keep: list[str], repeats: bool = True
-) -> DataFrame:
-    """``keep``, ``fp`` and ``more`` (a second, independent fingerprint) of every row.
-
-    Without ``repeats`` also ``whole``, a hash of the set of shingles.
+def fingerprints(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
+    """``keep`` and ``fp``, the fingerprint, of every row.
 
     Texts are lower-cased in A-Z and split at ASCII white space. Shingles of
     ``shingle`` words are joined by a space and hashed by XXH64 with seed 42, each as
-    often as it occurs or, without ``repeats``, once; with fewer words the whole
-    sequence is the shingle, without words (also NULL) both fingerprints are zero. A bit is set if it is in over half.
+    often as it occurs; with fewer words the whole sequence is the shingle, without words
+    (also NULL) the fingerprint is zero. A bit is set if it is in over half.
     """
     rows = hashed_text(docs, keep)
-    schema = rows.drop("_hashed_text").schema.add("fp", "long").add("more", "long")
-    if not repeats:
-        schema = schema.add("whole", "long")
+    schema = rows.drop("_hashed_text").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_hashed_text"):
             at = batch.schema.get_field_index("_hashed_text")
             hashes: list[int] = []
             counts = np.zeros(batch.num_rows, np.int64)
-            whole = np.zeros(batch.num_rows, np.uint64)
             for i, text in enumerate(batch.column(at).to_pylist()):
                 own = shingle_hashes(text, shingle)
-                if not repeats:
-                    own = distinct(own)
-                    whole[i] = xxhash.xxh64_intdigest(own.tobytes(), 42) if len(own) else 0
-                hashes += own if repeats else own.tolist()
+                hashes += own
                 counts[i] = len(own)
-            both = np.zeros((2, batch.num_rows), np.uint64)
+            prints = np.zeros(batch.num_rows, np.uint64)
             some = counts > 0
             if some.any():
-                flat = np.array(hashes, np.uint64)
                 starts = (np.cumsum(counts) - counts)[some]
-                both[0, some] = bit_majority(flat, starts, counts[some])
-                both[1, some] = bit_majority(mixed(mixed(flat)), starts, counts[some])
+                prints[some] = bit_majority(np.array(hashes, np.uint64), starts, counts[some])
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             names = [n for n in batch.schema.names if n != "_hashed_text"]
-            found = [both[0], both[1]] if repeats else [both[0], both[1], whole]
             yield pa.RecordBatch.from_arrays(
-                [*columns, *[pa.array(x.view(np.int64)) for x in found]],
-                names=[*names, "fp", "more", "whole"][:len(names) + len(found)],
+                [*columns, pa.array(prints.view(np.int64))], names=[*names, "fp"]
             )
 
     return rows.mapInArrow(run, schema)
@@ -256,11 +206,10 @@ def joined_roots(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             roots = further
 
 
-def forest(value: np.ndarray, codes: np.ndarray, limits: tuple[int, int]) -> np.ndarray:
+def forest(value: np.ndarray, codes: np.ndarray, tau: int) -> np.ndarray:
     """Roots of rows linked within equal ``value``; rows are sorted by it.
 
-    Linked: the first codes differ in at most limits[0] bits, all codes together in
-    at most limits[1].
+    Linked: the codes differ in at most ``tau`` bits.
     """
     roots = np.arange(len(value))
     at, gap = np.arange(len(value)), 1
@@ -270,12 +219,7 @@ def forest(value: np.ndarray, codes: np.ndarray, limits: tuple[int, int]) -> np.
         if not len(at):
             return roots
         apart = at[roots[at] != roots[at + gap]]
-        first = np.bitwise_count(codes[0][apart] ^ codes[0][apart + gap])
-        fine = first <= limits[0]
-        apart, total = apart[fine], first[fine].astype(np.int64)
-        for code in codes[1:]:
-            total += np.bitwise_count(code[apart] ^ code[apart + gap])
-        apart = apart[total <= limits[1]]
+        apart = apart[np.bitwise_count(codes[apart] ^ codes[apart + gap]) <= tau]
         roots = joined_roots(roots, apart, apart + gap)
         gap += 1
 
@@ -303,16 +247,15 @@ def thinned(links: DataFrame) -> DataFrame:
     return links.repartition(pieces).mapInArrow(run, "a long, b long")
 
 
-def find_links(nodes: DataFrame, tau: int, limits: tuple[int, int]) -> DataFrame:
-    """(a, b): links between ``nodes`` (node, fp, more) that keep every component whole.
+def find_links(nodes: DataFrame, tau: int) -> DataFrame:
+    """(a, b): links between ``nodes`` (node, fp) that keep every component whole.
 
-    ``nodes`` is a stored frame, one row per different fingerprint pair. Every pair
-    whose ``fp`` differ in at most ``tau`` bits is probed; it is linked if they differ
-    in at most limits[0] bits, and with ``more`` in at most limits[1].
+    ``nodes`` is a stored frame, one row per different fingerprint. Every pair whose
+    fingerprints differ in at most ``tau`` bits is probed and verified.
     """
     spark = nodes.sparkSession
     count = nodes.count()
-    sample = nodes.orderBy(F.xxhash64(F.lit("sample"), "fp", "more")).limit(SAMPLE)
+    sample = nodes.orderBy(F.xxhash64(F.lit("sample"), "fp")).limit(SAMPLE)
     codes = sample.select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     parts = plan_parts(codes, count, tau)
     masks = [np.uint64(p.mask) for p in parts]
@@ -323,37 +266,36 @@ def find_links(nodes: DataFrame, tau: int, limits: tuple[int, int]) -> DataFrame
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                node, fp, more = (batch.column(c).to_numpy() for c in ("node", "fp", "more"))
+                node, fp = (batch.column(c).to_numpy() for c in ("node", "fp"))
                 for part, (mask, flips) in enumerate(zip(masks, patterns, strict=True)):
                     value = ((fp.view(np.uint64) & mask)[:, None] ^ flips[None, :]).ravel()
                     home = mixed(value + np.uint64(part)) % np.uint64(buckets)
-                    own = [np.repeat(x, len(flips)) for x in (node, fp, more)]
+                    own = [np.repeat(x, len(flips)) for x in (node, fp)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(home.astype(np.int64)),
                          pa.array(np.full(len(value), part, np.int32)),
                          pa.array(value.view(np.int64)), *map(pa.array, own)],
-                        names=["bucket", "part", "value", "node", "fp", "more"],
+                        names=["bucket", "part", "value", "node", "fp"],
                     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
-        part, value, node, fp, more = (
-            table.column(c).to_numpy() for c in ("part", "value", "node", "fp", "more")
+        part, value, node, fp = (
+            table.column(c).to_numpy() for c in ("part", "value", "node", "fp")
         )
         order = np.lexsort((node, value, part))
         part, value, node = part[order], value[order], node[order]
-        fp, more = fp[order].view(np.uint64), more[order].view(np.uint64)
         group = np.cumsum(
             np.append(0, (value[1:] != value[:-1]) | (part[1:] != part[:-1]))
         )
-        roots = forest(group, [fp, more], limits)
+        roots = forest(group, fp[order].view(np.uint64), tau)
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         pair = np.unique(np.stack([node[roots[linked]], node[linked]]), axis=1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"]
         )
 
-    probes = nodes.select("node", "fp", "more").mapInArrow(probe, PROBES)
+    probes = nodes.select("node", "fp").mapInArrow(probe, PROBES)
     shared = cut(
         probes.groupBy("part", "value").agg(F.count(F.lit(1)).alias("rows"))
         .where(F.col("rows") > HOT_ROWS)
@@ -363,7 +305,7 @@ def find_links(nodes: DataFrame, tau: int, limits: tuple[int, int]) -> DataFrame
     usual = probes.join(shared, ["part", "value"], "left_anti")
     links = usual.groupBy("bucket").applyInArrow(verify, "a long, b long")
     hot = probes.join(shared, ["part", "value"])
-    if limits == (2, 2):
+    if tau == 2:
         # Codes within two bits have a code within one bit of both: all that share
         # such a middle are linked to the smallest of them.
         middles = hot.select("node", "fp").distinct().select(
@@ -384,7 +326,7 @@ def find_links(nodes: DataFrame, tau: int, limits: tuple[int, int]) -> DataFrame
         F.xxhash64("part", "value", F.least("block", "other"), F.greatest("block", "other")),
     )
     return links.union(
-        meeting.select("bucket", "part", "value", "node", "fp", "more")
+        meeting.select("bucket", "part", "value", "node", "fp")
         .groupBy("bucket").applyInArrow(verify, "a long, b long")
     )
 
@@ -393,17 +335,17 @@ def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
-def near_groups(least: DataFrame, tau: int, limits: tuple[int, int]) -> DataFrame:
-    """(fp, more, least): the smallest value that links reach, per fingerprint pair.
+def near_groups(least: DataFrame, tau: int) -> DataFrame:
+    """(fp, least): the smallest value that links reach, per fingerprint.
 
-    ``least`` (fp, more, least) has a row for each fingerprint pair. Copies are one
-    node, so a large group of copies costs one probe.
+    ``least`` (fp, least) has a row for each fingerprint. Copies are one node, so a
+    large group of copies costs one probe.
     """
     nodes = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(thinned(find_links(nodes, tau, limits)))
+    roots = components(thinned(find_links(nodes, tau)))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
-    return rooted.join(smallest, "root").select("fp", "more", F.col("smallest").alias("least"))
+    return rooted.join(smallest, "root").select("fp", F.col("smallest").alias("least"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFrame:
@@ -413,159 +355,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFram
     smallest doc_id reachable, the document included. Texts without words (NULL,
     empty, blank) have fingerprint zero and are linked like any other; repeated rows
     are one class. A NULL doc_id belongs to a class but is never its smallest,
-    unless nothing else is in it.
+    unless nothing else is in it. A text of any length is hashed whole, in one task.
     """
-    prints = stored(
-        fingerprints(docs.select("doc_id", "text"), shingle, ["doc_id"])
-        .withColumn("more", F.lit(0).cast("long")),
-        "fingerprints",
-    )
-    least = prints.groupBy("fp", "more").agg(F.min("doc_id").alias("least"))
-    groups = near_groups(least, tau, (tau, tau))
-    return prints.join(groups, ["fp", "more"]).select(
+    prints = stored(fingerprints(docs.select("doc_id", "text"), shingle, ["doc_id"]), "fingerprints")
+    groups = near_groups(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), tau)
+    return prints.join(groups, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("least").alias("component_id"),
     )
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets (node, shingles) have a Jaccard similarity of 0.8."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    shared = F.size(F.array_intersect("left", "right"))
-    every = F.size("left") + F.size("right") - shared
-    enough = shared * SIMILAR[1] >= every * SIMILAR[0]
-    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
-
-
-def close_pairs(members: DataFrame, tau: int) -> DataFrame:
-    """(a, b): pairs of a cluster with different roots, within ``tau`` bits of a fingerprint.
-
-    ``members`` has node, fp, more, root, cluster and size, that of the cluster. Blocks
-    of a cluster meet two at a time, so a task holds two of them; a pair may come twice.
-    """
-    per_block = F.greatest(F.lit(BLOCK_NODES), F.col("size") / F.lit(MOST_BLOCKS))
-    blocks = members.withColumn("blocks", F.ceil(F.col("size") / per_block).cast("int"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    meeting = blocks.select("*", other).withColumn(
-        "home", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))
-    )
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        node, fp, more, root, cluster = (
-            table.column(c).to_numpy() for c in ("node", "fp", "more", "root", "cluster")
-        )
-        fp, more = fp.view(np.uint64), more.view(np.uint64)
-        for at in range(0, len(node), 256):
-            own = slice(at, at + 256)
-            near = np.bitwise_count(fp[own, None] ^ fp) <= tau
-            near |= np.bitwise_count(more[own, None] ^ more) <= tau
-            a, b = np.nonzero(
-                near & (node[own, None] < node)
-                & (root[own, None] != root) & (cluster[own, None] == cluster)
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[own][a]), pa.array(node[b])], names=["a", "b"]
-            )
-
-    return (
-        meeting.select("home", "node", "fp", "more", "root", "cluster")
-        .groupBy("home").applyInArrow(meet, "a long, b long")
-    )
-
-
-def similar_groups(
-    nodes: DataFrame, links: DataFrame, sets: DataFrame, tau: int
-) -> DataFrame:
-    """(node, root): the smallest node that pairs of similar sets reach.
-
-    ``links`` join every candidate pair into a cluster; ``sets`` has the linked nodes.
-    Each pair of nodes that is accepted has been compared. The members of a large cluster
-    are compared with one of them first, over and over while that joins any, so a large
-    group of near copies costs a few comparisons a member. Then every candidate pair
-    whose nodes are still apart is compared.
-    """
-    clusters = components(links).withColumnRenamed("root", "cluster")
-    members = stored(
-        clusters.join(nodes.select("node", "fp", "more"), "node"), "near-members"
-    )
-    good, trial = cut(similar(links, sets)), 0
-    while True:
-        root = F.coalesce("root", "node").alias("root")
-        state = cut(
-            members.join(components(good), "node", "left")
-            .select("node", "cluster", "fp", "more", root)
-        )
-        apart = cut(
-            state.groupBy("cluster")
-            .agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"),
-                 F.max("root").alias("high"))
-            .where("low <> high").select("cluster", "size")
-        )
-        large = apart.where(F.col("size") > LARGE_CLUSTER)
-        if not large.limit(1).count():
-            break
-        trial += 1
-        chosen = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(trial), "node"))
-        centres = cut(
-            state.join(large, "cluster").groupBy("cluster").agg(chosen.alias("centre"))
-        )
-        stars = state.join(centres, "cluster").where("root <> centre.root").select(
-            F.col("centre.node").alias("a"), F.col("node").alias("b")
-        )
-        joined = cut(similar(stars, sets))
-        if not joined.limit(1).count():
-            break
-        good = good.union(joined)
-    pairs = cut(close_pairs(state.join(apart, "cluster"), tau).distinct())
-    return components(good.union(similar(pairs, sets)))
-
-
-def candidate_links(nodes: DataFrame, tau: int) -> DataFrame:
-    """(a, b): links that join all ``nodes`` (node, fp, more) within ``tau`` bits of one of both.
-
-    Each fingerprint is probed by itself and completely. Pairs that differ in at most
-    2 * tau + 1 bits of both together are within ``tau`` in one of them.
-    """
-    alone = F.lit(0).cast("long").alias("more")
-    first, second = (
-        find_links(nodes.select("node", F.col(code).alias("fp"), alone), tau, (tau, tau))
-        for code in ("fp", "more")
-    )
-    return cut(thinned(first.union(second)))
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, tau: int = 12) -> DataFrame:
-    """(doc_id, body) of the document that stays of each class of near-duplicates.
+def one_of_each(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFrame:
+    """(doc_id, body) of the document that stays of each class of ``near_duplicates``.
 
-    ``docs`` has doc_id, text and body, a hash of the text. Shingles count once, so
-    that a line repeated over and over does not make texts alike. Documents are linked if
-    the Jaccard similarity of their shingles is 0.8 or more; it is computed for each
-    pair that differs in at most ``tau`` bits of the first or of the second fingerprint of
-    64 bits, so for all within 25 of 128 bits, whatever the size of the table. The
-    smallest (doc_id, body) stays, a NULL doc_id after all others.
+    ``docs`` has doc_id, text and body, a hash of the text. The smallest (doc_id, body)
+    stays, a NULL doc_id after all others.
     """
-    prints = stored(
-        fingerprints(docs, shingle, ["doc_id", "body"], repeats=False), "fingerprints"
-    )
+    prints = fingerprints(docs, shingle, ["doc_id", "body"])
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body")
-    least = prints.groupBy("fp", "more", "whole").agg(F.min(place).alias("least"))
-    nodes = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links = candidate_links(nodes, tau)
-    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    # Known by its size before the texts move: a small one is broadcast, else both shuffle.
-    wanted = stored(
-        nodes.join(linked, "node")
-        .select("node", F.struct("least.doc_id", "least.body").alias("_key")), "wanted",
-    )
-    texts = docs.withColumn("_key", F.struct("doc_id", "body")).join(wanted, "_key")
-    sets = stored(
-        shingle_sets(texts, shingle, ["node"])
-        .groupBy("node").agg(F.first("shingles").alias("shingles")), "sets",
-    )
-    roots = similar_groups(nodes, links, sets, tau)
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    return smallest.select("least.doc_id", "least.body")
+    groups = near_groups(prints.groupBy("fp").agg(F.min(place).alias("least")), tau)
+    return groups.select("least.doc_id", "least.body").distinct()

@@ -16,8 +16,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from tallyboard.llm.common import WordHashes, chunks, mixed
+from tallyboard.llm.common import WordHashes, chunks, free_name, mixed
 
 #: ASCII upper case to lower; punctuation at the ends of words is not part of them.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -30,8 +31,9 @@ class Ftrl:
     """Settings of the training; ``sample_rows`` bounds the labelled rows it reads.
 
     ``l1`` is multiplied by the square root of the number of rows, with which the
-    sums of chance gradients grow. The sample is dealt over ``shards`` tasks whose weights are averaged; a sample
-    of this size fits one task, and one pass over all of it learns rare words better.
+    sums of chance gradients grow. The sample is dealt over ``shards`` tasks whose
+    weights are averaged; a sample of this size fits one task, and one pass over all of
+    it learns rare words better.
     """
 
     bits: int = 20
@@ -90,14 +92,16 @@ def sigmoid(margin):
     return 1.0 / (1.0 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def fit_shard(settings: Ftrl, texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of one FTRL-proximal pass sequence over the rows in their order."""
-    extract = Features(settings.bits)
-    # One text at a time: only its distinct places are held.
-    features = [np.unique(extract([text])[1]).astype(np.int32) for text in texts]
+def fit_shard(
+    settings: Ftrl, features: list[np.ndarray], labels: np.ndarray
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of one FTRL-proximal pass sequence over the rows in their order.
+
+    ``features`` has the distinct places of each row.
+    """
     size = (1 << settings.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
-    l1 = settings.l1 * len(texts) ** 0.5
+    l1 = settings.l1 * len(features) ** 0.5
     bias = size - 1
 
     def weight(at: np.ndarray) -> np.ndarray:
@@ -128,26 +132,50 @@ def bounded_sample(labels: DataFrame, key: str, label: str, rows: int) -> DataFr
     )
 
 
+def places_of(rows: DataFrame, bits: int) -> DataFrame:
+    """``rows`` with ``places``, the distinct hashed features of ``text``, in its stead."""
+    schema = rows.drop("text").schema.add("places", ArrayType(IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extract = Features(bits)
+        for batch in chunks(batches, "text"):
+            at = batch.schema.get_field_index("text")
+            # One text at a time: only its distinct places are held.
+            places = [
+                np.unique(extract([text])[1]).astype(np.int32)
+                for text in batch.column(at).to_pylist()
+            ]
+            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            names = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(places, pa.list_(pa.int32()))], names=[*names, "places"]
+            )
+
+    return rows.mapInArrow(run, schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Ftrl = Ftrl()) -> Weights:
     """Fit on ``labels`` (doc_id, label) joined with ``docs`` (doc_id, text).
 
     The sample is bounded by ``settings.sample_rows`` and so may be broadcast; it is
     dealt over a fixed number of shards, each trained in a task of its own, and the
-    weights are averaged by place. NULL texts are empty; without labelled rows all
-    weights are zero and every score is one half. Repeated documents count as often
-    as they occur in the sample's keys.
+    weights are averaged by place. Texts become features before they are dealt, so a
+    training task holds at most 2**bits places a row, whatever the length of the texts.
+    NULL texts are empty; without labelled rows all weights are zero and every score is
+    one half. Rows that repeat a doc_id count once, with the smallest of their texts, so
+    that equal inputs give equal weights however they are dealt over tasks.
     """
     sample = bounded_sample(labels, "doc_id", "label", settings.sample_rows)
     rows = (
         docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
         .join(F.broadcast(sample), "doc_id")
-        .dropDuplicates(["doc_id"])
-        .withColumn("shard", F.pmod("order", F.lit(settings.shards)))
+        .groupBy("doc_id", "label", "order").agg(F.min("text").alias("text"))
     )
+    rows = places_of(rows, settings.bits).withColumn("shard", F.pmod("order", F.lit(settings.shards)))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "doc_id"])
-        full, bias = fit_shard(settings, list(pdf["text"]), pdf["label"].to_numpy())
+        full, bias = fit_shard(settings, list(pdf["places"]), pdf["label"].to_numpy())
         at = np.flatnonzero(full)
         return pd.DataFrame({"place": np.append(at, -1), "value": np.append(full[at], bias)})
 
@@ -170,23 +198,23 @@ def score(
     """``keep`` and ``into``, a score (0 to 1) of every row of ``docs``; NULL and empty texts by bias."""
     parts = (weights.bits, weights.places, weights.values, weights.bias)
     shipped = docs.sparkSession.sparkContext.broadcast(parts)
-    rows = docs.select(
-        *keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_scored_text")
-    )
-    schema = rows.drop("_scored_text").schema.add(into, "double")
+    held = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    source = free_name("scored_text", [*docs.select(*keep).columns, into])
+    rows = docs.select(*keep, held.alias(source))
+    schema = rows.drop(source).schema.add(into, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Weights(*shipped.value)
         full, features = model.dense(), Features(model.bits)
         active, size = full != 0, np.int64(1 << model.bits)
-        for batch in chunks(batches, "_scored_text"):
-            at = batch.schema.get_field_index("_scored_text")
+        for batch in chunks(batches, source):
+            at = batch.schema.get_field_index(source)
             owner, place = features(batch.column(at).to_pylist())
             hit = active[place]
             once = np.unique(owner[hit] * size + place[hit])
             margin = np.bincount(once // size, full[once % size], minlength=batch.num_rows)
             columns = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [n for n in batch.schema.names if n != "_scored_text"]
+            names = [n for n in batch.schema.names if n != source]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(sigmoid(margin + model.bias))], names=[*names, into]
             )

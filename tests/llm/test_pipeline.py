@@ -3,13 +3,23 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tallyboard.llm import common
+from tallyboard.llm import common, simhash
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score int, shard string, body int"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, score int, shard string, body int, "
+    "_body int, _coverage int, _key string, _copy int, toxicity int, row int, plan int, key int"
+)
+MORE = (7, 8, "k", 9, 1, 2, 3, 4)
+
+
+def print_of(text):
+    hashes = simhash.shingle_hashes(text.encode(), 3)
+    return int(simhash.bit_majority(np.array(hashes, np.uint64), np.array([0]), np.array([len(hashes)]))[0])
 
 
 @pytest.fixture(scope="module")
@@ -21,13 +31,16 @@ def folder(spark, tmp_path_factory):
     toxic = set(range(0, 300, 4))
     for i in toxic:
         texts[i] = texts[i].replace(" ", " vile ", 3)
-    near = texts[1].split()
-    near[70] = "changed"
-    texts |= {300: " ".join(near), 301: texts[2], 302: None, 303: "", 304: None}
+    # One word changed, where that changes no more than two bits.
+    near = [texts[1].split() for _ in range(150)]
+    for at, words in enumerate(near):
+        words[at] = "changed"
+    near = [" ".join(words) for words in near]
+    texts |= {300: next(t for t in near if 0 < (print_of(t) ^ print_of(texts[1])).bit_count() <= 2), 301: texts[2], 302: None, 303: "", 304: None}
     item = [f"b{i}" for i in range(40)]
     texts[305] = " ".join([*(word() for _ in range(150)), *item[20:], "and", *item[:20]])
-    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or ""), 1, "x", 2) for i, t in texts.items()]
-    rows += [rows[5], (None, " ".join(word() for _ in range(90)), None, None, None, None, None, None)]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or ""), 1, "x", 2, *MORE) for i, t in texts.items()]
+    rows += [rows[5], (None, " ".join(word() for _ in range(90)), None, None, None, None, None, None, *MORE)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, int(i in toxic)) for i in range(250)], "doc_id long, toxic int").write.parquet(
         f"{path}/labels.parquet")
