@@ -8,7 +8,7 @@ the near-duplicate stage on, except for the copies that the mixing stage makes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard.llm import balance, common, decontaminate, sharding, simhash, toxicity
@@ -22,19 +22,26 @@ def body() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, row): every row of ``docs`` as one value, so that no column can clash with another."""
+    return docs.select(
+        F.struct("doc_id", body().alias("body")).alias("key"),
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+    )
+
+
 def chosen(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Documents that ``plan`` (doc_id, body, ...) names, once each, with its other columns.
+    """(row, plan): documents that ``plan`` (doc_id, body, ...) names, once each.
 
-    The texts are shuffled once, by document; neither side is broadcast unseen.
+    Rows that repeat a document are put together before the shuffle, so a row that makes
+    up a third of the table arrives once a task. Neither side is broadcast unseen.
     """
-    key = F.struct("doc_id", "body")
-    plan = plan.withColumn("_key", key).drop("doc_id", "body")
-    rows = docs.withColumn("_key", F.struct("doc_id", body().alias("body")))
-    one = Window.partitionBy("_key").orderBy(F.lit(1))
-    return (
-        rows.join(plan, "_key").withColumn("_copy", F.row_number().over(one))
-        .where(F.col("_copy") == 1).drop("_key", "_copy")
+    others = [name for name in plan.columns if name not in ("doc_id", "body")]
+    plan = plan.select(
+        F.struct("doc_id", "body").alias("key"), F.struct(*others, F.lit(1)).alias("plan")
     )
+    once = keyed(docs).groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.join(plan, "key").select("row", "plan")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,30 +53,29 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ~toxicity.held_out(F.col("doc_id"))
     ).select("doc_id", F.col("toxic").alias("label"))
     weights = toxicity.train(docs.select("doc_id", "text"), labels)
-    columns = [F.col(name) for name in docs.columns]
-    scored = toxicity.score(docs, weights, columns, into="_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).select(docs.columns)
+    into = common.free_name("toxicity", docs.columns)
+    scored = toxicity.score(docs, weights, [F.col(f"`{n}`") for n in docs.columns], into=into)
+    return scored.where(F.col(into) < 0.5).select(*[f"`{n}`" for n in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the smallest doc_id.
+    """One document of each group of near-duplicates, that of the smallest doc_id.
 
-    Two are near-duplicates if the Jaccard similarity of their five-word shingles is 0.8
-    or more. Texts without words are one class.
+    Groups are those of the SimHash operator: fingerprints of three-word shingles that
+    reach each other over steps of two bits at most.
     """
     rows = docs.select("doc_id", "text", body().alias("body"))
-    return chosen(docs, simhash.one_of_each(rows)).select(docs.columns)
+    return chosen(docs, simhash.one_of_each(rows)).select("row.*")
 
 
 def keep_untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover less than half of every benchmark item."""
     benchmark = common.table(spark, sf_dir, "benchmark")
     found = decontaminate.contaminated(docs.select("doc_id", "text"), benchmark)
-    covered = decontaminate.with_coverage(
-        docs, found.select("doc_id", "body", F.col("coverage").alias("_coverage"))
+    leaks = found.where(F.col("coverage") >= decontaminate.COVERAGE).select(
+        F.struct("doc_id", "body").alias("key")
     )
-    clean = F.coalesce(F.col("_coverage"), F.lit(0.0)) < decontaminate.COVERAGE
-    return covered.where(clean).select(docs.columns)
+    return keyed(docs).join(leaks, "key", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,23 +88,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
     plan = (
         balance.balanced_copies(sizes, "doc_id", ties=("body",))
-        .groupBy("doc_id", "body").agg(F.sum("copies").alias("_times")).where("_times > 0")
+        .groupBy("doc_id", "body").agg(F.sum("copies").alias("times")).where("times > 0")
     )
-    times = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_time")
-    return chosen(docs, plan).select(*docs.columns, times).select(docs.columns)
+    times = F.explode(F.sequence(F.lit(1), F.col("plan.times").cast("int"))).alias("time")
+    return chosen(docs, plan).select("row", times).select("row.*")
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard, 0 to 7, and their place in it (columns shard, slot)."""
-    kept = [name for name in docs.columns if name not in ("shard", "slot")]
+    """All documents with their shard, 0 to 7, and their place in it (columns shard, slot).
+
+    Columns of these names that the documents have already are replaced.
+    """
+    kept = [n for n in docs.columns if n.lower() not in ("shard", "slot")]
     rows = docs.select("doc_id", body().alias("body"), "source")
     placed = sharding.interleaved_shards(rows, "doc_id", "source", ["body"], SHARDS)
     plan = placed.groupBy("doc_id", "body").agg(
-        F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("_places")
+        F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("places")
     )
     return (
-        chosen(docs, plan).select(*kept, F.explode("_places").alias("_place"))
-        .select(*kept, "_place.shard", "_place.slot")
+        chosen(docs.select(*[f"`{n}`" for n in kept]), plan)
+        .select("row", F.explode("plan.places").alias("place"))
+        .select("row.*", "place.shard", "place.slot")
     )
 
 
