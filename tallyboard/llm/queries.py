@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from tallyboard.llm import (
     balance,
     common,
+    conversation_repair,
     decontaminate,
     line_runs,
+    phrases,
     secrets,
     sharding,
     simhash,
     substring_dedup,
     token_blocks,
+    token_counts,
     topk,
     toxicity,
 )
@@ -130,6 +133,25 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents, and whether they go beyond the limit."""
+    docs = common.table(spark, sf_dir, "documents")
+    size = F.octet_length(common.text_of(docs)).cast("long").alias("n_bytes")
+    counted = token_counts.count_tokens(docs, [F.col("doc_id"), size])
+    return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-scoring phrases of every language over all documents."""
+    return phrases.collocations(common.table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after damage: what is wrong with them and their cheapest repair."""
+    rows = common.table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(rows), rows)
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_decontaminate": op2_decontaminate,
@@ -141,6 +163,9 @@ QUERIES: dict[str, Query] = {
     "op8_balance": op8_balance,
     "op9_topk": op9_topk,
     "op10_line_runs": op10_line_runs,
+    "op11_token_counts": op11_token_counts,
+    "op12_phrases": op12_phrases,
+    "op13_conversations": op13_conversations,
 }
 
 CRC_TABLE = """
@@ -269,4 +294,53 @@ SELECT doc_id, count(*) AS n_lines, count(gone.place) AS n_removed,
                        FILTER (gone.place IS NULL), '')) AS kept_sha256
 FROM lines LEFT JOIN gone USING (doc_id, place) LEFT JOIN chains USING (doc_id)
 GROUP BY doc_id""",
+    "op12_phrases": """
+WITH parts AS (
+    SELECT lang, regexp_extract_all(part, '[^ \\t]+') AS ws
+    FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\\x0A-\\x0D]')) AS part
+        FROM documents
+    )
+),
+totals AS (
+    SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM parts GROUP BY lang
+),
+grams AS (
+    SELECT lang, k, phrase, count(*) AS f FROM (
+        SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2),
+                                              lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+        FROM parts, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k
+    ) GROUP BY lang, k, phrase HAVING count(*) >= 10
+),
+cuts AS (
+    SELECT lang, k, phrase, f AS a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS head,
+           array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS tail
+    FROM grams, (SELECT unnest([1, 2]) AS c) WHERE c < k
+),
+scores AS (
+    SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, c, g.f AS l, h.f AS r,
+           (1000000::HUGEINT * cuts.a * cuts.a) // (g.f::HUGEINT * h.f) AS score
+    FROM cuts JOIN grams g ON g.lang = cuts.lang AND g.phrase = head
+              JOIN grams h ON h.lang = cuts.lang AND h.phrase = tail
+),
+worst AS (
+    SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+),
+inside AS (
+    SELECT lang, part, max(f) AS longer FROM (
+        SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '),
+                                array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS part
+        FROM grams WHERE k = 3
+    ) GROUP BY lang, part
+),
+kept AS (
+    SELECT worst.* FROM worst LEFT JOIN inside ON inside.lang = worst.lang AND part = phrase
+    WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang)
+QUALIFY row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
 }
