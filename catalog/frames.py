@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog import query, scratch, table, table_path
 from tallyboard.sources.load import Source, load_source, register
+from tallyboard.sources.ragged import quarantine
 from tallyboard.sources.snapshot import snapshot_sources
 
 
@@ -60,6 +61,42 @@ def check_csv_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.join(F.broadcast(facts.select("rows")), F.lit(True))
 
 
+#: A record of an order: a cell is missing, or there is one too many, for some keys.
+RAGGED_RECORD = '''concat(CAST(o_orderkey AS {text}), ',"', o_orderpriority, ', ""', o_orderstatus, '""',
+    CASE WHEN o_orderkey % 7 = 0 THEN '"' WHEN o_orderkey % 11 = 0 THEN '",x,"y,z"' ELSE '",x' END)'''
+
+
+@query(
+    "ragged_rows",
+    f"""SELECT kind, cells, record FROM (
+          SELECT record, CASE WHEN o_orderkey % 7 = 0 THEN 2 WHEN o_orderkey % 11 = 0 THEN 4 ELSE 3 END AS cells,
+            CASE WHEN o_orderkey % 7 = 0 THEN 'short_rows' WHEN o_orderkey % 11 = 0 THEN 'long_rows' END AS kind
+          FROM (SELECT o_orderkey, {RAGGED_RECORD.format(text='VARCHAR')} AS record FROM orders))
+        WHERE kind IS NOT NULL
+        UNION ALL SELECT 'check short_rows', CAST(count(*) AS INT),
+          'rows with fewer cells than the header; missing ones are NULL: ' || count(*) FROM orders WHERE o_orderkey % 7 = 0
+        UNION ALL SELECT 'check long_rows', CAST(count(*) AS INT),
+          'rows with more cells than the header; further ones are dropped: ' || count(*) FROM orders
+          WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0""",
+)
+def ragged_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that do not fit the header, as data, and the check rows that count them."""
+    from catalog.profiles import BUILT_AT
+    from tallyboard.operators.profile import data_checks
+
+    path = f"{scratch(spark, 'ragged')}.csv"
+    record = F.expr(RAGGED_RECORD.format(text="STRING")).alias("order_key,label,mark")
+    # Written as they are below a header, by a writer that neither separates nor quotes.
+    table(spark, sf_dir, "orders").select(record).write.csv(path, header=True, sep="\x01", quote="\x02")
+    source = load_source(spark, "ragged", path)
+    odd = quarantine(spark, path, source.raw.columns).select("kind", "cells", "record")
+    counts = data_checks(source, BUILT_AT).where(F.col("name").endswith("_rows"))
+    return odd.union(counts.select(
+        F.concat(F.lit("check "), "name"),
+        F.regexp_extract("message", "([0-9]+)$", 1).cast("int"), "message",
+    ))
+
+
 @query(
     "scan_parquet",
     "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders",

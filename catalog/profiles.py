@@ -11,14 +11,17 @@ from catalog import query, scratch, table, table_path
 from catalog.frames import text_source
 from tallyboard.functions.text_types import iso_granularity, iso_instant, iso_is_naive
 from tallyboard.operators.identity import content_identity, table_fingerprint
+from tallyboard.operators.measure import fingerprint
 from tallyboard.operators.profile import (
-    data_checks, infer_text_types, leaf_profile, passport, source_facts, source_window,
+    data_checks, facts_of, infer_text_types, leaf_profile, passport, source_window,
     timezone_check, union_all,
 )
 from tallyboard.operators.status import data_status, freshness_rollup
+from tallyboard.sources import folders
 from tallyboard.sources import manifest as manifests
 from tallyboard.sources import registry as registries
-from tallyboard.plans.build import held
+from tallyboard.sources.footers import footer_facts
+from tallyboard.sources.ledger import ContentLedger
 from tallyboard.sources.load import Freshness, Source, load_source, table_source
 
 BUILT_AT = datetime(2024, 2, 2, tzinfo=timezone.utc)
@@ -242,20 +245,33 @@ def broken_sources(spark: SparkSession, sf_dir: str) -> list[Source]:
 
 @query(
     "data_checks",
-    """SELECT * FROM (VALUES
-         ('events', 'parquet_valid', 'passed'), ('events', 'data_freshness', 'warning'),
-         ('lineitem', 'parquet_valid', 'passed'), ('lineitem', 'data_freshness', 'passed'),
-         ('orders', 'parquet_valid', 'passed'), ('order_text', 'csv_valid', 'passed'),
-         ('event_text', 'csv_valid', 'passed'), ('event_text', 'timezone_assumed', 'warning'),
-         ('event_text', 'data_freshness', 'passed'), ('no_column', 'freshness_columns', 'failed'),
-         ('no_values', 'freshness_values', 'failed'), ('no_dates', 'freshness_parse', 'failed'),
-         (NULL, 'report_timezone_defaulted', 'warning')) AS t(source, name, status)""",
+    f"""SELECT 'events' AS source, 'parquet_valid' AS name, 'passed' AS status, NULL AS message
+         UNION ALL SELECT 'events', 'data_freshness', CASE WHEN {EVENT_LAG} > 24 THEN 'warning' ELSE 'passed' END,
+           CASE WHEN {EVENT_LAG} > 24 THEN 'newest data is ' || format('{{:.1f}}', {EVENT_LAG})
+             || ' hours back, 24 hours are allowed' END FROM events
+         UNION ALL SELECT 'lineitem', 'parquet_valid', 'passed', NULL
+         UNION ALL SELECT 'lineitem', 'data_freshness', 'passed', NULL
+         UNION ALL SELECT 'orders', 'parquet_valid', 'passed', NULL
+         UNION ALL SELECT 'order_text', 'csv_valid', 'passed', NULL
+         UNION ALL SELECT 'event_text', 'csv_valid', 'passed', NULL
+         UNION ALL SELECT 'event_text', 'timezone_assumed', 'warning',
+           'times of ts without an offset count as UTC' FROM events HAVING count(ts) > 0
+         UNION ALL SELECT 'event_text', 'data_freshness',
+           CASE WHEN {EVENT_LAG} > 72 THEN 'warning' ELSE 'passed' END, NULL FROM events
+         UNION ALL SELECT 'no_column', 'freshness_columns', 'failed',
+           'the source lacks its freshness columns missing_at'
+         UNION ALL SELECT 'no_values', 'freshness_values', 'failed', concat(chr(39), 'seen', chr(39), ' is empty in every row')
+           FROM orders HAVING count(o_orderkey) = count(*)
+         UNION ALL SELECT 'no_dates', 'freshness_parse', 'failed',
+           concat(chr(39), 'day', chr(39), ' holds ', count(o_orderpriority), ' values that are no ISO 8601 times')
+           FROM orders
+         UNION ALL SELECT NULL, 'report_timezone_defaulted', 'warning', 'no report time zone is set; UTC is used'""",
 )
 def checks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = [*profiled(spark, sf_dir), *broken_sources(spark, sf_dir)]
     checks = [data_checks(source, BUILT_AT) for source in sources]
     checks.append(timezone_check(checks[0], None))
-    return union_all(checks).select("source", "name", "status")
+    return union_all(checks).select("source", "name", "status", "message")
 
 
 @query(
@@ -265,8 +281,8 @@ def checks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rollup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = profiled(spark, sf_dir)
-    # A few rows per source: held as local rows, each source is profiled once.
-    facts = {source.name: held(source_facts(source)) for source in sources}
+    # A few rows per source: each source is profiled once, all in one job, without types.
+    facts = facts_of(sources, with_types=False)
     rollup = freshness_rollup(
         union_all([passport(source, BUILT_AT, facts[source.name]) for source in sources]),
         union_all([data_checks(source, BUILT_AT, facts[source.name]) for source in sources]),
@@ -340,14 +356,14 @@ VERSIONS = {"tool_version": "0.1.0", "runtime_version": "spark"}
 DEFINITION = "0" * 64
 
 
-@query(
-    "content_identity",
-    f"""WITH s AS ({FINGERPRINT_SQL}),
+IDENTITY_SQL = f"""WITH s AS ({FINGERPRINT_SQL}),
         j AS (SELECT sha256('{{"report_source_sha256":"{DEFINITION}","runtime_version":"spark","sources":{{'
           || string_agg('"' || name || '":"' || fingerprint || '"', ',' ORDER BY name)
           || '}},"tool_version":"0.1.0"}}') AS content_sha256 FROM s)
-        SELECT 'orders-report__' || substr(content_sha256, 1, 12) AS artifact_id, content_sha256 FROM j""",
-)
+        SELECT 'orders-report__' || substr(content_sha256, 1, 12) AS artifact_id, content_sha256 FROM j"""
+
+
+@query("content_identity", IDENTITY_SQL)
 def identity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = fingerprint_query(spark, sf_dir).select("name", F.col("fingerprint").alias("sha256"))
     return content_identity(hashes, "orders-report", DEFINITION, **VERSIONS)
@@ -355,12 +371,20 @@ def identity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "manifest",
-    f"""SELECT 'orders-report' AS slug, 'warning' AS checks_status, name AS source_name,
-               source_format, "rows", columns, status AS freshness_status FROM ({PASSPORT_SQL})""",
+    f"""WITH i AS (SELECT * FROM ({IDENTITY_SQL}))
+        SELECT 'orders-report' AS slug, 'warning' AS checks_status, name AS source_name,
+               source_format, "rows", columns, column_names, column_types, status AS freshness_status,
+               {sql_times('low', 'high', 'processed')}, gran, pgran,
+               '2024-02-02 00:00:00.000000' AS built_at, artifact_id, content_sha256,
+               CASE name WHEN 'events' THEN 'data_freshness:warning,parquet_valid:passed'
+                 WHEN 'lineitem' THEN 'data_freshness:passed,parquet_valid:passed'
+                 WHEN 'orders' THEN 'parquet_valid:passed' WHEN 'order_text' THEN 'csv_valid:passed'
+                 ELSE 'csv_valid:passed,data_freshness:passed,timezone_assumed:warning' END AS tests
+        FROM ({PASSPORT_SQL}), i""",
 )
 def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = profiled(spark, sf_dir)
-    facts = {source.name: held(source_facts(source)) for source in sources}
+    facts = facts_of(sources)
     manifest = manifests.build_manifest(
         union_all([passport(s, BUILT_AT, facts[s.name]) for s in sources]),
         union_all([data_checks(s, BUILT_AT, facts[s.name]) for s in sources]),
@@ -369,7 +393,21 @@ def manifest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = scratch(spark, "manifest")
     manifests.write_manifest(manifest, path)
-    return manifests.manifest_summary(manifests.read_manifest(spark, path)).drop("artifact_id")
+    back = manifests.read_manifest(spark, path)
+    own = F.filter("checks.tests", lambda t: t["source"] == F.col("s.name"))
+    tests = F.array_sort(F.transform(own, lambda t: F.concat_ws(":", t["name"], t["status"])))
+    types = F.transform("s.column_names", lambda n: F.col("s.inferred_column_types")[n])
+    return back.select("*", F.explode("sources").alias("s")).select(
+        F.col("report.slug").alias("slug"), F.col("checks.status").alias("checks_status"),
+        F.col("s.name").alias("source_name"), "s.source_format", "s.rows", "s.columns",
+        F.array_join("s.column_names", ",").alias("column_names"),
+        F.array_join(types, ",").alias("column_types"), "s.freshness_status",
+        time_text("s.data_min_at").alias("low"), time_text("s.data_max_at").alias("high"),
+        time_text("s.processed_at").alias("processed"),
+        F.col("s.data_time_granularity").alias("gran"), F.col("s.processed_time_granularity").alias("pgran"),
+        time_text("build.built_at").alias("built_at"), F.col("artifact.id").alias("artifact_id"),
+        "artifact.content_sha256", F.array_join(tests, ",").alias("tests"),
+    )
 
 
 BUILDS_SQL = """SELECT event_type AS slug, ts AS built_at, 'build-' || event_id AS artifact_id
@@ -420,3 +458,70 @@ def latest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outdated_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = builds(spark, sf_dir)
     return registries.registry_outdated(log, registries.registry_latest(log))
+
+
+#: Whole numbers and dates, whose ranges the footers of Parquet files have.
+FOOTERS = {"orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_linenumber"]}
+
+
+@query(
+    "footer_facts",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS source, '{column}' AS column_name, count(*) AS "rows",
+            count({column}) AS "values", CAST(min({column}) AS VARCHAR) AS low,
+            CAST(max({column}) AS VARCHAR) AS high, true AS pushed FROM {name}"""
+        for name, columns in FOOTERS.items() for column in columns
+    ) + """ UNION ALL SELECT 'shipments', 'day', count(*), count(l_shipdate),
+        CAST(CAST(min(l_shipdate) AS DATE) AS VARCHAR), CAST(CAST(max(l_shipdate) AS DATE) AS VARCHAR), true
+        FROM lineitem""",
+)
+def footer_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and ranges without reading rows; days are written from the ship dates first."""
+    days = f"{scratch(spark, 'shipments')}.parquet"
+    table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("day")).write.parquet(days)
+    paths = {name: (table_path(sf_dir, name), columns) for name, columns in FOOTERS.items()}
+    rows = []
+    for name, (path, columns) in (paths | {"shipments": (days, ["day"])}).items():
+        found = footer_facts(spark, path, columns)
+        rows += [
+            (name, column, found.rows, facts.values, str(facts.low), str(facts.high), found.pushed)
+            for column, facts in found.columns.items()
+        ]
+    return spark.createDataFrame(
+        rows, "source string, column_name string, rows long, values long, low string, high string, pushed boolean"
+    )
+
+
+@query(
+    "content_ledger",
+    f"""SELECT step, files, scanned, r.* EXCLUDE (name) FROM ({fingerprint_sql('orders')}) r,
+        (VALUES ('first', 3, 3), ('again', 3, 0), ('added', 5, 2), ('removed', 3, 0)) AS s(step, files, scanned)
+        WHERE step IN ('added')
+        UNION ALL SELECT step, files, scanned, r.* EXCLUDE (name)
+        FROM ({fingerprint_sql('orders').replace('FROM orders', 'FROM orders WHERE o_orderkey % 3 <> 0')}) r,
+        (VALUES ('first', 3, 3), ('again', 3, 0), ('removed', 3, 0)) AS s(step, files, scanned)""",
+)
+def ledger_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in files that come and go: only new files are read, the hash is that of all rows."""
+    path = f"{scratch(spark, 'growing')}.parquet"
+    orders = table(spark, sf_dir, "orders")
+    late = F.col("o_orderkey") % 3 == 0
+    orders.where(~late).repartition(3).write.parquet(path)
+    ledger, rows = ContentLedger(spark, scratch(spark, "ledger")), []
+
+    def step(name: str) -> None:
+        source = load_source(spark, "orders", path)
+        state = ledger.update(source)
+        rows.append((name, state.files, state.scanned, state.measures["rows"],
+                     fingerprint(source, state.measures)))
+
+    step("first")
+    step("again")
+    before = set(folders.children(spark, path))
+    orders.where(late).repartition(2).write.mode("append").parquet(path)
+    step("added")
+    for file, _ in set(folders.children(spark, path)) - before:
+        if file.startswith("part-"):
+            folders.remove(spark, f"{path}/{file}")
+    step("removed")
+    return spark.createDataFrame(rows, "step string, files int, scanned int, rows long, fingerprint string")

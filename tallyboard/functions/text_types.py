@@ -231,6 +231,13 @@ def type_of_bits(bits: Column) -> Column:
     )
 
 
+def kind_of_bits(bits: int | None) -> str:
+    """``type_of_bits`` of bits that are known."""
+    seen = (bits or 0) & ~_MARKS
+    kinds = {0: "null", BOOLEAN: "boolean", INTEGER: "integer", DATETIME: "datetime"}
+    return "number" if seen in (NUMBER, INTEGER | NUMBER) else kinds.get(seen, "string")
+
+
 def typed_value(value: Column, bits: int) -> Column:
     """A text value cast to the type of its column, given the column's bits.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,19 +29,23 @@ def _canonical(frame: DataFrame, name: str) -> Column:
     return F.coalesce(sized, F.lit("-"))
 
 
-def _summed(digests: DataFrame) -> DataFrame:
-    """One row: the number of ``sha256`` values and the sums of their pieces.
+def row_pieces(frame: DataFrame, names: Sequence[str]) -> list[Column]:
+    """The first pieces of the hash of every row, numbers of 32 bits."""
+    digest = F.sha2(F.concat_ws("|", *[_canonical(frame, name) for name in names]), 256)
+    return [
+        F.conv(F.substring(digest, 1 + 8 * piece, 8), 16, 10).cast("long") for piece in range(PIECES)
+    ]
+
+
+def _summed(pieces: DataFrame) -> DataFrame:
+    """One row: the number of rows and the sums of their pieces (piece_0, ...).
 
     Sums run as 64-bit integers within a task, where two billion rows fit, and as
     decimals over the tasks, where they cannot overflow.
     """
-    pieces = [
-        F.conv(F.substring("sha256", 1 + 8 * piece, 8), 16, 10).cast("long")
-        for piece in range(PIECES)
-    ]
-    per_task = digests.groupBy(F.spark_partition_id().alias("task")).agg(
+    per_task = pieces.groupBy(F.spark_partition_id().alias("task")).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(piece).alias(f"piece_{i}") for i, piece in enumerate(pieces)],
+        *[F.sum(f"piece_{i}").alias(f"piece_{i}") for i in range(PIECES)],
     )
     return per_task.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
@@ -52,6 +57,11 @@ def _summed(digests: DataFrame) -> DataFrame:
     )
 
 
+def fingerprint_of(schema: str, rows: int, sums: Sequence[int]) -> str:
+    """The fingerprint of a table from its schema text, row count and sums of pieces."""
+    return hashlib.sha256("|".join([schema, str(rows), *map(str, sums)]).encode()).hexdigest()
+
+
 def schema_text(frame: DataFrame, columns: Sequence[str]) -> str:
     """Names and types of the columns, lengths in front of the names."""
     return ",".join(
@@ -66,8 +76,8 @@ def table_fingerprint(frame: DataFrame, columns: Sequence[str] | None = None) ->
     files do not.
     """
     names = list(columns or frame.columns)
-    digest = F.sha2(F.concat_ws("|", *[_canonical(frame, name) for name in names]), 256)
-    sums = _summed(frame.select(digest.alias("sha256")))
+    pieces = [piece.alias(f"piece_{i}") for i, piece in enumerate(row_pieces(frame, names))]
+    sums = _summed(frame.select(*pieces))
     pieces = [F.col(f"piece_{i}") for i in range(PIECES)]
     folded = F.concat_ws("|", F.lit(schema_text(frame, names)), F.col("n").cast("string"), *pieces)
     return sums.select(F.col("n").alias("rows"), F.sha2(folded, 256).alias("fingerprint"))

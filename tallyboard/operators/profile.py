@@ -5,9 +5,10 @@ Everything about one source comes from one aggregate over its rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 from datetime import datetime
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from pyspark.sql import types as T
 
 from tallyboard.functions.numbers import quoted
 from tallyboard.functions.csv_text import has_time
-from tallyboard.functions.text_types import TEXT_FACTS, text_facts, type_of_bits
+from tallyboard.functions.text_types import TEXT_FACTS, kind_of_bits, text_facts, type_of_bits
+from tallyboard.sources.footers import footer_facts
 from tallyboard.sources.load import CSV, ContractError, Source
+from tallyboard.sources.ragged import LONG, SHORT
 
 PASSED, WARNING, FAILED = "passed", "warning", "failed"
 CHECK_SCHEMA = "name string, status string, message string, source string"
@@ -158,10 +161,29 @@ def _absent(prefix: str) -> list[Column]:
     return [F.lit(None).cast(kind).alias(f"{prefix}_{fact}") for fact, kind in _FACTS.items()]
 
 
+def _footer_facts(source: Source, times: Mapping[str, str]) -> DataFrame:
+    """Row count and facts of date columns from the footers of a Parquet source."""
+    spark = source.raw.sparkSession
+    found = footer_facts(spark, source.path, list(dict.fromkeys(times.values())))
+    values: list[Any] = [found.rows]
+    for name in times.values():
+        column = found.columns[name]
+        values += [column.low, column.high, column.values, False if column.values else None, False, 0]
+    kinds = [f"{p}_{fact} {'date' if fact.endswith('_at') else kind}"
+             for p in times for fact, kind in _FACTS.items()]
+    local = spark.createDataFrame([tuple(values)], ", ".join(["rows long", *kinds]))
+    return local.select(*[
+        F.col(name).cast("timestamp").alias(name) if name.endswith("_at") else F.col(name)
+        for name in local.columns
+    ])
+
+
 def source_facts(source: Source, with_types: bool = True) -> DataFrame:
     """One row with everything the passport and the checks need, from one pass.
 
-    A CSV source that was profiled when it was loaded is not read again.
+    A CSV source that was profiled when it was loaded is not read again. The rows of a Parquet
+    source are not read at all if its freshness columns are dates or none are set: counts
+    and ranges come from the footers, as far as all files have statistics.
     """
     raw, settings = source.raw, source.freshness
     configured = {
@@ -170,7 +192,12 @@ def source_facts(source: Source, with_types: bool = True) -> DataFrame:
     times = {p: c for p, c in configured.items() if c in raw.columns}
     texts = [c for c in times.values() if isinstance(raw.schema[c].dataType, T.StringType)]
     inferred = with_types and source.format == CSV
-    if inferred or (texts and len(texts) == len(times)):
+    in_footers = source.in_files and all(
+        isinstance(raw.schema[c].dataType, T.DateType) for c in times.values()
+    )
+    if in_footers:
+        facts = _footer_facts(source, times)
+    elif inferred or (texts and len(texts) == len(times)):
         # Every column of interest is text.
         names = list(raw.columns) if inferred else list(dict.fromkeys(texts))
         columns = (
@@ -197,8 +224,19 @@ def source_facts(source: Source, with_types: bool = True) -> DataFrame:
             )
             facts = facts.join(F.broadcast(side), F.lit(True))
     facts = facts.select("*", *[c for p in configured if p not in times for c in _absent(p)])
+    return shaped_facts(source, facts, inferred)
+
+
+def shaped_facts(source: Source, facts: DataFrame, inferred: bool = False) -> DataFrame:
+    """The row of ``source_facts`` from counts, times and, if ``inferred``, the text types (kinds).
 
+    Otherwise types come from the schema, or from what loading a CSV source found.
+    """
+    raw, configured = source.raw, ("data", "processed")
     leaves = dict.fromkeys(raw.columns, "null") if inferred else leaf_types(source.frame.schema)
+    if not inferred and source.format == CSV and source.columns is not None:
+        found = {row.column_name: kind_of_bits(row.bits) for row in source.columns}
+        leaves = {name: found.get(name, "null") for name in raw.columns}
     types = {
         name: F.coalesce(F.try_element_at("kinds", F.lit(name)), F.lit(kind))
         if inferred else F.lit(kind)
@@ -319,6 +357,12 @@ def data_checks(source: Source, built_at: datetime, facts: DataFrame | None = No
             for column in sorted(set(present.values()))
         ],
     ]
+    # Rows that do not fit the header are read all the same, so their numbers are no warning.
+    for kind, done in ((SHORT, "fewer cells than the header; missing ones are NULL"),
+                       (LONG, "more cells than the header; further ones are dropped")):
+        if source.ragged.get(kind):
+            text = f"rows with {done}: {source.ragged[kind]}"
+            checks.append(_check(kind, PASSED, text, source))
     limit = settings.max_lag_hours
     if limit is not None and "data" in present:
         lag = lag_hours(built_at, F.col("data_max_at"))
@@ -352,6 +396,14 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda left, right: left.unionByName(right), frames)
 
 
+def facts_of(sources: Iterable[Source], with_types: bool = True) -> dict[str, DataFrame]:
+    """The row of ``source_facts`` of each source by its name, as local rows of one job."""
+    every = union_all([source_facts(source, with_types) for source in sources])
+    return {
+        row["name"]: every.sparkSession.createDataFrame([row], every.schema) for row in every.collect()
+    }
+
+
 def require_passed(checks: DataFrame) -> None:
     """Raise when any check failed; there are a few rows per source at most."""
     failed = checks.where(F.col("status") == FAILED).orderBy("source", "name").collect()

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard.functions.numbers import quoted
 from tallyboard.functions.text_types import TYPE_BITS, text_facts, typed_value
+from tallyboard.sources.ragged import LONG, SHORT, quarantine, ragged_counts
 
 CSV, PARQUET = "csv", "parquet"
 # A line is whole when every quoted field on it is closed and followed by a comma
@@ -45,7 +46,9 @@ class Freshness:
 class Source:
     """A named table. ``frame`` is what queries read; ``raw`` is what is profiled:
     the same frame for Parquet, the untyped text columns for CSV. ``columns`` are
-    the facts of the text columns, one row each, if loading already found them."""
+    the facts of the text columns, one row each, if loading already found them;
+    ``bits`` are the classes that the columns of ``frame`` were typed by, ``ragged`` the
+    numbers of CSV rows that do not fit the header."""
 
     name: str
     format: str
@@ -54,6 +57,21 @@ class Source:
     path: str | None = None
     freshness: Freshness = field(default_factory=Freshness)
     columns: tuple[Row, ...] | None = None
+    bits: Mapping[str, int] | None = None
+    ragged: Mapping[str, int] = field(default_factory=dict)
+
+    @property
+    def in_files(self) -> bool:
+        """Whether the rows are all those of Parquet files, as they are."""
+        return self.format == PARQUET and self.path is not None and self.frame is self.raw
+
+    def typed(self, raw: DataFrame) -> DataFrame:
+        """Rows of ``raw``, as the columns of ``frame``."""
+        if self.frame is self.raw:
+            return raw
+        if self.bits is None:
+            raise ValueError(f"source {self.name}: no types are known for its raw rows")
+        return typed_frame(raw, self.bits)
 
 
 def source_format(path: str) -> str:
@@ -63,12 +81,13 @@ def source_format(path: str) -> str:
     return suffix
 
 
-def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Facts about the raw lines: bad UTF-8 and lines that do not end their record."""
+def csv_lines(spark: SparkSession, path: str, columns: int = 0) -> DataFrame:
+    """Facts about the raw lines: bad UTF-8, lines that do not end their record, ragged ones."""
     lines = spark.read.text(path).select(F.col("value").alias("line"))
     return lines.agg(
         F.coalesce(F.bool_or(~F.is_valid_utf8("line")), F.lit(False)).alias("bad_utf8"),
         F.coalesce(F.bool_or(~F.col("line").rlike(WHOLE_LINE)), F.lit(False)).alias("open_lines"),
+        *ragged_counts(F.col("line"), columns),
     )
 
 
@@ -141,25 +160,47 @@ def header_problem(columns: list[str]) -> str | None:
     return f"columns named twice: {', '.join(repeated)}" if repeated else None
 
 
-def read_csv_text(
-    spark: SparkSession, path: str, multiline: bool | None = None
-) -> DataFrame:
+@dataclass(frozen=True)
+class CsvText:
+    """An open CSV source: its columns as text, its header, whether records span lines, and how
+    many rows have fewer or more cells than the header."""
+
+    frame: DataFrame
+    columns: list[str]
+    spans: bool
+    ragged: dict[str, int]
+
+
+def open_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> CsvText:
     """All columns as text; short rows end in NULLs, extra cells are dropped.
 
-    One pass over the lines checks the encoding and whether a record spans lines;
-    where it does, quotes must close, and a file is one task. ``multiline`` tells
-    the reader so for files whose lines do not show it.
+    One pass over the lines checks the encoding, counts ragged rows, and finds out whether a
+    record spans lines; where it does, quotes must close, and a file is one task.
+    ``multiline`` tells the reader so for files whose lines do not show it.
     """
-    facts = csv_lines(spark, path).first()
+    spans = bool(multiline)
+    columns = csv_header(spark, path, spans)
+    facts = csv_lines(spark, path, len(columns)).first()
     if facts["bad_utf8"]:
         raise ContractError(f"{path} is not UTF-8")
     if facts["open_lines"] and open_quotes(spark, path):
         raise ContractError(f"{path}: a quoted field is not closed")
-    spans = bool(multiline) or facts["open_lines"]
-    columns = csv_header(spark, path, spans)
+    if facts["open_lines"] and not spans:
+        spans, columns = True, csv_header(spark, path, True)
     problem = header_problem(columns)
     if problem:
         raise ContractError(f"{path}: {problem}")
+    if spans:
+        # Lines are no records here; the reader's own pass counts them.
+        kinds = quarantine(spark, path, columns, spans).groupBy("kind").count().collect()
+        ragged = {row["kind"]: row["count"] for row in kinds}
+    else:
+        ragged = {kind: facts[kind] for kind in (SHORT, LONG) if facts[kind]}
+    return CsvText(csv_reader(spark, columns, spans).csv(path), columns, spans, ragged)
+
+
+def csv_reader(spark: SparkSession, columns: list[str], spans: bool) -> DataFrameReader:
+    """The reader of CSV text with the given header; ``spans`` where records span lines."""
     schema = ", ".join(f"{quoted(column)} string" for column in columns)
     return (
         spark.read.schema(schema)
@@ -171,7 +212,6 @@ def read_csv_text(
         .option("unescapedQuoteHandling", "RAISE_ERROR")
         .option("multiLine", spans)
         .option("mode", "PERMISSIVE")
-        .csv(path)
     )
 
 
@@ -201,15 +241,16 @@ def load_source(
     if source_format(path) == PARQUET:
         frame = spark.read.parquet(path)
         return Source(name, PARQUET, frame, frame, path, settings)
-    text = read_csv_text(spark, path, multiline)
+    opened = open_csv(spark, path, multiline)
+    text = opened.frame
     if column_types is not None:
         bits = {column: TYPE_BITS.get(kind, 0) for column, kind in column_types.items()}
-        return Source(name, CSV, typed_frame(text, bits), text, path, settings)
+        return Source(name, CSV, typed_frame(text, bits), text, path, settings, None, bits, opened.ragged)
     times = [column for column in dict.fromkeys(settings.columns()) if column in text.columns]
     # One row per column; there is none when the source has no rows.
     columns = tuple(text_facts(text, text.columns, times).collect())
-    frame = typed_frame(text, {row.column_name: row.bits for row in columns})
-    return Source(name, CSV, frame, text, path, settings, columns)
+    bits = {row.column_name: row.bits for row in columns}
+    return Source(name, CSV, typed_frame(text, bits), text, path, settings, columns, bits, opened.ragged)
 
 
 def table_source(name: str, frame: DataFrame, freshness: Freshness | None = None) -> Source:
@@ -227,8 +268,9 @@ def register(sources: Iterable[Source]) -> list[str]:
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: path, name, length. File contents are not read."""
+    """One row per file: path, name, length, time of change. File contents are not read."""
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+        .select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length",
+                F.col("modificationTime").alias("changed_at"))
     )

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
+from dataclasses import dataclass
+from typing import Any
 
-from tallyboard.sources.load import Source
+from pyspark.sql import SparkSession
+
+from tallyboard.operators import measure
+from tallyboard.sources import folders
+from tallyboard.sources.footers import footer_facts
+from tallyboard.sources.load import ContractError, Source
 
 
 def snapshot_sources(sources: Iterable[Source], folder: str, *, mode: str = "errorifexists") -> dict[str, str]:
@@ -15,3 +23,43 @@ def snapshot_sources(sources: Iterable[Source], folder: str, *, mode: str = "err
         source.frame.write.mode(mode).parquet(path)
         written[source.name] = path
     return written
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """Copies of sources in a folder of their own, and what was measured on the way there."""
+
+    spark: SparkSession
+    folder: str
+    measures: dict[str, dict[str, Any]]
+
+    def settle(self, home: str) -> None:
+        """Move the copies to ``home/sources``; equal ones that are there already are kept.
+
+        ``home`` is named after the content, so what is there has the same rows.
+        """
+        folders.move(self.spark, f"{self.folder}/sources", f"{home.rstrip('/')}/sources")
+        self.drop()
+
+    def drop(self) -> None:
+        folders.remove(self.spark, self.folder)
+
+
+def measured_snapshot(spark: SparkSession, sources: Iterable[Source], folder: str) -> Snapshot:
+    """Write each source below a fresh folder in ``folder`` and measure its rows as they pass.
+
+    Every source is read once. The footers of what was written have to have as many rows as
+    were measured.
+    """
+    copies = Snapshot(spark, f"{folder.rstrip('/')}/.copies-{uuid.uuid4().hex}", {})
+    for source in sources:
+        rows, seen = measure.observed(source)
+        path = f"{copies.folder}/sources/{source.name}.parquet"
+        rows.write.parquet(path)
+        found = dict(seen.get)
+        held = footer_facts(spark, path, []).rows
+        if held != found["rows"]:
+            copies.drop()
+            raise ContractError(f"source {source.name}: {found['rows']} rows were read and {held} written")
+        copies.measures[source.name] = found
+    return copies

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import values
 from tallyboard.operators.identity import table_fingerprint
-from tallyboard.plans.build import build_report, compile_report, hash_row
+from tallyboard.plans.build import build_report, compile_report, hash_rows, measure_sources
 from tallyboard.plans.report import Report, ReportError
 from tallyboard.sources.load import ContractError, Freshness, load_source, table_source
 from tallyboard.sources.manifest import manifest_summary, read_manifest
@@ -77,6 +77,9 @@ def test_known_types_spare_the_type_pass(spark, make, tmp_path):
 
 
 def test_sources_are_hashed_by_schema_and_rows(spark, make, tmp_path):
+    def hash_row(source):
+        return hash_rows([source], measure_sources([source]))[0]
+
     source = make().sources["orders"]
     assert hash_row(source)[3] == table_fingerprint(source.raw).first().fingerprint
     one = spark.createDataFrame([(1, "2")], "a int, b string")

@@ -15,6 +15,7 @@ from tallyboard.sources.load import (
     ContractError, Freshness, load_source, open_quotes, register, source_files, source_format,
     table_source,
 )
+from tallyboard.sources.ragged import quarantine
 from tallyboard.sources.snapshot import snapshot_sources
 
 BUILT = datetime(2026, 7, 1, tzinfo=timezone.utc)
@@ -327,3 +328,40 @@ def test_snapshot(spark, csv, tmp_path):
     source = load_source(spark, "orders", csv(ORDERS))
     written = snapshot_sources([source], str(tmp_path / "out"))
     assert spark.read.parquet(written["orders"]).count() == 3
+
+
+def test_ragged_rows_have_their_place(spark, csv, tmp_path):
+    lines = ["a,b,c"]
+    for i in range(3000):
+        lines.append({0: f"{i}", 1: f'{i},"x, ""y"" z"', 2: f'{i},1,2,"3,4"', 3: ""}.get(i % 97, f"{i},1,2"))
+    folder = tmp_path / "ragged.csv"
+    folder.mkdir()
+    (folder / "one.csv").write_text("\n".join(lines) + "\n")
+    (folder / "two.csv").write_bytes(b"a,b,c\r\n1,2\r\n\r\n1,2,3\r\n,,,\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = quarantine(spark, str(folder), ["a", "b", "c"]).collect()
+        source = load_source(spark, "ragged", str(folder))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    expected = {("one.csv", n + 1, "long_rows" if "3,4" in text else "short_rows", text)
+                for n, text in enumerate(lines) if n and (n - 1) % 97 in (0, 1, 2)}
+    expected |= {("two.csv", 2, "short_rows", "1,2"), ("two.csv", 5, "long_rows", ",,,")}
+    assert {(r.file.rsplit("/", 1)[-1], r.line, r.kind, r.record) for r in found} == expected
+    counts = {kind: sum(e[2] == kind for e in expected) for kind in ("short_rows", "long_rows")}
+    assert source.ragged == counts
+    checks = {r.name: (r.status, r.message) for r in data_checks(source, BUILT).collect()}
+    assert checks["short_rows"] == (
+        "passed", f"rows with fewer cells than the header; missing ones are NULL: {counts['short_rows']}")
+    assert checks["long_rows"][0] == "passed" and checks["long_rows"][1].endswith(str(counts["long_rows"]))
+
+
+def test_ragged_records_of_several_lines(spark, csv):
+    path = csv('a,b,c\n1,"two\nlines",3\n4,"five\n5"\n6,7,8,"nine\n9"\n10,11,12\n')
+    source = load_source(spark, "spanning", path)
+    assert source.ragged == {"short_rows": 1, "long_rows": 1}
+    assert sorted(values(source.frame, "a", "c")) == [(1, 3), (4, None), (6, 8), (10, 12)]
+    found = sorted((r.kind, r.cells, r.line) for r in quarantine(spark, path, ["a", "b", "c"], spans=True).collect())
+    assert found == [("long_rows", 4, None), ("short_rows", 2, None)]
+    whole = load_source(spark, "whole", csv("a,b\n1,2\n", "whole.csv"))
+    assert whole.ragged == {}
