@@ -11,6 +11,7 @@ from tallyboard.functions.predicates import between_filter, dimension, in_filter
 from tallyboard.operators.options import collapse_selection, option_labels, param_options
 from tallyboard.plans.params import DateRange, Dimension, MultiSelect, Number, Options
 from tallyboard.plans.report import Inputs, Report, ResultCache
+from tallyboard.plans.store import ResultStore
 from tallyboard.sources.load import load_source
 
 FIELDS = {"priority": "o_orderpriority", "status": "o_orderstatus"}
@@ -232,6 +233,26 @@ def cached_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+@query(
+    "stored_run",
+    f"""SELECT run, hits, round(sum(o_totalprice), 2) AS revenue
+        FROM orders, (VALUES ('first', 0), ('again', 1)) AS r(run, hits) WHERE {FILTERED_SQL} GROUP BY run, hits
+        UNION ALL SELECT 'other', 0, round(sum(o_totalprice), 2) FROM orders WHERE {URGENT_SQL}""",
+)
+def stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in a store: a second report and store read what the first ones left."""
+    folder, rows = scratch(spark, "results"), []
+    for name, priority in (("first", SELECTION["priority"]), ("again", SELECTION["priority"]),
+                           ("other", ["1-URGENT"])):
+        report = revenue_report(spark, sf_dir)
+        report.cache, report.snapshot_id = ResultStore(spark, folder), f"tables in {sf_dir}"
+        run = report.run({**SELECTION, "priority": priority}, ["revenue_summary"])
+        rows.append(run.outputs["revenue_summary"].select(
+            F.lit(name).alias("run"), F.lit(report.cache.hits).alias("hits"), "revenue"
+        ))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(
     "param_options",
     f"SELECT DISTINCT {URGENT_AS_NULL} AS value FROM orders ORDER BY 1",

@@ -7,7 +7,6 @@ so Spark itself reads and computes only what a run asks for.
 from __future__ import annotations
 
 import hashlib
-import inspect
 import json
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Mapping
@@ -18,7 +17,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from tallyboard.operators.options import param_options
+from tallyboard.plans.definition import NoText, definition_text
 from tallyboard.plans.params import MultiSelect, Param
+from tallyboard.plans.store import ResultStore
 from tallyboard.sources.load import Source, register
 
 VIEW, QUERY = "view", "query"
@@ -130,7 +131,7 @@ class ResultCache:
 class Report:
     def __init__(
         self, spark: SparkSession, slug: str, title: str, *,
-        timezone: str | None = None, cache: ResultCache | None = None,
+        timezone: str | None = None, cache: ResultCache | ResultStore | None = None,
     ):
         self.spark, self.slug, self.title, self.timezone = spark, slug, title, timezone
         self.sources: dict[str, Source] = {}
@@ -182,8 +183,8 @@ class Report:
         A view is computed by every output that reads it, with only the columns
         and rows that the output needs. ``keep`` stores it for the run instead:
         worth it for a small result of a large scan that many outputs read. The
-        function's text and closed-over values are part of the report's identity;
-        ``version`` stands in for them where they have no text.
+        function's text, its defaults and the values and functions it sees are part of the
+        report's identity; ``version`` stands in for them where they have no text.
         """
         return self._declare(VIEW, name, reads, uses, keep, version)
 
@@ -389,23 +390,7 @@ class Report:
 
 
 def _source_text(build: Callable[..., Any], version: str | None = None) -> str:
-    """What tells one block function from another: its text and the values it closes over."""
-    if version is not None:
-        return f"{getattr(build, '__qualname__', type(build).__name__)} {version}"
     try:
-        text = inspect.getsource(build)
-        held = inspect.getclosurevars(build).nonlocals
-    except (OSError, TypeError) as problem:
-        raise ReportError(f"{build!r} has no source text; give the block a version") from problem
-    parts = [text, *[f"{name} = {_stable(name, held[name])}" for name in sorted(held)]]
-    return "\n".join(parts)
-
-
-def _stable(name: str, value: Any) -> str:
-    """Text of a closed-over value that is the same in every process."""
-    if callable(value) and hasattr(value, "__code__"):
-        return _source_text(value)
-    try:
-        return json.dumps(value, sort_keys=True)
-    except (TypeError, ValueError) as problem:
-        raise ReportError(f"the value of {name!r} has no text; give the block a version") from problem
+        return definition_text(build, version)
+    except NoText as problem:
+        raise ReportError(str(problem)) from problem
