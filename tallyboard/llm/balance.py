@@ -79,7 +79,9 @@ def solve_rates(sizes: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFra
 
     The multiplier of a source is kept between a value where it gives too few
     words and one where it gives too many; a Newton step that leaves the bracket
-    is replaced by its middle. Sums are of decimals, so reruns agree to the bit.
+    is replaced by its middle. Sums are of decimals, so reruns agree to the bit. A source
+    that has not reached its target after NEWTON_ROUNDS raises an error: its rates are
+    never used as they are.
     """
     scale = F.greatest(F.col("source_size") / F.col("documents"), F.lit(1.0))
     known = cut(
@@ -137,6 +139,11 @@ def solve_rates(sizes: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFra
         )
         if not state.where(~F.col("done")).limit(1).count():
             break
+    else:
+        unsolved = state.where(~F.col("done")).select("source").first()
+        raise ArithmeticError(
+            f"source {unsolved['source']!r} is off its target after {NEWTON_ROUNDS} Newton steps"
+        )
     tilts = state.select(F.col("source").alias("_s"), "tilt")
     return (
         cells.join(tilts, F.col("source").eqNullSafe(F.col("_s")), "left")
@@ -219,8 +226,7 @@ def balanced_copies(
     extra = (F.col("_rank") < F.col("_copies") % F.col("_rows")).cast("long")
     return (
         placed.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
-        .join(F.broadcast(sources) if sources.count() <= 10_000 else sources,
-              F.col("source").eqNullSafe(F.col("_t")))
+        .join(sources, F.col("source").eqNullSafe(F.col("_t")))
         .withColumn("copies", F.expr("_copies div _rows") + extra)
         .drop("_order", "_rank", "_rows", "_s", "_z", "_copies", "_t")
         .withColumnsRenamed({"source": source, "size": size})

@@ -26,6 +26,8 @@ SEED_WORDS = 5
 COVERAGE = 0.5
 #: Bits of the seed bitmap: 2**23 bits are 1 MB, whatever the benchmark's size.
 BITMAP_BITS = 23
+#: Places where an item and a text agree that are held at once.
+PAIRS_AT_ONCE = 2_000_000
 TOKENS = T.ArrayType(T.LongType())
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -68,50 +70,69 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
     """
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
     found: list[tuple[int, int, int]] = []
-    length = min(len(item), len(text))
-    while length >= least:
-        matches = free_matches(item, text, free_item, free_text, least)
-        if not matches:
-            break
-        length = max(m[2] for m in matches)
-        for at_item, at_text, run in sorted(matches):
-            if run != length:
-                continue
-            in_item, in_text = slice(at_item, at_item + run), slice(at_text, at_text + run)
+    while True:
+        at_item, at_text, run = free_runs(item, text, free_item, free_text, least)
+        if not len(run):
+            return found
+        laid, length = len(found), int(run.max())
+        longest = np.flatnonzero(run == length)
+        for k in longest[np.lexsort((at_text[longest], at_item[longest]))]:
+            i, j = int(at_item[k]), int(at_text[k])
+            in_item, in_text = slice(i, i + length), slice(j, j + length)
             if free_item[in_item].all() and free_text[in_text].all():
-                free_item[in_item], free_text[in_text] = False, False
-                found.append((at_item, at_text, run))
-    return found
+                if (item[in_item] == text[in_text]).all():
+                    found.append((i, j, length))
+                    free_item[in_item], free_text[in_text] = False, False
+        if len(found) == laid:
+            return found
 
 
-def free_matches(
+def free_runs(
     item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, least: int
-) -> list[tuple[int, int, int]]:
-    """Longest run of free, equal tokens from each place where one of ``least`` starts anew."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item start, text start, length) of the longest runs of free, equal tokens.
+
+    Places where ``least`` tokens agree lie on diagonals; neighbours there are one run. Texts
+    that agree nearly everywhere are taken a stretch at a time, with as much more as
+    a run may go on, so that no more than about PAIRS_AT_ONCE places are held.
+    """
     def starts(tokens: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         held = np.append(0, np.cumsum(free))
         whole = np.flatnonzero(held[least:] - held[:-least] == least)
         return window_hashes(tokens, least)[whole], whole
 
+    none = np.empty(0, np.int64)
+    if min(len(item), len(text)) < least:
+        return none, none, none
     item_hash, item_at = starts(item, free_item)
     text_hash, text_at = starts(text, free_text)
     order = np.argsort(item_hash, kind="stable")
-    low = np.searchsorted(item_hash[order], text_hash, "left")
-    high = np.searchsorted(item_hash[order], text_hash, "right")
-    pairs = {
-        (int(item_at[order[k]]), int(text_at[j]))
-        for j in np.flatnonzero(high > low) for k in range(low[j], high[j])
-    }
-    matches = []
-    for at_item, at_text in pairs:
-        if (at_item - 1, at_text - 1) in pairs:
+    item_hash, item_at = item_hash[order], item_at[order]
+    low = np.searchsorted(item_hash, text_hash, "left")
+    many = np.searchsorted(item_hash, text_hash, "right") - low
+    met = many > 0
+    text_at, low, many = text_at[met], low[met], many[met]
+    if not len(many):
+        return none, none, none
+    step = len(text) if many.sum() <= PAIRS_AT_ONCE else max(1, PAIRS_AT_ONCE // len(item))
+    side, parts = len(item) + 1, []
+    for start in range(0, len(text), step):
+        near = slice(*np.searchsorted(text_at, [start - 1, start + step + len(item)]))
+        count = many[near]
+        if not len(count):
             continue
-        run = least
-        while (at_item + run - least + 1, at_text + run - least + 1) in pairs:
-            run += 1
-        if (item[at_item:at_item + run] == text[at_text:at_text + run]).all():
-            matches.append((at_item, at_text, run))
-    return matches
+        at_text = np.repeat(text_at[near], count)
+        inside = np.arange(len(at_text)) - np.repeat(np.cumsum(count) - count, count)
+        at_item = item_at[np.repeat(low[near], count) + inside]
+        # Along a diagonal the place in this order goes up by one.
+        place = np.sort((at_text - at_item + len(item)) * side + at_item)
+        first = np.flatnonzero(np.append(True, np.diff(place) != 1))
+        run = np.diff(np.append(first, len(place))) + least - 1
+        at_item = place[first] % side
+        at_text = place[first] // side - len(item) + at_item
+        own = (at_text >= start) & (at_text < start + step)
+        parts.append((at_item[own], at_text[own], run[own]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def seed_bitmap(items: DataFrame, seed: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -138,6 +139,47 @@ def test_tiles_are_longest_first_and_apart():
     assert decontaminate.tiles(item[:4], text, 5) == []
 
 
+def plain_tiles(item, text, least):
+    """Greedy tiling by looking at every pair of places."""
+    used_item, used_text, found = set(), set(), []
+    while True:
+        best = []
+        for i in range(len(item)):
+            for j in range(len(text)):
+                n = 0
+                while (i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n]
+                       and i + n not in used_item and j + n not in used_text):
+                    n += 1
+                if n >= least:
+                    best.append((-n, i, j))
+        if not best:
+            return found
+        longest = min(best)[0]
+        for n, i, j in sorted(best):
+            own_item, own_text = set(range(i, i - n)), set(range(j, j - n))
+            if n == longest and not own_item & used_item and not own_text & used_text:
+                used_item |= own_item
+                used_text |= own_text
+                found.append((i, j, -n))
+
+
+@pytest.mark.parametrize("held", [2_000_000, 30])
+def test_tiles_are_those_of_plain_tiling(monkeypatch, held):
+    monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", held)
+    rng = np.random.default_rng(5)
+    for letters in (1, 2, 3, 6):
+        for _ in range(25):
+            item, text = (rng.integers(0, letters, n).astype(np.uint64) for n in rng.integers(0, 30, 2))
+            assert decontaminate.tiles(item, text, 3) == plain_tiles(item.tolist(), text.tolist(), 3)
+
+
+def test_repetitive_texts_are_bounded_work():
+    item, text = np.zeros(300, np.uint64), np.zeros(20_000, np.uint64)
+    start = time.perf_counter()
+    assert decontaminate.tiles(item, text, 5) == [(0, 0, 300)]
+    assert time.perf_counter() - start < 5
+
+
 def test_reordered_passages_are_covered(spark, documents):
     rng = random.Random(8)
     words = [f"b{i}" for i in range(400)]
@@ -390,14 +432,39 @@ def test_mixture_reaches_its_targets(documents, rows, empty):
     assert balance.balanced_copies(empty.select("doc_id", "source", F.lit(1).alias("size")), "doc_id").count() == 0
 
 
-def test_top_k(spark):
+def test_an_unsolved_source_is_an_error(spark, monkeypatch):
+    rows = [(i, "ab"[i % 2], 1 + i % 17 * (i % 2)) for i in range(60)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    assert balance.balanced_copies(sized, "doc_id").count() == 60
+    monkeypatch.setattr(balance, "NEWTON_ROUNDS", 1)
+    with pytest.raises(ArithmeticError, match="off its target"):
+        balance.balanced_copies(sized, "doc_id")
+
+
+def test_scores_beyond_64_bits_are_errors(spark):
+    top = lambda rows: topk.top_k(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 2
+    ).collect()
+    large = [(0, [2.0**20, 1.0]), (1, [2.0**22, -3.0]), (2, [-(2.0**22), 0.5])]
+    found = {r.vec_id: r.score for r in top(large)}
+    assert found == {1: 2**62 - 3 * 2**20, 2: -(2**62) + 2**19}
+    for bad in ([(0, [1e15]), (1, [1e15])], [(0, [1e300]), (1, [1.0])]):
+        with pytest.raises(Exception, match="64 bits"):
+            top(bad)
+
+
+@pytest.mark.parametrize("tile, block, part", [(4096, 2048, 32 << 20), (2, 7, 300)])
+def test_top_k(spark, monkeypatch, tile, block, part):
+    for name, value in (("TILE_QUERIES", tile), ("BLOCK", block), ("PART_BYTES", part)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 7]) for i in range(260)]
-    rows += [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan")] * 4), (None, [1.0] * 4),
+    rows += [(i * 100, [float(x) for x in rng.integers(-3, 4, 4) / 7]) for i in range(6, 12)]
+    rows += [(1200, []), (1201, []), (300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan")] * 4), (None, [1.0] * 4),
              (400, [9e4, 1e5, 3.0, 1.0]), (303, [1.0, 2.0]), (500, rows[200][1])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     clean = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows
-             if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     found = defaultdict(list)
     for r in topk.top_k(frame, F.col("vec_id") % 100 == 0, 10).collect():
         found[r.query_id].append((r.rank, r.vec_id, r.score))
