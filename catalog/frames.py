@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import query, scratch, table, table_path
+from tallyboard.functions.predicates import between_filter, in_filter
 from tallyboard.sources.load import Source, load_source, register
 from tallyboard.sources.ragged import quarantine
-from tallyboard.sources.snapshot import snapshot_sources
+from tallyboard.sources.snapshot import Layout, snapshot_sources
 
 
 def csv_copy(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -291,3 +292,23 @@ def monthly(orders: DataFrame, field: str, alias: str, value=None) -> DataFrame:
 def text_source(name: str, text: DataFrame, **settings) -> Source:
     """A table of text columns seen as the rows of a CSV source."""
     return Source(name, "csv", text, text, None, **settings)
+
+
+@query(
+    "snapshot_layout",
+    """SELECT o_orderstatus, count(*) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders
+       WHERE o_orderdate >= DATE '1997-03-03' AND o_orderdate < DATE '1997-03-09' + INTERVAL 1 DAY
+         AND o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY o_orderstatus""",
+)
+def layout_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week of two priorities, from a copy clustered by day with Bloom filters on priorities."""
+    source = load_source(spark, "orders", table_path(sf_dir, "orders"))
+    written = snapshot_sources(
+        [source], scratch(spark, "layout"),
+        layouts={"orders": Layout("o_orderdate", ("o_orderpriority",), distinct=16)},
+    )
+    week = between_filter("o_orderdate", {"start": "1997-03-03", "end": "1997-03-09"})
+    chosen = in_filter("o_orderpriority", ["1-URGENT", "5-LOW"])
+    return spark.read.parquet(written["orders"]).where(week & chosen).groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("o_orderkey").alias("key_sum")
+    )

@@ -444,6 +444,29 @@ def publish_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "registry_log",
+    f"""SELECT slug, strftime(built_at, '{SQL_TIME}') AS built_at, artifact_id, 1 AS tail FROM ({LATEST_SQL})""",
+)
+def log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest builds from a folded log and the one publication behind the fold."""
+    records = builds(spark, sf_dir).select(
+        F.lit(registries.RECORD_VERSION).alias("schema_version"), "slug",
+        F.initcap("slug").alias("title"), "artifact_id", F.col("built_at").cast("timestamp").alias("built_at"),
+        *[F.lit(text).alias(name) for name, text in VERSIONS.items()],
+    )
+    log = registries.RegistryLog(spark, scratch(spark, "registry-log"))
+    part = F.pmod(F.xxhash64("artifact_id"), F.lit(3))
+    log.publish(records.where(part == 0))
+    log.publish(records.where(part == 1))
+    log.fold()
+    log.vacuum()
+    log.publish(records.where(part == 2))
+    return log.latest().select(
+        "slug", time_text("built_at").alias("built_at"), "artifact_id", F.lit(len(log.tail())).alias("tail")
+    )
+
+
 @query("registry_latest", LATEST_SQL)
 def latest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registries.registry_latest(builds(spark, sf_dir))
