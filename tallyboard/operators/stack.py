@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyboard.functions.exact import (
+    WHOLE, exact_totals, from_units, in_units, largest_exponent,
+)
 from tallyboard.functions.numbers import numeric, quoted
 from tallyboard.operators.series import axis_key
 from tallyboard.plans.grouped import attach, free_name, sum_before
@@ -16,16 +19,11 @@ MODES = (STANDARD, GROSS, NET)
 
 
 def stack_totals(rows: DataFrame, x: str, y: str, *, temporal: bool = False) -> DataFrame:
-    """Per x: net sum, gross sum and least value of the numeric y values."""
-    return (
-        rows.select(axis_key(rows, x, temporal).alias("__x"), numeric(rows, y).alias("__y"))
-        .groupBy("__x")
-        .agg(
-            F.sum("__y").alias("__net"),
-            F.sum(F.abs("__y")).alias("__gross"),
-            F.min("__y").alias("__least"),
-        )
-    )
+    """Per x: net sum, gross sum and least value of the numeric y values.
+
+    The sums are the same to the bit however the rows are dealt over tasks.
+    """
+    return exact_totals(rows, {"__x": axis_key(rows, x, temporal)}, numeric(rows, y), "__least")
 
 
 def _offends(mode: str) -> Column:
@@ -83,15 +81,27 @@ def stack_zero(
     rows: DataFrame, x: str, y: str, order: Sequence[str], *,
     temporal: bool = False,
 ) -> DataFrame:
-    """Add ``y0`` and ``y1``: positive values pile up, negative ones down, per x."""
+    """Add ``y0`` and ``y1``: positive values pile up, negative ones down, per x.
+
+    Both ends are sums of whole numbers, so they are the same to the bit however the rows are
+    dealt over tasks, and a value's upper end is the next one's lower end.
+    """
     value = numeric(rows, y)
     # Values that are not numbers take no room and get no position.
     side = F.coalesce(value < 0, F.lit(False))
     keyed = rows.select(
         "*", axis_key(rows, x, temporal).alias("__x"), side.alias("__down"), value.alias("__y")
     )
-    piled = sum_before(
-        keyed, F.coalesce("__y", F.lit(0.0)), ["__x", "__down"], order, "__before",
-    )
-    start = F.when(F.col("__y").isNotNull(), F.col("__before"))
-    return piled.select(*rows.columns, start.alias("y0"), (start + F.col("__y")).alias("y1"))
+    group = ["__x", "__down"]
+    tops = largest_exponent(keyed, group, F.col("__y"))
+    scaled = attach(keyed, tops, {name: F.col(name) for name in group})
+    scaled = scaled.withColumn("__units", in_units(F.col("__y"), F.col("__top")))
+    piled = sum_before(scaled, F.col("__units"), group, order, "__before")
+    ends = {
+        "y0": F.col("__before").cast(WHOLE), "y1": (F.col("__before") + F.col("__units")).cast(WHOLE),
+    }
+    shown = [
+        F.when(F.col("__y").isNotNull(), from_units(end, F.col("__top"))).alias(name)
+        for name, end in ends.items()
+    ]
+    return piled.select(*rows.columns, *shown)

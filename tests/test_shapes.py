@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import date
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import values
+from tallyboard.functions import exact
 from tallyboard.functions.formatting import ValueFormat
 from tallyboard.operators.cohort import cohort_retention
 from tallyboard.operators.heatmap import (
@@ -269,3 +271,54 @@ def test_cohort_retention(frame):
         (date(2025, 12, 1), 0, 1, 1, 1.0), (date(2025, 12, 1), 2, 1, 1, 1.0),
         (date(2026, 1, 1), 0, 2, 2, 1.0), (date(2026, 1, 1), 1, 2, 1, 0.5),
     ]
+
+
+def spread_values(seed, rows):
+    """Doubles of many sizes, with cancellation, in a few groups."""
+    rng = random.Random(seed)
+    found = []
+    for i in range(rows):
+        size = rng.choice([1e-300, 1e-12, 0.1, 1.0, 3.3, 1e6, 1e15, 1e200 if i % 5 == 0 else 7.0])
+        found.append((f"x{i % 5}", i, rng.uniform(-1, 1) * size if i % 11 else None))
+    found += [("none", -1, None), ("zero", -2, 0.0), ("tiny", -3, 5e-324), ("tiny", -4, 5e-324)]
+    return found + [("power", -5 - e, 2.0**e) for e in range(-40, 41, 5)]
+
+
+def test_totals_are_exact_in_any_order(spark):
+    rows = spread_values(3, 3000)
+    base = spark.createDataFrame(rows, "x string, i long, y double")
+    bits = set()
+    for parts in (1, 3, 17):
+        dealt = base.repartition(parts, F.xxhash64("i", F.lit(parts)))
+        found = {r["k"]: (r["__net"], r["__gross"], r["low"]) for r in exact.exact_totals(
+            dealt, {"k": F.col("x")}, F.col("y"), "low").collect()}
+        bits.add(repr(sorted(found.items())))
+    assert len(bits) == 1
+    for key, (net, gross, low) in found.items():
+        own = [y for x, _, y in rows if x == key and y is not None]
+        if not own:
+            assert (net, gross, low) == (None, None, None)
+            continue
+        sizes = math.fsum(map(abs, own))
+        assert abs(net - math.fsum(own)) <= 4e-16 * sizes and low == min(own)
+        assert abs(gross - sizes) <= 4e-16 * sizes
+    assert found["tiny"][0] == 1e-323 and found["power"][0] == math.fsum(y for x, _, y in rows if x == "power")
+
+
+@pytest.mark.parametrize("mode", ["zero", "normalize_gross"])
+def test_stacks_agree_to_the_bit(spark, mode):
+    rows = [(x, i, y) for x, i, y in spread_values(4, 600) if y is None or abs(y) < 1e100]
+    base = spark.createDataFrame(rows, "x string, i long, y double")
+    seen = set()
+    for parts in (1, 3, 17):
+        dealt = base.repartition(parts, F.xxhash64("i", F.lit(parts)))
+        shaped = stack_zero(dealt, "x", "y", ["i"]) if mode == "zero" else stack_normalize(dealt, "x", "y", mode)
+        seen.add(repr(sorted(map(repr, shaped.collect()))))
+    assert len(seen) == 1
+    if mode == "zero":
+        piled = sorted(stack_zero(base, "x", "y", ["i"]).where("x = 'x1' and y > 0").collect(), key=lambda r: r.i)
+        at = 0.0
+        for row, after in zip(piled, [*piled[1:], None], strict=True):
+            at += row.y
+            assert row.y1 == pytest.approx(at, rel=1e-12, abs=max(r.y for r in piled) * 2**-70)
+            assert after is None or after.y0 == row.y1
