@@ -37,7 +37,9 @@ from tallyboard.llm.common import chunks, ranked, shared_path
 MAGIC = b"CMRB"
 BLOCK = 2048
 #: Text bytes whose ids go into one file; whole documents, at least one.
-FILE_BYTES = 8 << 20
+FILE_BYTES = 4 << 20
+#: Text bytes tokenized at once.
+ENCODE_BYTES = 1 << 20
 #: Ids are below 2**16.
 DIGITS = 4
 MEMO_WORDS = 1 << 18
@@ -126,12 +128,12 @@ class Reader:
 
     def __init__(self, code: list[bytes]):
         longest = max(len(c) for c in code) // 2 + 4
-        self.words = np.zeros((len(code), longest), np.uint64)
+        self.words = np.zeros((len(code), longest), np.uint16)
         for lane, own in enumerate(code):
             self.words[lane, :len(own) // 2] = np.frombuffer(own, "<u2")
         self.value = np.zeros(len(code), np.uint64)
         for at in range(LOW_BITS // WORD):
-            self.value = (self.value << np.uint64(WORD)) | self.words[:, at]
+            self.value = (self.value << np.uint64(WORD)) | self.words[:, at].astype(np.uint64)
         self.range = np.full(len(code), int(TOP) - 1, np.uint64)
         self.used = np.full(len(code), LOW_BITS // WORD, np.int64)
 
@@ -141,7 +143,8 @@ class Reader:
         short = span < BOTTOM
         if short.any():
             own = lanes[short]
-            value[short] = (value[short] << np.uint64(WORD)) | self.words[own, self.used[own]]
+            following = self.words[own, self.used[own]].astype(np.uint64)
+            value[short] = (value[short] << np.uint64(WORD)) | following
             self.used[own] += 1
             span[short] <<= np.uint64(WORD)
         self.value[lanes], self.range[lanes] = value, span
@@ -169,12 +172,13 @@ class Mixer:
     """A decision whose chance mixes three adaptive estimates; one state per lane."""
 
     def __init__(self, lanes: int):
-        self.chance = np.full((3, lanes * 256), 1 << 15, np.int64)
+        # Estimates have 16 bits; they are widened where they are used.
+        self.chance = np.full((3, lanes * 256), 1 << 15, np.uint16)
         self.weight = np.full((3, lanes), 1 << 15, np.int64)
 
     def __call__(self, coder, lanes, contexts, bit):
         places = [lanes * 256 + c for c in contexts]
-        chances = [self.chance[k][places[k]] for k in range(3)]
+        chances = [self.chance[k][places[k]].astype(np.int64) for k in range(3)]
         inputs = [STRETCH[c >> 4] for c in chances]
         weights = [self.weight[k][lanes] for k in range(3)]
         dot = sum(w * x for w, x in zip(weights, inputs, strict=True)) >> 16
@@ -265,15 +269,17 @@ def pack(ids: np.ndarray, documents: list[int], block: int = BLOCK) -> bytes:
     lengths = lane_lengths(len(ids), block)
     code: list[bytes] = []
     if len(lengths):
-        grid = np.zeros((block, len(lengths)), np.int64)
-        padded = np.zeros(block * len(lengths), np.int64)
+        padded = np.zeros(block * len(lengths), np.uint16)
         padded[:len(ids)] = ids
-        grid[:] = padded.reshape(len(lengths), block).T
+        grid = np.ascontiguousarray(padded.reshape(len(lengths), block).T)
+        del padded
         model, coder = Model(len(lengths)), Writer(len(lengths), min(block, int(lengths[0])))
         for at in range(int(lengths[0])):
             n = len(lengths) - (at >= lengths[-1])
-            model.step(coder, n, grid[at, :n])
+            model.step(coder, n, grid[at, :n].astype(np.int64))
         code = coder.finish()
+        # The next file's tables are not to lie beside these.
+        del model, coder, grid
     ends = np.cumsum(lengths)
     checks = [ids_crc(ids[e - n:e]) for e, n in zip(ends, lengths, strict=True)]
     index = np.array([lengths, [len(c) // 2 for c in code], checks], "<u4").T
@@ -296,16 +302,17 @@ def unpack(file: bytes) -> tuple[np.ndarray, np.ndarray]:
     lengths = index[:, 0]
     parts: list[np.ndarray] = []
     if len(lengths):
-        grid = np.zeros((int(lengths[0]), len(lengths)), np.int64)
+        grid = np.zeros((int(lengths[0]), len(lengths)), np.uint16)
         model, coder = Model(len(lengths)), Reader(code)
         for at in range(int(lengths[0])):
             n = len(lengths) - (at >= lengths[-1])
             grid[at, :n] = model.step(coder, n, None)
+        del model, coder
         parts = [grid[:n, lane] for lane, n in enumerate(lengths)]
     for number, (ids, check) in enumerate(zip(parts, index[:, 2], strict=True)):
         if ids_crc(ids) != check:
             raise ValueError(f"block {number} is damaged")
-    return (np.concatenate(parts) if parts else np.empty(0, np.int64)), counts
+    return (np.concatenate(parts) if parts else np.empty(0, np.uint16)), counts
 
 
 class Encoder:
@@ -356,9 +363,13 @@ def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, number = Encoder(vocabulary), 0
         for batch in chunks(batches, "text", FILE_BYTES):
-            ids = [np.append(x, np.uint16(end_id)) for x in encode(batch.column("text").to_pylist())]
+            ids = [
+                np.append(x, np.uint16(end_id)) for part in chunks(iter([batch]), "text", ENCODE_BYTES)
+                for x in encode(part.column("text").to_pylist())
+            ]
             counts = [len(x) for x in ids]
-            flat = np.concatenate(ids).astype(np.int64)
+            flat = np.concatenate(ids)
+            del ids
             yield pa.RecordBatch.from_arrays(
                 [batch.column("part").slice(0, 1), pa.array([number], pa.int32()),
                  pa.array([len(flat)], pa.int64()),
