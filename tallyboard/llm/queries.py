@@ -266,33 +266,33 @@ r AS (
 )
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op10_line_runs": """
-WITH lines AS (
-    SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS place
-    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS xs FROM documents)
+WITH docs AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS xs FROM documents
 ),
-marked AS (
-    SELECT doc_id, place, list_slice(xs, place, place + 2) AS run FROM lines WHERE place + 2 <= len(xs)
+lines AS (
+    SELECT doc_id, unnest(range(1, len(xs) + 1)) AS place, unnest(xs) AS line FROM docs
 ),
-later AS (
-    SELECT doc_id, place FROM (
-        SELECT doc_id, place, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS n FROM marked
-    ) WHERE n > 1
+pairs AS (
+    SELECT a.doc_id, a.place, a.line, b.doc_id AS other, a.place - b.place AS shift
+    FROM lines a JOIN lines b ON a.line = b.line
+    WHERE b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.place < a.place)
+),
+runs AS (
+    SELECT doc_id, min(place) AS first, max(place) AS last FROM (
+        SELECT *, place - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY place) AS island FROM pairs
+    ) GROUP BY doc_id, other, shift, island
+    HAVING count(*) >= 3 OR bool_or(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 8)
 ),
 gone AS (
-    SELECT DISTINCT doc_id, place + k AS place FROM later, range(3) AS s(k)
+    SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS place FROM (SELECT DISTINCT doc_id, first, last FROM runs)
 ),
-chains AS (
-    SELECT doc_id, max(n) AS longest FROM (
-        SELECT doc_id, count(*) AS n FROM (
-            SELECT doc_id, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS c FROM gone
-        ) GROUP BY doc_id, c
-    ) GROUP BY doc_id
+longest AS (
+    SELECT doc_id, max(last - first + 1) AS longest FROM runs GROUP BY doc_id
 )
 SELECT doc_id, count(*) AS n_lines, count(gone.place) AS n_removed,
        CAST(coalesce(any_value(longest), 0) AS INT) AS longest,
-       sha256(coalesce(string_agg(xs[lines.place], chr(10) ORDER BY lines.place)
-                       FILTER (gone.place IS NULL), '')) AS kept_sha256
-FROM lines LEFT JOIN gone USING (doc_id, place) LEFT JOIN chains USING (doc_id)
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY lines.place) FILTER (gone.place IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN gone USING (doc_id, place) LEFT JOIN longest USING (doc_id)
 GROUP BY doc_id""",
     "op12_phrases": """
 WITH parts AS (

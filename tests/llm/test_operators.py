@@ -478,30 +478,87 @@ def test_top_k(spark, monkeypatch, tile, block, part):
     assert topk.top_k(frame.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_line_runs(documents, rows, empty):
-    size = line_runs.LINES
-    lines = {(10**9 if i is None else i): t.split("\n") for i, t, _ in rows}
-    seen, gone = set(), defaultdict(set)
-    for i in sorted(lines):
-        for at in range(len(lines[i]) - size + 1):
-            run = tuple(lines[i][at:at + size])
-            if run in seen:
-                gone[i] |= set(range(at, at + size))
-            seen.add(run)
-    for i, same in by_id(line_runs.remove_repeated_runs(documents)).items():
+def plain_runs(texts, least=3, words=8):
+    """The maximal runs of each text that also start earlier, by comparing every two places."""
+    lines = {i: t.split("\n") for i, t in texts.items()}
+    places = [(i, at) for i in sorted(lines) for at in range(len(lines[i]))]
+    starting = defaultdict(list)
+    for i, at in places:
+        starting[lines[i][at]].append((i, at))
+    found = {}
+    for i in lines:
+        longest = []
+        for at, line in enumerate(lines[i]):
+            best = (0, None)
+            for j, to in starting[line]:
+                if (j, to) >= (i, at):
+                    break
+                n = 0
+                while at + n < len(lines[i]) and to + n < len(lines[j]) and lines[i][at + n] == lines[j][to + n]:
+                    n += 1
+                best = max(best, (n, (j, to)), key=lambda x: x[0])
+            longest.append(best)
+        runs = [(at, n, first) for at, (n, first) in enumerate(longest)
+                if n and (at == 0 or n >= longest[at - 1][0])]
+        found[i] = [(at, n, first) for at, n, first in runs
+                    if n >= least or any(len(x.split()) >= words for x in lines[i][at:at + n])]
+    return found
+
+
+def line_texts(rng):
+    """Texts of few different lines, with copies, periods, chains of runs and long lines."""
+    kinds = ["", "a", "b", "c", "d e", "one two three four five six seven eight", "x " * 9]
+    texts = ["\n".join(rng.choices(kinds, [6, 3, 3, 2, 2, 1, 1])[0] if rng.random() < 0.6 else f"own {rng.random()}"
+                       for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    texts[7] = texts[3]
+    texts[9] = texts[8] + "\n" + texts[3] + "\n" + texts[5]
+    texts[11:13] = ["p\nq\n" * 30, "p\nq\n" * 17 + "r"]
+    texts[13:16] = ["k l m", "k l m", "q1\nq2\nq3\nq4\nq5"]
+    texts[16] = "q1\nq2\nq3\nq4\nq5\nq6\nq1\nq2\nq3\nq4"
+    return texts
+
+
+def test_maximal_runs_are_those_of_comparing_all_places(spark):
+    texts = dict(enumerate(dict.fromkeys(line_texts(random.Random(4)))))
+    docs = spark.createDataFrame(list(texts.items()), "row long, text string")
+    found = defaultdict(list)
+    for r in line_runs.later_copies(docs).collect():
+        found[r.row].append((r.start, r.length, (r.first_row, r.first_start)))
+    expected = {i: runs for i, runs in plain_runs(texts).items() if runs}
+    assert {i: sorted(runs) for i, runs in found.items()} == expected
+    assert max(n for runs in expected.values() for _, n, _ in runs) > 15
+
+
+def test_runs_have_sources_of_their_own(spark):
+    texts = {1: "a\nb\nc", 2: "d\ne\nf", 3: "a\nb\nc\nd\ne\nf"}
+    docs = spark.createDataFrame(list(texts.items()), "row long, text string")
+    assert sorted(tuple(r) for r in line_runs.later_copies(docs).collect()) == [(3, 0, 3, 1, 0), (3, 3, 3, 2, 0)]
+
+
+def test_line_runs(spark, documents, rows, empty):
+    more = spark.createDataFrame(
+        [(1000 + i, t, None, None, None, "", "") for i, t in enumerate(line_texts(random.Random(8)))], DOCS)
+    texts = {(10**9 if i is None else i): t for i, t, _ in rows}
+    texts |= {r.doc_id: r.text for r in more.collect()}
+    runs = plain_runs(texts)
+    for i, same in by_id(line_runs.remove_repeated_runs(documents.unionByName(more))).items():
         i = 10**9 if i is None else i
-        kept = [x for at, x in enumerate(lines[i]) if at not in gone[i]]
+        lines = texts[i].split("\n")
+        gone = {at + k for at, n, _ in runs[i] for k in range(n)}
+        kept = [x for at, x in enumerate(lines) if at not in gone]
         for row in same:
-            assert (row.n_lines, row.n_removed) == (len(lines[i]), len(gone[i]))
-            assert (row.kept or "") == "\n".join(kept)
-    assert gone[21] and gone[22]
+            assert (row.n_lines, row.n_removed) == (len(lines), len(gone))
+            assert row.longest == max((n for _, n, _ in runs[i]), default=0)
+            assert row.kept == ("\n".join(kept) if kept else None)
+    assert runs[21] and runs[22]
     assert line_runs.remove_repeated_runs(empty).count() == 0
 
 
-def test_single_lines_are_runs_at_a_minimum_of_one(spark):
-    texts = ["same\nown", "same", "other", "other", "a\nsame\nown\nb"]
+def test_short_lines_alone_stay_and_long_ones_go(spark):
+    boiler = "all rights reserved by the owners of this"
+    texts = ["same\nown", "same", "other", "other", "a\nsame\nown\nb", f"x\n{boiler}\ny", f"z\n{boiler}\n", "", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = sorted((r.doc_id, r.n_removed, r.kept) for r in line_runs.remove_repeated_runs(docs, 1).collect())
-    assert found == [
-        (0, 0, "same\nown"), (1, 1, None), (2, 0, "other"), (3, 1, None), (4, 2, "a\nb")
-    ]
+    found = sorted((r.doc_id, r.n_removed, r.kept) for r in line_runs.remove_repeated_runs(docs).collect())
+    assert found == [(i, 1 if i == 6 else 0, "z\n" if i == 6 else t) for i, t in enumerate(texts)]
+    every = sorted((r.doc_id, r.n_removed, r.kept) for r in line_runs.remove_repeated_runs(docs.limit(5), 1).collect())
+    assert every == [(0, 0, "same\nown"), (1, 1, None), (2, 0, "other"), (3, 1, None), (4, 2, "a\nb")]
