@@ -17,7 +17,7 @@ from tallyboard.operators.heatmap import (
 from tallyboard.operators.kpi import HIGHER, kpi_delta, kpi_value
 from tallyboard.operators.series import axis_kind, period_compare, series_frame, series_rank
 from tallyboard.operators.stack import GROSS, NET, STANDARD, stack_normalize, stack_zero
-from tallyboard.operators.table import normalize_result, table_projection
+from tallyboard.operators.table import normalize_result, table_projection, unsafe_columns
 from tallyboard.operators.tooltip import tooltip_entries
 
 SIGNED_AMOUNT = "CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END"
@@ -53,14 +53,19 @@ def projection_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "normalize_result",
     """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS o_orderdate,
               strftime(o_orderdate, '%Y-%m-%d') AS day,
-              CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS price FROM orders""",
+              CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS price,
+              CAST(9007199254740000 + o_orderkey AS VARCHAR) AS wide,
+              concat(o_custkey, '/', 9007199254740000 + o_orderkey) AS pair FROM orders""",
 )
 def normalize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderdate", F.col("o_orderdate").cast("date").alias("day"),
         F.col("o_totalprice").cast("decimal(12,2)").alias("price"),
+        (F.col("o_orderkey") + F.lit(9007199254740000)).alias("wide"),
+        F.array(F.col("o_custkey").cast("long"), F.col("o_orderkey") + F.lit(9007199254740000)).alias("pair"),
     )
-    return normalize_result(orders)
+    shown = normalize_result(orders, unsafe_columns(orders))
+    return shown.withColumn("pair", F.array_join("pair", "/"))
 
 
 COMPARE_SQL = f"""SELECT {MONTH_SQL} AS period, round(sum(o_totalprice), 2) AS current_value
@@ -96,20 +101,40 @@ def kpi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi_value(compare_query(spark, sf_dir), "current_value", order=latest_first())
 
 
+def compact_sql(size: str) -> str:
+    """A size with one decimal at most and K, M, B or T."""
+    steps = [(1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K")]
+    shown = "regexp_replace(format('{{:.1f}}', round({size} / {unit}, 1)), '\\.0$', '')"
+    cases = " ".join(
+        f"WHEN round({size} / {unit / 1000}, 1) >= 1000 THEN {shown.format(size=size, unit=unit)} || '{letter}'"
+        for unit, letter in steps
+    )
+    return f"CASE {cases} ELSE {shown.format(size=size, unit=1.0)} END"
+
+
+def sign_sql(value: str) -> str:
+    return f"CASE WHEN {value} < 0 THEN '-' ELSE '+' END"
+
+
+DELTA, SHARE = "(current_value - previous_value)", "((current_value - previous_value) / abs(previous_value))"
+DELTA_TEXT_SQL = f"""{sign_sql(DELTA)} || {compact_sql(f'abs({DELTA})')} || ' · '
+    || {sign_sql(SHARE)} || format('{{:,.1f}}', round(abs({SHARE}) * 100, 1)) || '%'"""
+
+
 @query(
     "kpi_delta",
     f"""SELECT current_value, previous_value, current_value - previous_value AS delta,
                (current_value - previous_value) / nullif(abs(previous_value), 0) AS delta_share,
                CASE WHEN current_value > previous_value THEN 'good'
                     WHEN current_value < previous_value THEN 'bad'
-                    WHEN current_value = previous_value THEN 'neutral' END AS verdict
+                    WHEN current_value = previous_value THEN 'neutral' END AS verdict, {DELTA_TEXT_SQL} AS delta_text
         FROM ({COMPARED_SQL}) ORDER BY period DESC LIMIT 1""",
 )
 def delta_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi_delta(
         compare_query(spark, sf_dir), "current_value", "previous_value",
         direction=HIGHER, order=latest_first(),
-    ).drop("delta_text")
+    )
 
 
 @query("series_frame", STATUS_SQL, dates=("month",))
@@ -308,17 +333,27 @@ def rank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
          sign || '€' || whole || '.' || part AS currency_text,
          sign || CAST(tenths // 10 AS VARCHAR) || CASE WHEN tenths % 10 = 0 THEN '' ELSE '.' || CAST(tenths % 10 AS VARCHAR) END
            || letter AS compact_text,
-         CASE WHEN c_acctbal < 0 THEN '-' ELSE '+' END || whole || '.' || part AS signed_text
+         CASE WHEN c_acctbal < 0 THEN '-' ELSE '+' END || whole || '.' || part AS signed_text,
+         sign || format('{:,}', (cents + 500) // 10000)
+           || CASE WHEN (cents + 500) // 1000 % 10 = 0 THEN '' ELSE '.' || CAST((cents + 500) // 1000 % 10 AS VARCHAR) END
+           || '%' AS percent_text,
+         CASE WHEN c_custkey % 10 = 0 THEN '—' ELSE sign || regexp_replace(whole || '.' || part, '\\.?0+$', '') END
+           AS missing_text
        FROM t""",
 )
 def format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     balance = numeric(customers, "c_acctbal")
     dollars = format_number(balance, ValueFormat("currency"), signed=True)
+    # A column without a value for some customers.
+    kept = F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal"))
+    customers = customers.withColumn("known", kept)
     return customers.select(
         "c_custkey",
         format_value(customers, "c_acctbal").alias("number_text"),
         format_value(customers, "c_acctbal", ValueFormat("currency", "EUR")).alias("currency_text"),
         format_value(customers, "c_acctbal", ValueFormat(notation="compact")).alias("compact_text"),
         F.replace(dollars, F.lit("$"), F.lit("")).alias("signed_text"),
+        format_number(balance / 10000, ValueFormat("percent")).alias("percent_text"),
+        format_value(customers, "known").alias("missing_text"),
     )

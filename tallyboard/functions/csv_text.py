@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +21,11 @@ def is_nested(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.ArrayType, T.StructType, T.MapType))
 
 
-def shown_value(column: Column, data_type: T.DataType) -> Column:
+def shown_value(column: Column, data_type: T.DataType, long_text: bool = False) -> Column:
     """Times as ISO text, decimals as doubles, at any depth; other values as they are.
 
-    Whole decimals of more than 15 digits are text, since no double holds them all.
+    Whole decimals of more than 15 digits are text, since no double holds them all; so are
+    64-bit integers with ``long_text``.
     """
     if isinstance(data_type, T.DateType):
         return F.date_format(column, "yyyy-MM-dd")
@@ -31,22 +34,49 @@ def shown_value(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.DecimalType):
         wide = data_type.scale == 0 and data_type.precision > 15
         return column.cast("string" if wide else "double")
+    if isinstance(data_type, T.LongType) and long_text:
+        return column.cast("string")
     if isinstance(data_type, T.ArrayType):
-        return F.transform(column, lambda item: shown_value(item, data_type.elementType))
+        return F.transform(column, lambda item: shown_value(item, data_type.elementType, long_text))
     if isinstance(data_type, T.MapType):
-        values = F.transform_values(column, lambda _, v: shown_value(v, data_type.valueType))
-        return F.transform_keys(values, lambda k, _: shown_value(k, data_type.keyType))
+        values = F.transform_values(column, lambda _, v: shown_value(v, data_type.valueType, long_text))
+        return F.transform_keys(values, lambda k, _: shown_value(k, data_type.keyType, long_text))
     if isinstance(data_type, T.StructType):
         fields = [
-            shown_value(column.getField(f.name), f.dataType).alias(f.name) for f in data_type
+            shown_value(column.getField(f.name), f.dataType, long_text).alias(f.name) for f in data_type
         ]
         return F.when(column.isNotNull(), F.struct(*fields))
     return column
 
 
-def result_value(frame: DataFrame, name: str) -> Column:
+def is_unsafe(column: Column, data_type: T.DataType) -> Column | None:
+    """Whether a value holds an integer, at any depth, that no double holds exactly.
+
+    None for types without 64-bit integers.
+    """
+    if isinstance(data_type, T.LongType):
+        return ~column.between(-SAFE_INTEGER, SAFE_INTEGER)
+    parts: list[Column | None] = []
+    if isinstance(data_type, T.ArrayType):
+        parts = [_any_unsafe(column, data_type.elementType)]
+    elif isinstance(data_type, T.MapType):
+        parts = [_any_unsafe(F.map_keys(column), data_type.keyType),
+                 _any_unsafe(F.map_values(column), data_type.valueType)]
+    elif isinstance(data_type, T.StructType):
+        parts = [is_unsafe(column.getField(f.name), f.dataType) for f in data_type]
+    held = [F.coalesce(part, F.lit(False)) for part in parts if part is not None]
+    return reduce(lambda left, right: left | right, held) if held else None
+
+
+def _any_unsafe(items: Column, data_type: T.DataType) -> Column | None:
+    if is_unsafe(F.lit(None), data_type) is None:
+        return None
+    return F.exists(items, lambda item: F.coalesce(is_unsafe(item, data_type), F.lit(False)))
+
+
+def result_value(frame: DataFrame, name: str, long_text: bool = False) -> Column:
     """The value of a column as results show it."""
-    return shown_value(F.col(quoted(name)), field_type(frame, name))
+    return shown_value(F.col(quoted(name)), field_type(frame, name), long_text)
 
 
 def guard_formula(text: Column) -> Column:

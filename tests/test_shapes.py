@@ -19,7 +19,7 @@ from tallyboard.operators.series import axis_type, period_compare, series_frame,
 from tallyboard.operators.stack import (
     GROSS, NET, STANDARD, stack_normalize, stack_offenders, stack_zero,
 )
-from tallyboard.operators.table import normalize_result, table_projection
+from tallyboard.operators.table import normalize_result, table_projection, unsafe_columns
 from tallyboard.operators.tooltip import tooltip_entries
 
 STACK = "week string, depot string, fare double"
@@ -322,3 +322,22 @@ def test_stacks_agree_to_the_bit(spark, mode):
             at += row.y
             assert row.y1 == pytest.approx(at, rel=1e-12, abs=max(r.y for r in piled) * 2**-70)
             assert after is None or after.y0 == row.y1
+
+
+def test_unsafe_integers_become_text(frame):
+    big = 2**53
+    rows = frame(
+        [(1, big, [1, None], {"a": (big + 1, "x")}, {5: -big}, 3, None), (2, None, None, {"a": None}, None, None, None)],
+        "n long, wide long, few array<long>, deep map<string, struct<v: long, t: string>>, keyed map<long, long>, "
+        "small int, none array<struct<v: long>>",
+    )
+    assert unsafe_columns(rows) == ["wide", "deep", "keyed"]
+    shown = normalize_result(rows, unsafe_columns(rows))
+    assert [t for _, t in shown.dtypes] == [
+        "bigint", "string", "array<bigint>", "map<string,struct<v:string,t:string>>", "map<string,string>", "int",
+        "array<struct<v:bigint>>",
+    ]
+    first = shown.orderBy("n").first()
+    assert (first.wide, first.deep["a"].v, first.keyed) == (str(big), str(big + 1), {"5": str(-big)})
+    assert unsafe_columns(frame([(big - 1,)], "n long")) == [] and unsafe_columns(frame([("x",)], "t string")) == []
+    assert normalize_result(rows).schema["wide"].dataType.simpleString() == "bigint"
