@@ -20,8 +20,6 @@ among the different pairs, and its places are only joined to it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,17 +62,22 @@ def ranks_of(pairs: DataFrame, left: str, right: str) -> DataFrame:
 def levels(lines: DataFrame) -> DataFrame:
     """(level, row, at, rank): ranks of prefixes of 2**level lines that occur again.
 
-    ``lines`` has row, at, first and second, one row for each place.
+    ``lines`` has row, at, first and second, one row for each place. Levels are written as
+    one table, so that what reads them has one input and a small plan.
     """
-    known = cut(ranks_of(lines, "first", "second"))
-    found = [known]
-    while known.limit(1).count():
-        step = 1 << (len(found) - 1)
+    spark = lines.sparkSession
+    path, paths = shared_path(spark, "line-ranks"), []
+    pairs, left, right = lines, "first", "second"
+    while True:
+        ranks = ranks_of(pairs, left, right).select(F.lit(len(paths)).alias("level"), "row", "at", "rank")
+        paths.append(f"{path}/{len(paths)}")
+        ranks.write.parquet(paths[-1])
+        known = spark.read.schema(ranks.schema).parquet(paths[-1])
+        if not known.limit(1).count():
+            return spark.read.schema(ranks.schema).parquet(*paths)
+        step = 1 << (len(paths) - 1)
         further = known.select("row", (F.col("at") - step).alias("at"), F.col("rank").alias("next"))
-        known = cut(ranks_of(known.join(further, ["row", "at"]), "rank", "next"))
-        found.append(known)
-    numbered = [ranks.select(F.lit(k).alias("level"), "*") for k, ranks in enumerate(found)]
-    return reduce(lambda a, b: a.union(b), numbered)
+        pairs, left, right = known.join(further, ["row", "at"]).drop("level"), "rank", "next"
 
 
 def place() -> Column:
