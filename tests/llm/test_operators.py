@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -358,6 +360,31 @@ def test_sketch_loses_nothing_when_it_is_full(documents, monkeypatch):
     assert sorted(map(repr, substring_dedup.remove_repeated_windows(documents).collect())) == expected
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 19, 20, 32])
+def test_window_sums_are_polynomials_of_the_words(width):
+    hashes = np.random.default_rng(width).integers(0, 1 << 63, 40).astype(np.uint64)
+    base, words = substring_dedup.BASES[0], [int(h) for h in hashes]
+    expected = [
+        sum(word * int(base) ** k for k, word in enumerate(words[at:at + width])) % (1 << 64)
+        for at in range(len(words) - width + 1)
+    ]
+    assert substring_dedup.window_sums(hashes, base, width).tolist() == expected
+    assert len(substring_dedup.window_sums(hashes[:width - 1], base, width)) == 0
+
+
+def test_windows_hold_hashes_and_few_words():
+    texts = pa.array([b" ".join(b"%d-%d" % (i, k) for k in range(2000)) for i in range(200)])
+    tracemalloc.start()
+    first, owner, start, at = substring_dedup.Windows(20)(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(first) == len(np.unique(first)) == 200 * 1981
+    assert np.unique(owner).tolist() == list(range(200)) and start.max() == 1980
+    assert at[-1] == 200 * 2000 - 20
+    # A word kept as an object takes some 50 bytes, and as much again in a memo.
+    assert peak < 64 * 200 * 2000
+
+
 @pytest.mark.parametrize("count, block", [(0, 64), (1, 64), (64, 64), (1000, 64), (5000, 700)])
 def test_token_files_round_trip(count, block):
     rng = np.random.default_rng(count)
