@@ -22,8 +22,10 @@ Numbers are little-endian and unsigned, of 32 bits; code is words of 16 bits.
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -60,67 +62,94 @@ STRETCH = np.array(
 PULL = np.array(
     [[j + (32768 - 16 if j > digit else 0) for j in range(16)] for digit in range(16)], np.int16
 )
+#: Certainty after a miss and after a hit, by certainty before.
+SURER = np.array([[k >> 1 for k in range(16)], [min(k + 1, 15) for k in range(16)]], np.int64).ravel()
+#: The eight bytes of a number, each of them 0 or 1, times this have their sum in the first byte.
+BYTE_SUM, FIRST_BYTE = np.uint64(0x0101010101010101), np.uint64(56)
 LOW_BITS, WORD = 48, 16
+SHIFT, OUT = np.uint64(WORD), np.uint64(LOW_BITS - WORD)
 BOTTOM = np.uint64(1 << (LOW_BITS - WORD))
 TOP = np.uint64(1 << LOW_BITS)
+BELOW = TOP - np.uint64(1)
+FLAG_BITS, DIGIT_BITS = np.uint64(16), np.uint64(15)
+WHOLE_FLAG, LAST_START = np.uint64(1 << 16), np.uint64((1 << 15) - 1)
+#: Lanes are the first ones, as a slice, or some, as an array of their numbers.
+Lanes = slice | np.ndarray
+
+
+def chosen(lanes: Lanes, at: np.ndarray) -> np.ndarray:
+    return at if isinstance(lanes, slice) else lanes[at]
+
+
+def digit_range(starts: np.ndarray, places: np.ndarray, digit: np.ndarray):
+    """Start and size of each digit; behind the starts of all rows stands one more number, 0."""
+    at = places + digit
+    start = starts.take(at)
+    at += 1
+    # A row's first start is 0, and so a last digit ends at 2**15.
+    size = (starts.take(at) - start).astype(np.uint64) & LAST_START
+    return start.astype(np.uint64), size
 
 
 class Writer:
-    """Range coders side by side; each lane codes into words of its own."""
+    """Range coders side by side; each lane codes into words of its own, a column of ``words``."""
 
     def __init__(self, lanes: int, most_ids: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, int(TOP) - 1, np.uint64)
-        self.words = np.zeros((lanes, 2 * most_ids + 16), np.uint16)
+        self.words = np.zeros((2 * most_ids + 16, lanes), np.uint16)
         self.used = np.zeros(lanes, np.int64)
 
-    def code(self, lanes, start, size, bits):
-        unit = self.range[lanes] >> np.uint64(bits)
-        low = self.low[lanes] + unit * start.astype(np.uint64)
-        span = unit * size.astype(np.uint64)
-        carried = lanes[low >= TOP]
-        low &= TOP - np.uint64(1)
-        at = self.used[carried] - 1
-        while len(carried):
-            self.words[carried, at] += np.uint16(1)
-            further = self.words[carried, at] == 0
-            carried, at = carried[further], at[further] - 1
-        short = span < BOTTOM
-        if short.any():
-            own = lanes[short]
-            self.words[own, self.used[own]] = (low[short] >> np.uint64(LOW_BITS - WORD)).astype(
-                np.uint16
-            )
-            self.used[own] += 1
-            low[short] = (low[short] << np.uint64(WORD)) & (TOP - np.uint64(1))
-            span[short] <<= np.uint64(WORD)
-            self.grow()
+    def code(self, lanes: Lanes, start, size, bits):
+        unit = self.range[lanes] >> bits
+        start *= unit
+        low = self.low[lanes] + start
+        span = unit * size
+        carry = np.flatnonzero(low >= TOP)
+        if len(carry):
+            carried = chosen(lanes, carry)
+            low[carry] &= BELOW
+            at = self.used[carried] - 1
+            while len(carried):
+                self.words[at, carried] += np.uint16(1)
+                further = self.words[at, carried] == 0
+                carried, at = carried[further], at[further] - 1
+        short = np.flatnonzero(span < BOTTOM)
+        if len(short):
+            own, full = chosen(lanes, short), low[short]
+            used = self.used[own]
+            self.words.reshape(-1)[used * len(self.low) + own] = (full >> OUT).astype(np.uint16)
+            self.used[own] = used + 1
+            low[short] = (full << SHIFT) & BELOW
+            span[short] <<= SHIFT
+            if int(used.max()) + 9 > len(self.words):
+                self.grow()
         self.low[lanes], self.range[lanes] = low, span
 
     def grow(self):
-        if self.used.max() + 8 > self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-
-    def flag(self, lanes, chance, bit):
-        one = chance << 4
-        self.code(lanes, np.where(bit, 0, one), np.where(bit, one, 65536 - one), 16)
+        if self.used.max() + 8 > len(self.words):
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)])
+
+    def flag(self, lanes: Lanes, chance, bit):
+        one = chance.astype(np.uint64) << np.uint64(4)
+        zero = ~bit
+        # A set bit is the lower part of the range.
+        self.code(lanes, one * zero, (one ^ (zero * (one ^ (WHOLE_FLAG - one)))), FLAG_BITS)
         return bit
 
-    def digit(self, lanes, rows, digit):
-        at = np.arange(len(lanes))
-        start = rows[at, digit].astype(np.int64)
-        end = np.where(digit < 15, rows[at, np.minimum(digit + 1, 15)].astype(np.int64), 32768)
-        self.code(lanes, start, end - start, 15)
+    def digit(self, lanes: np.ndarray, starts, places, digit):
+        self.code(lanes, *digit_range(starts, places, digit), DIGIT_BITS)
         return digit
 
     def finish(self) -> list[bytes]:
         lanes = np.arange(len(self.low))
         for _ in range(LOW_BITS // WORD):
             self.grow()
-            self.words[lanes, self.used] = (self.low >> np.uint64(LOW_BITS - WORD)).astype(np.uint16)
-            self.low = (self.low << np.uint64(WORD)) & (TOP - np.uint64(1))
+            self.words[self.used, lanes] = (self.low >> OUT).astype(np.uint16)
+            self.low = (self.low << SHIFT) & BELOW
             self.used += 1
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.words, self.used, strict=True)]
+        rows = np.ascontiguousarray(self.words[:self.used.max()].T)
+        return [row[:n].astype("<u2").tobytes() for row, n in zip(rows, self.used, strict=True)]
 
 
 class Reader:
@@ -128,43 +157,47 @@ class Reader:
 
     def __init__(self, code: list[bytes]):
         longest = max(len(c) for c in code) // 2 + 4
-        self.words = np.zeros((len(code), longest), np.uint16)
+        rows = np.zeros((len(code), longest), np.uint16)
         for lane, own in enumerate(code):
-            self.words[lane, :len(own) // 2] = np.frombuffer(own, "<u2")
+            rows[lane, :len(own) // 2] = np.frombuffer(own, "<u2")
+        self.words = np.ascontiguousarray(rows.T)
         self.value = np.zeros(len(code), np.uint64)
         for at in range(LOW_BITS // WORD):
-            self.value = (self.value << np.uint64(WORD)) | self.words[:, at].astype(np.uint64)
+            self.value = (self.value << SHIFT) | self.words[at].astype(np.uint64)
         self.range = np.full(len(code), int(TOP) - 1, np.uint64)
         self.used = np.full(len(code), LOW_BITS // WORD, np.int64)
 
-    def narrow(self, lanes, value, unit, start, size):
-        value = value - unit * start.astype(np.uint64)
-        span = unit * size.astype(np.uint64)
-        short = span < BOTTOM
-        if short.any():
-            own = lanes[short]
-            following = self.words[own, self.used[own]].astype(np.uint64)
-            value[short] = (value[short] << np.uint64(WORD)) | following
-            self.used[own] += 1
-            span[short] <<= np.uint64(WORD)
+    def narrow(self, lanes: Lanes, value, unit, start, size):
+        start *= unit
+        value = value - start
+        span = unit * size
+        short = np.flatnonzero(span < BOTTOM)
+        if len(short):
+            own = chosen(lanes, short)
+            used = self.used[own]
+            # A word too far, in a damaged file, is found by the checksum.
+            following = self.words.take(used * len(self.range) + own, mode="clip")
+            value[short] = (value[short] << SHIFT) | following.astype(np.uint64)
+            self.used[own] = used + 1
+            span[short] <<= SHIFT
         self.value[lanes], self.range[lanes] = value, span
 
-    def flag(self, lanes, chance, bit):
-        one = chance << 4
-        unit, value = self.range[lanes] >> np.uint64(16), self.value[lanes]
-        bit = value < unit * one.astype(np.uint64)
-        self.narrow(lanes, value, unit, np.where(bit, 0, one), np.where(bit, one, 65536 - one))
+    def flag(self, lanes: Lanes, chance, bit):
+        one = chance.astype(np.uint64) << np.uint64(4)
+        unit, value = self.range[lanes] >> FLAG_BITS, self.value[lanes]
+        bit = value < unit * one
+        zero = ~bit
+        self.narrow(lanes, value, unit, one * zero, one ^ (zero * (one ^ (WHOLE_FLAG - one))))
         return bit
 
-    def digit(self, lanes, rows, digit):
-        unit, value = self.range[lanes] >> np.uint64(15), self.value[lanes]
-        place = (value // unit).astype(np.int64)
-        place = np.minimum(place, 32767).astype(np.int16)
-        digit = np.count_nonzero(rows <= place[:, None], axis=1) - 1
-        at = np.arange(len(lanes))
-        start = rows[at, digit].astype(np.int64)
-        end = np.where(digit < 15, rows[at, np.minimum(digit + 1, 15)].astype(np.int64), 32768)
-        self.narrow(lanes, value, unit, start, end - start)
+    def digit(self, lanes: np.ndarray, starts, places, digit):
+        unit, value = self.range[lanes] >> DIGIT_BITS, self.value[lanes]
+        place = np.minimum(value // unit, LAST_START).astype(np.int16)
+        below = (starts[:-1].reshape(-1, 16) <= place[:, None]).view(np.uint64)
+        below *= BYTE_SUM
+        below >>= FIRST_BYTE
+        digit = (below[:, 0] + below[:, 1]).astype(np.int64) - 1
+        self.narrow(lanes, value, unit, *digit_range(starts, places, digit))
         return digit
 
 
@@ -173,22 +206,26 @@ class Mixer:
 
     def __init__(self, lanes: int):
         # Estimates have 16 bits; they are widened where they are used.
-        self.chance = np.full((3, lanes * 256), 1 << 15, np.uint16)
+        self.chance = np.full(3 * lanes * 256, 1 << 15, np.uint16)
         self.weight = np.full((3, lanes), 1 << 15, np.int64)
-
-    def __call__(self, coder, lanes, contexts, bit):
-        places = [lanes * 256 + c for c in contexts]
-        chances = [self.chance[k][places[k]].astype(np.int64) for k in range(3)]
-        inputs = [STRETCH[c >> 4] for c in chances]
-        weights = [self.weight[k][lanes] for k in range(3)]
-        dot = sum(w * x for w, x in zip(weights, inputs, strict=True)) >> 16
-        mix = SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        self.places = np.arange(3 * lanes).reshape(3, lanes) * 256
+
+    def __call__(self, coder, lanes: Lanes, contexts, bit):
+        places, weights = self.places[:, lanes], self.weight[:, lanes]
+        places = places + contexts
+        chances = self.chance.take(places).astype(np.int64)
+        inputs = STRETCH.take(chances >> 4)
+        dot = (weights * inputs).sum(axis=0) >> 16
+        mix = SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
         bit = coder.flag(lanes, mix, bit)
         one = bit.astype(np.int64)
         error = ((one << 12) - mix) * 6
-        for k in range(3):
-            self.chance[k][places[k]] = chances[k] + (((one * 65535) - chances[k]) >> LEARN)
-            self.weight[k][lanes] = weights[k] + ((inputs[k] * error + (1 << 9)) >> 10)
+        chances += (one * 65535 - chances) >> LEARN
+        self.chance[places] = chances
+        inputs *= error
+        inputs += 1 << 9
+        inputs >>= 10
+        self.weight[:, lanes] = weights + inputs
         return bit
 
 
@@ -196,56 +233,75 @@ class Model:
     """Predictions of all lanes. ``step`` codes or finds the next id of the first ``n`` lanes."""
 
     def __init__(self, lanes: int):
-        self.rows = np.empty((lanes * ROWS, 16), np.int16)
-        self.rows[:] = np.arange(16, dtype=np.int16) * 2048
-        self.after1 = np.zeros(lanes << ORDER1, np.uint16)
-        self.after2 = np.zeros(lanes << ORDER2, np.uint16)
-        self.sure1 = np.zeros(lanes << ORDER1, np.uint8)
-        self.sure2 = np.zeros(lanes << ORDER2, np.uint8)
+        table = np.empty((lanes * ROWS, 16), np.int16)
+        table[:] = np.arange(16, dtype=np.int16) * 2048
+        self.rows, self.whole_rows = table, table.view("V32").ravel()
+        self.starts = np.zeros(lanes * 16 + 1, np.int16)
+        # A guess, and in the last four bits how certain it is.
+        self.after1 = np.zeros(lanes << ORDER1, np.int32)
+        self.after2 = np.zeros(lanes << ORDER2, np.int32)
         self.last = np.zeros((2, lanes), np.int64)
         self.history = np.zeros(lanes, np.int64)
         self.second, self.first = Mixer(lanes), Mixer(lanes)
         self.lanes = np.arange(lanes)
+        self.own1, self.own2 = self.lanes << ORDER1, self.lanes << ORDER2
+        self.own_rows, self.own_starts = self.lanes * ROWS, self.lanes * 16
+
+    def new_ids(self, coder, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        """Code or find ids that nothing predicts, digit by digit."""
+        own, places = self.own_rows.take(lanes), self.own_starts[:len(lanes)]
+        # The place behind the last row stays 0.
+        self.starts[len(lanes) * 16] = 0
+        starts = self.starts[:len(lanes) * 16 + 1]
+        rows = starts[:-1].reshape(-1, 16)
+        prefix = np.zeros(len(lanes), np.int64)
+        for k in range(DIGITS):
+            context = prefix if k < 3 else (prefix * 40503 >> 6) & (SHARED_ROWS - 1)
+            at = own + context
+            at += FIRST_ROW[k]
+            self.rows.take(at, axis=0, out=rows, mode="clip")
+            wanted = None if ids is None else (ids >> (12 - 4 * k)) & 15
+            digit = coder.digit(lanes, starts, places, wanted)
+            pull = PULL.take(digit, axis=0)
+            pull -= rows
+            pull >>= LEARN
+            pull += rows
+            self.whole_rows[at] = pull.view("V32").ravel()
+            prefix = prefix * 16 + digit
+        return prefix
 
     def step(self, coder, n: int, ids: np.ndarray | None) -> np.ndarray:
-        lanes = self.lanes[:n]
+        lanes = slice(0, n)
         one, two = self.last[0, :n], self.last[1, :n]
-        at1 = (lanes << ORDER1) | (((one * 40503) >> 4) & ((1 << ORDER1) - 1))
-        at2 = (lanes << ORDER2) | ((one * 40503 + two * 30011) >> 4 & ((1 << ORDER2) - 1))
-        guess1, guess2 = self.after1[at1].astype(np.int64), self.after2[at2].astype(np.int64)
-        sure1, sure2 = self.sure1[at1].astype(np.int64), self.sure2[at2].astype(np.int64)
-        same, history = (guess1 == guess2).astype(np.int64), self.history[:n]
+        key = one * 40503
+        at1 = self.own1[:n] | ((key >> 4) & ((1 << ORDER1) - 1))
+        at2 = self.own2[:n] | ((key + two * 30011) >> 4 & ((1 << ORDER2) - 1))
+        held1, held2 = self.after1.take(at1).astype(np.int64), self.after2.take(at2).astype(np.int64)
+        guess1, guess2, sure1, sure2 = held1 >> 4, held2 >> 4, held1 & 15, held2 & 15
+        same, history = guess1 == guess2, self.history[:n]
         out = guess2.copy()
 
-        contexts = (sure2 * 2 + same, sure1 * 16 + sure2, history)
+        both = sure1 * 16 + sure2
+        contexts = np.stack([sure2 * 2 + same, both, history])
         hit2 = self.second(coder, lanes, contexts, None if ids is None else ids == guess2)
-        rest = np.flatnonzero(~hit2 & (same == 0))
+        rest = np.flatnonzero(~(hit2 | same))
         hit1 = np.zeros(n, bool)
         if len(rest):
-            contexts = (sure1[rest], sure1[rest] * 16 + sure2[rest], history[rest])
+            contexts = np.stack([sure1, both, history]).take(rest, axis=1)
             bit = None if ids is None else ids[rest] == guess1[rest]
             hit1[rest] = self.first(coder, rest, contexts, bit)
             out[hit1] = guess1[hit1]
-        new = np.flatnonzero(~hit2 & ~hit1)
+        new = np.flatnonzero(~(hit2 | hit1))
         if len(new):
-            prefix = np.zeros(len(new), np.int64)
-            for k in range(DIGITS):
-                context = prefix if k < 3 else (prefix * 40503 >> 6) & (SHARED_ROWS - 1)
-                at = new * ROWS + FIRST_ROW[k] + context
-                rows = self.rows[at]
-                wanted = None if ids is None else (ids[new] >> (12 - 4 * k)) & 15
-                digit = coder.digit(new, rows, wanted)
-                rows += (PULL[digit] - rows) >> LEARN
-                self.rows[at] = rows
-                prefix = prefix * 16 + digit
-            out[new] = prefix
-
-        for after, sure, at, guess, held in (
-            (self.after1, self.sure1, at1, guess1, sure1), (self.after2, self.sure2, at2, guess2, sure2),
+            out[new] = self.new_ids(coder, new, None if ids is None else ids[new])
+
+        for after, at, guess, sure in (
+            (self.after1, at1, guess1, sure1), (self.after2, at2, guess2, sure2),
         ):
             right = out == guess
-            sure[at] = np.where(right, np.minimum(held + 1, 15), held >> 1)
-            after[at] = np.where(right | (held > 1), guess, out)
+            stays = right | (sure > 1)
+            kept = out ^ (stays * (out ^ guess))
+            after[at] = kept << 4 | SURER.take(right * 16 + sure)
         self.last[1, :n], self.last[0, :n] = one, out
         self.history[:n] = (history * 4 + hit2 * 2 + hit1) & 255
         return out
@@ -315,6 +371,16 @@ def unpack(file: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, np.uint16)), counts
 
 
+@cache
+def tokenizer_of(path: str) -> Tokenizer:
+    """The one tokenizer of a Python worker, which keeps to its task's thread.
+
+    The library's threads hold memory for each tokenizer they have worked with, also when it is gone.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
     """Ids of texts as bytes of 16-bit numbers, by words, with a bounded memo.
 
@@ -323,7 +389,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_of(path)
         self.memo: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:

@@ -402,11 +402,44 @@ def test_token_files_round_trip(count, block):
         token_blocks.pack(np.array([70000]), [1])
 
 
+@pytest.mark.parametrize("ids, block, size, check", [
+    ((np.arange(6000) ** 2 * 2654435761 >> 7) % 65536, 64, 14004, 3171289182),
+    (np.arange(6000) ** 2 % 97, 2048, 376, 2034186801),
+    (np.where(np.arange(6000) % 5 == 0, 65535, np.arange(6000) % 11), 700, 722, 3525694618),
+    (np.zeros(5000, int), 2048, 76, 2874947553),
+    (np.full(1, 65535), 2048, 36, 2468496056),
+])
+def test_token_files_stay_as_they_were(ids, block, size, check):
+    """Files of earlier versions can be read: the same ids are the same bytes."""
+    file = token_blocks.pack(ids, [len(ids)], block)
+    assert (len(file), zlib.crc32(file)) == (size, check)
+    assert (token_blocks.unpack(file)[0] == ids).all()
+
+
+def test_truncated_code_is_damage():
+    ids = np.random.default_rng(1).integers(0, 65536, 3000)
+    file = bytearray(token_blocks.pack(ids, [len(ids)], 4096))
+    words = int.from_bytes(file[16:20], "little") - 400
+    file[16:20] = words.to_bytes(4, "little")
+    with pytest.raises(ValueError, match="damaged"):
+        token_blocks.unpack(bytes(file[:-800]))
+
+
 def test_repeated_ids_cost_little():
     ids = np.tile(np.arange(50), 200)
     assert len(token_blocks.pack(ids, [len(ids)], 2048)) < len(ids) // 4
 
 
+def test_tasks_of_a_worker_share_their_tokenizer():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first, second = token_blocks.Encoder(path), token_blocks.Encoder(path)
+    assert first.tokenizer is second.tokenizer and first.memo is not second.memo
+    texts = [b"the same words", b""]
+    assert list(map(list, first(texts))) == list(map(list, second(texts)))
+
+
 def test_documents_come_back_from_token_files(documents, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
