@@ -21,8 +21,10 @@ Numbers are little-endian and unsigned, of 32 bits; code is words of 16 bits.
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -38,13 +40,32 @@ from tallyboard.llm.common import chunks, ranked, shared_path
 
 MAGIC = b"CMRB"
 BLOCK = 2048
-#: Text bytes whose ids go into one file; whole documents, at least one.
-FILE_BYTES = 4 << 20
+#: Text bytes whose ids go into one file; whole documents, at least one. A step of the coder costs
+#: about as much for a thousand blocks as for one, and a block has tables of some 90 KB.
+FILE_BYTES = 12 << 20
 #: Text bytes tokenized at once.
 ENCODE_BYTES = 1 << 20
 #: Ids are below 2**16.
 DIGITS = 4
 MEMO_WORDS = 1 << 18
+#: How the tokenizer has to prepare texts for their ids to be put together from pieces.
+CUTTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+            "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+#: Not ASCII's white space and visible characters nor Latin letters, whose lower-case form is one
+#: letter whatever stands beside it, and which NFC leaves as they are.
+FOREIGN = re.compile("[^\\t-\\r -~À-ÖØ-öø-\u012f\u0131-\u017f]").search
+#: The same pattern for the other texts, in lower case.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-\u017f]+|[0-9]|[^\\sa-z0-9ß-öø-\u017f]+")
 ORDER1, ORDER2 = 12, 13
 #: Rows of order 0: one for the first digit, then one per prefix; prefixes of three
 #: digits share the last ones.
@@ -67,12 +88,12 @@ SURER = np.array([[k >> 1 for k in range(16)], [min(k + 1, 15) for k in range(16
 #: The eight bytes of a number, each of them 0 or 1, times this have their sum in the first byte.
 BYTE_SUM, FIRST_BYTE = np.uint64(0x0101010101010101), np.uint64(56)
 LOW_BITS, WORD = 48, 16
-SHIFT, OUT = np.uint64(WORD), np.uint64(LOW_BITS - WORD)
-BOTTOM = np.uint64(1 << (LOW_BITS - WORD))
-TOP = np.uint64(1 << LOW_BITS)
-BELOW = TOP - np.uint64(1)
-FLAG_BITS, DIGIT_BITS = np.uint64(16), np.uint64(15)
-WHOLE_FLAG, LAST_START = np.uint64(1 << 16), np.uint64((1 << 15) - 1)
+OUT = LOW_BITS - WORD
+BOTTOM, TOP = 1 << OUT, 1 << LOW_BITS
+FLAG_BITS, DIGIT_BITS = 16, 15
+WHOLE_FLAG, LAST_START = 1 << FLAG_BITS, (1 << DIGIT_BITS) - 1
+#: Words of code that one id can take, by its two flags and its digits, with some to spare.
+ID_WORDS = 8
 #: Lanes are the first ones, as a slice, or some, as an array of their numbers.
 Lanes = slice | np.ndarray
 
@@ -84,57 +105,60 @@ def chosen(lanes: Lanes, at: np.ndarray) -> np.ndarray:
 def digit_range(starts: np.ndarray, places: np.ndarray, digit: np.ndarray):
     """Start and size of each digit; behind the starts of all rows stands one more number, 0."""
     at = places + digit
-    start = starts.take(at)
+    start = starts.take(at, mode="clip")
     at += 1
     # A row's first start is 0, and so a last digit ends at 2**15.
-    size = (starts.take(at) - start).astype(np.uint64) & LAST_START
-    return start.astype(np.uint64), size
+    size = starts.take(at, mode="clip")
+    size -= start
+    size &= LAST_START
+    return start.astype(np.int64), size
 
 
 class Writer:
     """Range coders side by side; each lane codes into words of its own, a column of ``words``."""
 
     def __init__(self, lanes: int, most_ids: int):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, int(TOP) - 1, np.uint64)
+        self.low = np.zeros(lanes, np.int64)
+        self.range = np.full(lanes, TOP - 1, np.int64)
         self.words = np.zeros((2 * most_ids + 16, lanes), np.uint16)
         self.used = np.zeros(lanes, np.int64)
 
     def code(self, lanes: Lanes, start, size, bits):
         unit = self.range[lanes] >> bits
         start *= unit
-        low = self.low[lanes] + start
-        span = unit * size
-        carry = np.flatnonzero(low >= TOP)
+        start += self.low[lanes]
+        low, span = start, unit * size
+        carry = (low >= TOP).nonzero()[0]
         if len(carry):
             carried = chosen(lanes, carry)
-            low[carry] &= BELOW
+            low[carry] &= TOP - 1
             at = self.used[carried] - 1
             while len(carried):
                 self.words[at, carried] += np.uint16(1)
                 further = self.words[at, carried] == 0
                 carried, at = carried[further], at[further] - 1
-        short = np.flatnonzero(span < BOTTOM)
+        short = (span < BOTTOM).nonzero()[0]
         if len(short):
             own, full = chosen(lanes, short), low[short]
             used = self.used[own]
-            self.words.reshape(-1)[used * len(self.low) + own] = (full >> OUT).astype(np.uint16)
-            self.used[own] = used + 1
-            low[short] = (full << SHIFT) & BELOW
-            span[short] <<= SHIFT
-            if int(used.max()) + 9 > len(self.words):
-                self.grow()
+            self.words.reshape(-1)[used * len(self.low) + own] = full >> OUT
+            used += 1
+            self.used[own] = used
+            low[short] = (full & (BOTTOM - 1)) << WORD
+            span[short] <<= WORD
         self.low[lanes], self.range[lanes] = low, span
 
-    def grow(self):
-        if self.used.max() + 8 > len(self.words):
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)])
+    def room(self, ids: int):
+        """Make room for the code of ``ids`` more ids."""
+        missing = int(self.used.max()) + ID_WORDS * (ids + 1) - len(self.words)
+        if missing > 0:
+            more = np.zeros((max(missing, len(self.words) // 2), len(self.low)), np.uint16)
+            self.words = np.concatenate([self.words, more])
 
     def flag(self, lanes: Lanes, chance, bit):
-        one = chance.astype(np.uint64) << np.uint64(4)
-        zero = ~bit
+        one = chance << 4
         # A set bit is the lower part of the range.
-        self.code(lanes, one * zero, (one ^ (zero * (one ^ (WHOLE_FLAG - one)))), FLAG_BITS)
+        self.code(lanes, one * ~bit, np.where(bit, one, WHOLE_FLAG - one), FLAG_BITS)
         return bit
 
     def digit(self, lanes: np.ndarray, starts, places, digit):
@@ -143,10 +167,10 @@ class Writer:
 
     def finish(self) -> list[bytes]:
         lanes = np.arange(len(self.low))
+        self.room(0)
         for _ in range(LOW_BITS // WORD):
-            self.grow()
-            self.words[self.used, lanes] = (self.low >> OUT).astype(np.uint16)
-            self.low = (self.low << SHIFT) & BELOW
+            self.words[self.used, lanes] = self.low >> OUT
+            self.low = (self.low & (BOTTOM - 1)) << WORD
             self.used += 1
         rows = np.ascontiguousarray(self.words[:self.used.max()].T)
         return [row[:n].astype("<u2").tobytes() for row, n in zip(rows, self.used, strict=True)]
@@ -161,71 +185,83 @@ class Reader:
         for lane, own in enumerate(code):
             rows[lane, :len(own) // 2] = np.frombuffer(own, "<u2")
         self.words = np.ascontiguousarray(rows.T)
-        self.value = np.zeros(len(code), np.uint64)
+        self.value = np.zeros(len(code), np.int64)
         for at in range(LOW_BITS // WORD):
-            self.value = (self.value << SHIFT) | self.words[at].astype(np.uint64)
-        self.range = np.full(len(code), int(TOP) - 1, np.uint64)
+            self.value = (self.value << WORD) | self.words[at]
+        self.range = np.full(len(code), TOP - 1, np.int64)
         self.used = np.full(len(code), LOW_BITS // WORD, np.int64)
 
     def narrow(self, lanes: Lanes, value, unit, start, size):
         start *= unit
         value = value - start
         span = unit * size
-        short = np.flatnonzero(span < BOTTOM)
+        short = (span < BOTTOM).nonzero()[0]
         if len(short):
             own = chosen(lanes, short)
             used = self.used[own]
             # A word too far, in a damaged file, is found by the checksum.
             following = self.words.take(used * len(self.range) + own, mode="clip")
-            value[short] = (value[short] << SHIFT) | following.astype(np.uint64)
-            self.used[own] = used + 1
-            span[short] <<= SHIFT
+            # Only in a damaged file there are bits to drop.
+            value[short] = (value[short] & (BOTTOM - 1)) << WORD | following
+            used += 1
+            self.used[own] = used
+            span[short] <<= WORD
         self.value[lanes], self.range[lanes] = value, span
 
     def flag(self, lanes: Lanes, chance, bit):
-        one = chance.astype(np.uint64) << np.uint64(4)
+        one = chance << 4
         unit, value = self.range[lanes] >> FLAG_BITS, self.value[lanes]
         bit = value < unit * one
-        zero = ~bit
-        self.narrow(lanes, value, unit, one * zero, one ^ (zero * (one ^ (WHOLE_FLAG - one))))
+        self.narrow(lanes, value, unit, one * ~bit, np.where(bit, one, WHOLE_FLAG - one))
         return bit
 
     def digit(self, lanes: np.ndarray, starts, places, digit):
         unit, value = self.range[lanes] >> DIGIT_BITS, self.value[lanes]
-        place = np.minimum(value // unit, LAST_START).astype(np.int16)
+        # Both are below 2**48 and the quotient about 2**15, so that its whole part is exact.
+        place = np.minimum(value / unit, LAST_START).astype(np.int16)
         below = (starts[:-1].reshape(-1, 16) <= place[:, None]).view(np.uint64)
         below *= BYTE_SUM
         below >>= FIRST_BYTE
-        digit = (below[:, 0] + below[:, 1]).astype(np.int64) - 1
+        digit = (below[:, 0] + below[:, 1]).astype(np.int64)
+        digit -= 1
         self.narrow(lanes, value, unit, *digit_range(starts, places, digit))
         return digit
 
 
 class Mixer:
-    """A decision whose chance mixes three adaptive estimates; one state per lane."""
+    """A decision whose chance mixes three adaptive estimates; one state per lane.
+
+    Estimates of one context lie side by side, lane by lane: few contexts come up often.
+    """
 
     def __init__(self, lanes: int):
         # Estimates have 16 bits; they are widened where they are used.
-        self.chance = np.full(3 * lanes * 256, 1 << 15, np.uint16)
+        self.chance = np.full(3 * 256 * lanes, 1 << 15, np.uint16)
         self.weight = np.full((3, lanes), 1 << 15, np.int64)
-        self.places = np.arange(3 * lanes).reshape(3, lanes) * 256
+        self.places = np.arange(3)[:, None] * (256 * lanes) + np.arange(lanes)
 
     def __call__(self, coder, lanes: Lanes, contexts, bit):
-        places, weights = self.places[:, lanes], self.weight[:, lanes]
-        places = places + contexts
-        chances = self.chance.take(places).astype(np.int64)
-        inputs = STRETCH.take(chances >> 4)
-        dot = (weights * inputs).sum(axis=0) >> 16
-        mix = SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
+        places, weights = contexts * self.weight.shape[1], self.weight[:, lanes]
+        places += self.places[:, lanes]
+        chances = self.chance.take(places, mode="clip").astype(np.int64)
+        inputs = STRETCH.take(chances >> 4, mode="clip")
+        dot = np.add.reduce(weights * inputs, axis=0)
+        dot >>= 16
+        dot += 2047
+        # Beyond the ends of the table its ends hold.
+        mix = SQUASH.take(dot, mode="clip")
         bit = coder.flag(lanes, mix, bit)
         one = bit.astype(np.int64)
         error = ((one << 12) - mix) * 6
-        chances += (one * 65535 - chances) >> LEARN
+        change = one * 65535 - chances
+        change >>= LEARN
+        chances += change
         self.chance[places] = chances
         inputs *= error
         inputs += 1 << 9
         inputs >>= 10
-        self.weight[:, lanes] = weights + inputs
+        inputs += weights
+        self.weight[:, lanes] = inputs
         return bit
 
 
@@ -233,7 +269,8 @@ class Model:
     """Predictions of all lanes. ``step`` codes or finds the next id of the first ``n`` lanes."""
 
     def __init__(self, lanes: int):
-        table = np.empty((lanes * ROWS, 16), np.int16)
+        # Row by row, the lanes of each side by side.
+        table = np.empty((ROWS * lanes, 16), np.int16)
         table[:] = np.arange(16, dtype=np.int16) * 2048
         self.rows, self.whole_rows = table, table.view("V32").ravel()
         self.starts = np.zeros(lanes * 16 + 1, np.int16)
@@ -245,65 +282,87 @@ class Model:
         self.second, self.first = Mixer(lanes), Mixer(lanes)
         self.lanes = np.arange(lanes)
         self.own1, self.own2 = self.lanes << ORDER1, self.lanes << ORDER2
-        self.own_rows, self.own_starts = self.lanes * ROWS, self.lanes * 16
+        self.own_starts = self.lanes * 16
+        self.contexts = np.zeros((3, lanes), np.int64)
 
     def new_ids(self, coder, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """Code or find ids that nothing predicts, digit by digit."""
-        own, places = self.own_rows.take(lanes), self.own_starts[:len(lanes)]
+        places, all_lanes = self.own_starts[:len(lanes)], len(self.lanes)
         # The place behind the last row stays 0.
         self.starts[len(lanes) * 16] = 0
         starts = self.starts[:len(lanes) * 16 + 1]
         rows = starts[:-1].reshape(-1, 16)
         prefix = np.zeros(len(lanes), np.int64)
         for k in range(DIGITS):
-            context = prefix if k < 3 else (prefix * 40503 >> 6) & (SHARED_ROWS - 1)
-            at = own + context
+            at = prefix.copy() if k < 3 else (prefix * 40503 >> 6) & (SHARED_ROWS - 1)
             at += FIRST_ROW[k]
+            at *= all_lanes
+            at += lanes
             self.rows.take(at, axis=0, out=rows, mode="clip")
             wanted = None if ids is None else (ids >> (12 - 4 * k)) & 15
             digit = coder.digit(lanes, starts, places, wanted)
-            pull = PULL.take(digit, axis=0)
+            pull = PULL.take(digit, axis=0, mode="clip")
             pull -= rows
             pull >>= LEARN
             pull += rows
             self.whole_rows[at] = pull.view("V32").ravel()
-            prefix = prefix * 16 + digit
+            prefix *= 16
+            prefix += digit
         return prefix
 
     def step(self, coder, n: int, ids: np.ndarray | None) -> np.ndarray:
         lanes = slice(0, n)
         one, two = self.last[0, :n], self.last[1, :n]
-        key = one * 40503
-        at1 = self.own1[:n] | ((key >> 4) & ((1 << ORDER1) - 1))
-        at2 = self.own2[:n] | ((key + two * 30011) >> 4 & ((1 << ORDER2) - 1))
-        held1, held2 = self.after1.take(at1).astype(np.int64), self.after2.take(at2).astype(np.int64)
+        at1 = one * 40503
+        at2 = two * 30011
+        at2 += at1
+        at2 >>= 4
+        at2 &= (1 << ORDER2) - 1
+        at2 |= self.own2[:n]
+        at1 >>= 4
+        at1 &= (1 << ORDER1) - 1
+        at1 |= self.own1[:n]
+        held1 = self.after1.take(at1, mode="clip").astype(np.int64)
+        held2 = self.after2.take(at2, mode="clip").astype(np.int64)
         guess1, guess2, sure1, sure2 = held1 >> 4, held2 >> 4, held1 & 15, held2 & 15
         same, history = guess1 == guess2, self.history[:n]
-        out = guess2.copy()
 
-        both = sure1 * 16 + sure2
-        contexts = np.stack([sure2 * 2 + same, both, history])
+        contexts = self.contexts[:, :n]
+        np.add(sure2, sure2, out=contexts[0])
+        contexts[0] += same
+        both = np.multiply(sure1, 16, out=contexts[1])
+        both += sure2
+        contexts[2] = history
         hit2 = self.second(coder, lanes, contexts, None if ids is None else ids == guess2)
-        rest = np.flatnonzero(~(hit2 | same))
+        missed = ~hit2
+        rest = (missed & ~same).nonzero()[0]
         hit1 = np.zeros(n, bool)
         if len(rest):
-            contexts = np.stack([sure1, both, history]).take(rest, axis=1)
-            bit = None if ids is None else ids[rest] == guess1[rest]
-            hit1[rest] = self.first(coder, rest, contexts, bit)
-            out[hit1] = guess1[hit1]
-        new = np.flatnonzero(~(hit2 | hit1))
+            contexts[0] = sure1
+            bit = None if ids is None else (ids == guess1)[rest]
+            hit1[rest] = self.first(coder, rest, contexts[:, rest], bit)
+        missed &= ~hit1
+        new = missed.nonzero()[0]
+        out = np.where(hit1, guess1, guess2) if ids is None else ids
         if len(new):
-            out[new] = self.new_ids(coder, new, None if ids is None else ids[new])
+            found = self.new_ids(coder, new, None if ids is None else ids[new])
+            if ids is None:
+                out[new] = found
 
-        for after, at, guess, sure in (
-            (self.after1, at1, guess1, sure1), (self.after2, at2, guess2, sure2),
+        for after, at, guess, sure, right in (
+            (self.after1, at1, guess1, sure1, out == guess1),
+            (self.after2, at2, guess2, sure2, out == guess2),
         ):
-            right = out == guess
-            stays = right | (sure > 1)
-            kept = out ^ (stays * (out ^ guess))
-            after[at] = kept << 4 | SURER.take(right * 16 + sure)
+            kept = np.where(right | (sure > 1), guess, out)
+            kept <<= 4
+            sure += right * 16
+            kept |= SURER.take(sure, mode="clip")
+            after[at] = kept
         self.last[1, :n], self.last[0, :n] = one, out
-        self.history[:n] = (history * 4 + hit2 * 2 + hit1) & 255
+        history *= 4
+        history += hit2 * 2
+        history += hit1
+        history &= 255
         return out
 
 
@@ -332,6 +391,8 @@ def pack(ids: np.ndarray, documents: list[int], block: int = BLOCK) -> bytes:
         model, coder = Model(len(lengths)), Writer(len(lengths), min(block, int(lengths[0])))
         for at in range(int(lengths[0])):
             n = len(lengths) - (at >= lengths[-1])
+            if at % 64 == 0:
+                coder.room(64)
             model.step(coder, n, grid[at, :n].astype(np.int64))
         code = coder.finish()
         # The next file's tables are not to lie beside these.
@@ -381,22 +442,71 @@ def tokenizer_of(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+class Pieces:
+    """Ids of the pieces into which the tokenizer cuts texts, with a bounded memo.
+
+    The tokenizer lowers letters, cuts by one pattern, drops white space and merges inside
+    each piece. The last token of a piece, and no other, has the suffix that ends a word: so
+    pieces are encoded many at once, with a space between them, and their ids cut apart.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self.memo: dict[str, bytes] = {}
+        settings = json.loads(tokenizer.to_str())
+        suffix = settings["model"].get("end_of_word_suffix")
+        #: Whether the tokenizer cuts as it is said here.
+        self.known = bool(suffix) and settings["post_processor"] is None and all(
+            settings[part] == CUTTING[part] for part in CUTTING
+        )
+        self.added = [token["content"] for token in settings["added_tokens"]]
+        vocabulary = tokenizer.get_vocab() if self.known else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def plain(self, text: str) -> bool:
+        """Whether a text's ids are those of its pieces."""
+        return self.known and not FOREIGN(text) and not any(token in text for token in self.added)
+
+    def encode(self, pieces: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)
+        ids = np.array(found[0].ids, np.int64)
+        stops = (2 * (self.ends[ids].nonzero()[0] + 1)).tolist()
+        held = ids.astype("<u2").tobytes()
+        for piece, start, stop in zip(pieces, [0, *stops[:-1]], stops, strict=True):
+            self.memo[piece] = held[start:stop]
+
+    def learn(self, pieces: set[str]) -> None:
+        """See to it that the memo has the ids of ``pieces``."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        fresh = [piece for piece in pieces if piece not in self.memo]
+        for at in range(0, len(fresh), 4096):
+            self.encode(fresh[at:at + 4096])
+
+
+@cache
+def pieces_of(path: str) -> Pieces:
+    """The pieces that a Python worker knows, from all its tasks."""
+    return Pieces(tokenizer_of(path))
+
+
 class Encoder:
-    """Ids of texts as bytes of 16-bit numbers, by words, with a bounded memo.
+    """Ids of texts as bytes of 16-bit numbers, by pieces and words, with bounded memos.
 
     The tokenizer drops white space and never looks across it, so a text's ids are
-    those of its words.
+    those of its words. Where it cuts texts as ``CUTTING`` says, those of Latin letters
+    are put together from pieces; the words of others go to it whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = tokenizer_of(path)
+        self.tokenizer, self.pieces = tokenizer_of(path), pieces_of(path)
         self.memo: dict[bytes, bytes] = {}
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [text.split() for text in texts]
+    def learn(self, words: set[bytes]) -> None:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        fresh = list({w for own in words for w in own} - self.memo.keys())
+        fresh = [word for word in words if word not in self.memo]
         for at in range(0, len(fresh), 4096):
             part = fresh[at:at + 4096]
             coded = self.tokenizer.encode_batch_fast(
@@ -404,8 +514,23 @@ class Encoder:
             )
             for word, ids in zip(part, coded, strict=True):
                 self.memo[word] = np.array(ids.ids, "<u2").tobytes()
-        memo = self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(memo, own)), "<u2") for own in words]
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        pieces, words = set(), set()
+        cut: list[tuple[dict, list]] = []
+        for whole in texts:
+            text = whole.decode()
+            if self.pieces.plain(text):
+                own = PIECE.findall(text.lower())
+                pieces.update(own)
+                cut.append((self.pieces.memo, own))
+            else:
+                own = whole.split()
+                words.update(own)
+                cut.append((self.memo, own))
+        self.pieces.learn(pieces)
+        self.learn(words)
+        return [np.frombuffer(b"".join(map(memo.__getitem__, own)), "<u2") for memo, own in cut]
 
 
 def write_files(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
