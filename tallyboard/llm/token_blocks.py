@@ -48,6 +48,8 @@ ENCODE_BYTES = 1 << 20
 #: Ids are below 2**16.
 DIGITS = 4
 MEMO_WORDS = 1 << 18
+#: Characters of pieces that a worker remembers; long ones would fill its memory.
+MEMO_CHARS = 1 << 23
 #: How the tokenizer has to prepare texts for their ids to be put together from pieces.
 CUTTING = {
     "normalizer": {"type": "Sequence", "normalizers": [
@@ -453,13 +455,18 @@ class Pieces:
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
         self.memo: dict[str, bytes] = {}
+        self.held = 0
         settings = json.loads(tokenizer.to_str())
         suffix = settings["model"].get("end_of_word_suffix")
-        #: Whether the tokenizer cuts as it is said here.
+        added = settings["added_tokens"]
+        self.added = [token["content"] for token in added]
+        #: Whether the tokenizer cuts as it is said here, and no added token is in a piece.
         self.known = bool(suffix) and settings["post_processor"] is None and all(
             settings[part] == CUTTING[part] for part in CUTTING
+        ) and not any(
+            token["normalized"] or len(PIECE.findall(token["content"].lower())) < 2
+            or re.search(r"\s", token["content"]) for token in added
         )
-        self.added = [token["content"] for token in settings["added_tokens"]]
         vocabulary = tokenizer.get_vocab() if self.known else {}
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
@@ -478,9 +485,11 @@ class Pieces:
 
     def learn(self, pieces: set[str]) -> None:
         """See to it that the memo has the ids of ``pieces``."""
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS or self.held > MEMO_CHARS:
             self.memo.clear()
+            self.held = 0
         fresh = [piece for piece in pieces if piece not in self.memo]
+        self.held += sum(map(len, fresh))
         for at in range(0, len(fresh), 4096):
             self.encode(fresh[at:at + 4096])
 

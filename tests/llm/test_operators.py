@@ -440,6 +440,44 @@ def test_tasks_of_a_worker_share_their_tokenizer():
     assert list(map(list, first(texts))) == list(map(list, second(texts)))
 
 
+def test_ids_of_texts_are_put_together_from_pieces(monkeypatch):
+    """Each piece goes to the library once; the ids are the library's for any text."""
+    import random
+
+    import public_tokenizers
+
+    encode = token_blocks.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Hand, hand! (HAND) it's 42 It'S", "", " \n\t ", "\u00c9t\u00e9 \u00e9t\u00c9.", "a<|endoftext|>b", "e\u0301 \u0130x",
+             "x\x00y\x1cz", "\u65e5\u672c\u8a9e hand", "</w> hand", "\u017ft\u0149'll!'s"]
+    parts = ["'", "s", "LL", "t", "!", "<|endoftext|>", "<|StartOfText|>", "\u00e9", "\u0301", "\u0130", "\x85",
+             "\u0663", "9", " ", "\n", "Zq", "the", "\u0178", "\u03a3", "</w>"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choices(parts, k=9)) for _ in range(500)]
+    texts += ["a" + chr(n) + "'" + chr(n) + "1" for n in range(0x250)]
+    found = [x.tolist() for x in encode([t.encode() for t in texts])]
+    assert found == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    encode.pieces.memo.clear()
+    asked = []
+    monkeypatch.setattr(
+        encode.pieces, "encode", lambda own, old=encode.pieces.encode: (asked.extend(own), old(own))
+    )
+    encode([texts[0].encode(), b"Hand."])
+    encode([texts[0].lower().encode()])
+    assert sorted(asked) == ["!", "'s", "(", ")", ",", ".", "2", "4", "hand", "it"]
+
+
+def test_memo_of_pieces_is_bounded(monkeypatch):
+    import public_tokenizers
+
+    encode = token_blocks.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(token_blocks, "MEMO_CHARS", 1000)
+    for n in range(20):
+        text = chr(ord("a") + n) * 400
+        assert encode([text.encode()])[0].tolist() == encode.tokenizer.encode(text).ids
+        assert sum(map(len, encode.pieces.memo)) < 2000
+
+
 def test_documents_come_back_from_token_files(documents, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
